@@ -11,9 +11,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logstrata.sources.readers import spread
+
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+# Tables that grow with the scale factor in rows or text.
+FACTS = ["orders", "lineitem", "events", "documents"]
+
 DIALECTS = {
     "spark": {"EPOCH": "unix_timestamp(cast(o_orderdate as timestamp))",
               "SPLIT": "split(l, '[|]')", "EMPTY": "cast(array() as array<string>)",
@@ -191,7 +196,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def _base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in FACTS else table
 
     def sql(self, body: str) -> DataFrame:
         text = with_views(body, "spark")

@@ -54,7 +54,7 @@ def hour_of_day_utc(authored_date: Column, offset_label: Column) -> Column:
     A label without a sign counts as positive. Text of another shape gives NULL.
     """
     def part(text: Column, pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group).try_cast("long")
+        return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("long")
 
     clock = r"(?:^| )(\d{1,2}):(\d{2}):(\d{2}) \d{4}$"
     offset = r"^([+-]?)(\d{1,2}):(\d{1,2})$"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.operators.changes import commit_header
-from logstrata.operators.totals import with_group_totals
+from logstrata.operators.skew import lookup_side, with_group_totals
 from logstrata.schemas import keys
 
 CARRIED = {"commit_adds": "total_added_lines", "commit_deletes": "total_deleted_lines"}
@@ -113,7 +113,7 @@ def blame_details(lines: DataFrame, blame_lines: DataFrame) -> DataFrame:
     """
     key = keys(lines, "commit_sha")
     rejected = blame_rejects(lines, blame_lines)
-    per_path = (blamed_lines(lines, blame_lines).join(rejected, key, "left_anti")
+    per_path = (blamed_lines(lines, blame_lines).join(lookup_side(rejected), key, "left_anti")
                 .groupBy(*key, "blame_commit_sha", "path")
                 .agg(F.sort_array(F.collect_list(F.struct("line_no", "content")))
                      .alias("lines")))

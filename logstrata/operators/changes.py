@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logstrata.functions.text import author_local_asctime, not_blank, trimmed, utc_offset_label
 from logstrata.operators.numbering import with_line_number
+from logstrata.operators.skew import lookup_side
 from logstrata.schemas import keys
 
 
@@ -58,14 +59,16 @@ def commit_totals(counts: DataFrame) -> DataFrame:
 
 def of_cohort(table: DataFrame, commits: DataFrame) -> DataFrame:
     """The rows of a commit-keyed table whose commit is in the cohort."""
-    return table.join(commits, keys(table, "commit_sha"), "left_semi")
+    key = keys(table, "commit_sha")
+    return table.join(lookup_side(commits.select(*key)), key, "left_semi")
 
 
 def limit_to_files(counts: DataFrame, files: DataFrame | None) -> DataFrame:
     """Rows whose path is in ``files``; no set given means no limit."""
     if files is None:
         return counts
-    return counts.join(files, keys(counts, "path"), "left_semi")
+    key = keys(counts, "path")
+    return counts.join(lookup_side(files.select(*key).distinct()), key, "left_semi")
 
 
 def count_changes(counts: DataFrame, commits: DataFrame,
@@ -100,11 +103,12 @@ def user_behavior(counts: DataFrame, commits: DataFrame) -> DataFrame:
     """Header of the commit beside the lines it changed in each file, blank lines left out."""
     key = keys(counts, "commit_sha")
     facts = counts.select(*key, "deleted_lines", "added_lines", F.col("path").alias("file_paths"))
-    return commit_header(commits).join(facts, key)
+    return lookup_side(commit_header(commits)).join(facts, key)
 
 
 def changes_on_not_fixed_files(all_changes: DataFrame, fixed_changes: DataFrame) -> DataFrame:
     """Change rows whose path no fix touches; paths are compared without outer white space."""
     fixed = fixed_changes.select(*keys(fixed_changes), trimmed(F.col("path")).alias("_path"))
     rows = all_changes.withColumn("_path", trimmed(F.col("path")))
+    fixed = lookup_side(fixed.distinct())
     return rows.join(fixed, keys(all_changes, "_path"), "left_anti").drop("_path")

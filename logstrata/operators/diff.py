@@ -6,7 +6,7 @@ is shuffled, and per-file or per-commit counts need no aggregation afterwards.
 
 Line numbers come from positions in filtered lists. Among the lines a hunk shows of the old
 file (all but ``+``) the i-th has number *start + i*; the same holds for the new file and ``-``.
-The declared lengths of the hunk cut both lists, which also drops trailing text.
+The declared lengths of the hunk bound both lists, which also drops trailing text.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from logstrata.functions.text import not_blank
 from logstrata.schemas import keys
 
-# The shapes of unified-diff text.
-FILE_START = r"(?dm)^(?=diff --git )"
-HUNK_START = r"(?dm)^(?=@@ -\d)"
-HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+# The shapes of unified-diff text. No line of a file's content can start like
+# the first two, because content lines start with a mark.
+FILE_START = "\ndiff --git "
+HUNK_START = "\n@@ -"
 OLD_NAME = r"(?dm)^--- ([^\t\n]+)"
 NEW_NAME = r"(?dm)^\+\+\+ ([^\t\n]+)"
 RENAMED_OR_COPIED = r"(?dm)^(?:rename|copy) (?:from|to) "
@@ -31,60 +31,63 @@ NO_FILE = "/dev/null"
 _REST = 2 ** 30
 
 
-def _hunk(text: Column) -> Column:
-    head = F.substring_index(text, "\n", 1)
+def _range(text: Column) -> Column:
+    """``start,length``; a missing length means one line."""
+    parts = F.split(text, ",")
+    return F.struct(F.get(parts, F.lit(0)).try_cast("long").alias("start"),
+                    F.coalesce(F.get(parts, F.lit(1)), F.lit("1")).try_cast("long")
+                    .alias("length"))
 
-    def number(group: int) -> Column:
-        return F.regexp_extract(head, HUNK_HEADER, group).try_cast("int")
 
-    return F.struct(number(1).alias("old_start"),
-                    F.coalesce(number(2), F.lit(1)).alias("old_length"),
-                    number(3).alias("new_start"),
-                    F.coalesce(number(4), F.lit(1)).alias("new_length"),
-                    F.slice(F.split(text, "\n"), 2, _REST).alias("lines"))
+def _hunk(lines: Column) -> Column:
+    """Ranges and sides of a hunk from its lines; the first is ``1,3 +1,4 @@ ...``.
 
-
-def _side(hunk: Column, op: str) -> Column:
-    """The hunk's lines of one side, context included, cut to the declared length.
-
-    A line without any mark is an empty context line.
+    A side holds the lines the hunk shows of one version, context included. A line without
+    any mark is an empty context line.
     """
-    length = hunk["old_length"] if op == "-" else hunk["new_length"]
-    shown = F.filter(hunk["lines"], lambda line: F.substring(line, 1, 1).isin(op, " ", ""))
-    return F.slice(shown, 1, length)
+    def side(other: str) -> Column:
+        return F.filter(lines, lambda line, i: (i > 0) & ~F.startswith(line, F.lit(other))
+                        & ~F.startswith(line, F.lit("\\")))
+
+    head = F.split(lines[0], " ")
+    return F.struct(
+        _range(F.get(head, F.lit(0))).alias("old"),
+        _range(F.substring(F.get(head, F.lit(1)), 2, _REST)).alias("new"),
+        F.coalesce(F.startswith(F.get(head, F.lit(1)), F.lit("+"))
+                   & (F.get(head, F.lit(2)) == "@@"), F.lit(False)).alias("headed"),
+        side("+").alias("old_side"), side("-").alias("new_side"))
 
 
 def _changed(hunk: Column, op: str) -> Column:
-    start = (hunk["old_start"] if op == "-" else hunk["new_start"]).cast("long")
-    side = hunk["old_side"] if op == "-" else hunk["new_side"]
-    numbered = F.transform(side, lambda line, i: F.struct((start + i).alias("line_no"),
-                                                         line.alias("line")))
-    marked = F.filter(numbered, lambda item: F.startswith(item["line"], F.lit(op)))
+    lines, where = ((hunk["old_side"], hunk["old"]) if op == "-"
+                    else (hunk["new_side"], hunk["new"]))
+    numbered = F.transform(lines, lambda line, i: F.struct((where["start"] + i).alias("line_no"),
+                                                          line.alias("line")))
+    marked = F.filter(numbered, lambda item: F.startswith(item["line"], F.lit(op))
+                      & (item["line_no"] < where["start"] + where["length"]))
     return F.transform(marked, lambda item: F.struct(
         item["line_no"].alias("line_no"),
         F.substring(item["line"], 2, _REST).alias("value")))
 
 
 def _hunk_changes(hunk: Column) -> Column:
-    sound = (hunk["old_start"].isNotNull() & hunk["new_start"].isNotNull()
-             & (F.size(hunk["old_side"]) == hunk["old_length"])
-             & (F.size(hunk["new_side"]) == hunk["new_length"]))
+    """Changed lines within the declared lengths; sound if the hunk is no shorter."""
+    sound = (hunk["headed"] & (hunk["old"]["start"] >= 0) & (hunk["new"]["start"] >= 0)
+             & (F.size(hunk["old_side"]) >= hunk["old"]["length"])
+             & (F.size(hunk["new_side"]) >= hunk["new"]["length"]))
     return F.struct(F.coalesce(sound, F.lit(False)).alias("sound"),
                     _changed(hunk, "+").alias("added"), _changed(hunk, "-").alias("removed"))
 
 
 def _file(parts: Column) -> Column:
-    hunks = F.transform(F.slice(parts, 2, _REST), _hunk)
-    hunks = F.transform(hunks, lambda h: F.struct(
-        h["old_start"].alias("old_start"), h["old_length"].alias("old_length"),
-        h["new_start"].alias("new_start"), h["new_length"].alias("new_length"),
-        _side(h, "-").alias("old_side"), _side(h, "+").alias("new_side")))
+    """The header's names and the changes of the hunks."""
     header = parts[0]
+    hunks = F.transform(F.slice(parts, 2, _REST), lambda text: F.split(text, "\n"))
     return F.struct(
         F.regexp_extract(header, OLD_NAME, 1).alias("source_file"),
         F.regexp_extract(header, NEW_NAME, 1).alias("target_file"),
         (header.rlike(RENAMED_OR_COPIED) | header.rlike(SUBMODULE)).alias("excluded"),
-        F.transform(hunks, _hunk_changes).alias("hunks"))
+        F.transform(F.transform(hunks, _hunk), _hunk_changes).alias("hunks"))
 
 
 def _path(source: Column, target: Column) -> Column:

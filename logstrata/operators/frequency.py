@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logstrata.operators.filters import any_of, except_rows, keep_rows
 from logstrata.operators.numbering import with_line_number, with_runs
-from logstrata.operators.totals import with_group_totals
+from logstrata.operators.skew import with_group_totals
 
 VARIANTS = ["binary_count", "binary_count_normalized", "aggregate_count_normalized"]
 MATRIX_VARIANTS = ["count", *VARIANTS]
@@ -31,12 +31,17 @@ def _restriction(columns: Columns) -> Column | None:
 
 
 def _long(df: DataFrame, columns: Columns, ids: list[str]) -> DataFrame:
-    """One row per cell of the counted columns."""
-    cells = df.select(*ids, *[F.col(name).cast("string").alias(name) for name in columns
-                              if name not in ids])
-    if any(name in ids for name in columns):
+    """One row per cell of the counted columns, NULL cells included.
+
+    Exploding an array instead of an unpivot: the shuffle after it can then be shared by the
+    two sides of a join.
+    """
+    names = list(columns)
+    if any(name in ids for name in names):
         raise ValueError("a counted column cannot be the group column")
-    return cells.unpivot(ids, list(columns), "column_name", "value")
+    cells = [F.struct(F.lit(name).alias("column_name"), F.col(name).cast("string").alias("value"))
+             for name in names]
+    return df.select(*ids, F.explode(F.array(*cells)).alias("cell")).select(*ids, "cell.*")
 
 
 def value_frequency(df: DataFrame, columns: Columns, keep: Mapping | None = None,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from logstrata.functions.languages import (HASH_COMMENTS, JAVA_KEYWORDS, JAVA_WORD_TYPES,
                                            NO_COMMENTS, lexer_name)
 from logstrata.functions.text import not_blank
+from logstrata.operators.skew import lookup_side
 from logstrata.schemas import keys
 
 _MARK = "\x01"
@@ -188,7 +189,7 @@ def content_tokens(patches: DataFrame, blobs: DataFrame, commits: DataFrame,
     changed = patches.select(
         *key, "path", F.col(f"commit_{count}").alias("number_of_changes"), count,
         F.transform(shown, lambda l: l["line_no"]).alias("line_numbers"))
-    files = (changed.filter(F.col(count) > 0).join(version, key)
+    files = (changed.filter(F.col(count) > 0).join(lookup_side(version), key)
              .join(blobs, keys(blobs, "sha", "path")))
     tokens = line_tokens(files.select(*key, "path", "number_of_changes", "line_numbers", "text"))
     return tokens.select(
@@ -202,7 +203,7 @@ def content_rejects(patches: DataFrame, blobs: DataFrame, commits: DataFrame,
     """Files with lines to analyse whose text is not among the blobs."""
     _, count, version = _side(commits, analyze_part)
     key = keys(patches, "commit_sha")
-    files = patches.filter(F.col(count) > 0).select(*key, "path").join(version, key)
+    files = patches.filter(F.col(count) > 0).select(*key, "path").join(lookup_side(version), key)
     return (files.join(blobs, keys(blobs, "sha", "path"), "left_anti")
             .select(*key, F.lit("content_missing").alias("reason"),
                     F.lit("Content").alias("stage")).distinct())

@@ -15,8 +15,8 @@ from logstrata.schemas import keys
 class History:
     """The tables of one or many repositories and how to tell a fix.
 
-    ``diffs`` is optional text per commit; ``counts`` and ``lines`` may be given instead of it
-    where diffs are kept as lines already.
+    ``diffs`` holds the diff text of each commit; ``lines`` may be given instead, where diffs
+    are kept as lines already. ``label`` may be a column of ``issues``.
     """
 
     commits: DataFrame

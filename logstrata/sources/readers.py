@@ -17,6 +17,16 @@ def resolve_format(path: str, fmt: str | None = None) -> str:
     return fmt
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that is stored in fewer pieces than there are cores.
+
+    For a small table in one file, whose text would otherwise be parsed by one task. A table
+    with enough pieces is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _csv(spark: SparkSession, path: str, **options) -> DataFrame:
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1)
