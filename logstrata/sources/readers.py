@@ -27,10 +27,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def _csv(spark: SparkSession, path: str, **options) -> DataFrame:
+def _csv(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1)
-            .options(**options).csv(path))
+            .csv(path))
 
 
 def read_issues(spark: SparkSession, path: str, fmt: str | None = None,
@@ -47,7 +47,7 @@ def read_issues(spark: SparkSession, path: str, fmt: str | None = None,
                 .option("escape", "").option("maxCharsPerColumn", -1).csv(path))
         record = F.from_json("value", ISSUES, {"mode": "FAILFAST"})
         return with_id_lists(text.select(record.alias("issue")).select("issue.*"))
-    table = _csv(spark, path, nullValue="\x00")
+    table = _csv(spark, path).na.fill("")
     for name in ISSUE_ID_LISTS:
         if name in table.columns:
             parts = F.transform(F.split(name, f"[{list_separator}]"),
