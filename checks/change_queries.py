@@ -153,6 +153,13 @@ def changes_on_not_fixed_files(t):
     return changes.changes_on_not_fixed_files(every, fixed)
 
 
+@query("time_deleted_lines_numbered", f"""
+       select row_number() over (order by fix_commit_sha, blame_commit_sha) line_number, *
+       from ({PER_COMMIT.format(where='true')})""", **WITH_BLAME)
+def time_deleted_lines_numbered(t):
+    return lines_history(t).time_deleted_lines("all", numbered=True)
+
+
 @query("blamed_lines", "select * from joined", joined=JOINED)
 def blamed_lines(t):
     return (blame.blamed_lines(lines_of(t), t("fx_blame_lines"))

@@ -103,7 +103,7 @@ def token_offsets(t):
 def tokens_of_lines(t):
     files = t("fx_files").select("path", "text", F.sequence(
         F.lit(1), F.size(F.split("text", "\n"))).alias("line_numbers"))
-    return tokens.line_tokens(files)
+    return tokens.line_tokens(files).drop("token_position")
 
 
 CONTENT = """
@@ -142,6 +142,17 @@ def content_tokens_kept(t):
                        "Token.Keyword.Type"]})
 
 
+@query("content_tokens_numbered", f"""
+       select row_number() over (order by doc_id, line_no, token_no) line_number, hex_hash,
+              lexer_name, code_line_number, file_name, token_content, token_type, line_content,
+              number_of_tokens, number_of_changes
+       from ({CONTENT.replace('select commit_sha hex_hash', 'select line_no, token_no, commit_sha hex_hash')})
+       join (select commit_seq doc_id, commit_sha hex_hash from fx_files) using (hex_hash)""",
+       **NAMED)
+def content_tokens_numbered(t):
+    return _file_history(t, "added").content_tokens("all", "added", numbered=True)
+
+
 @query("content_rejects", """select md5(cast(doc_id as varchar)) commit_sha,
        'content_missing' reason, 'Content' stage from documents
        where doc_id not in (select doc_id from labels)

@@ -36,10 +36,13 @@ def _per_file(lines: DataFrame, blame_lines: DataFrame) -> DataFrame:
     """
     key = keys(lines, "commit_sha")
     carried = [name for name in CARRIED if name in lines.columns]
+    # An unknown origin is an empty id: were it NULL, the joins that follow would let the
+    # optimizer drop it early for the facts but not for the verdict, and join the lines twice.
     counts = (blamed_lines(lines, blame_lines)
+              .withColumn("blame_commit_sha", F.coalesce("blame_commit_sha", F.lit("")))
               .groupBy(*key, "path", "blame_commit_sha", *carried)
               .agg(F.count("*").alias("n_lines")))
-    missing = F.when(F.col("blame_commit_sha").isNull(), F.col("n_lines")).otherwise(0)
+    missing = F.when(F.col("blame_commit_sha") == "", F.col("n_lines")).otherwise(0)
     sums = {"n_missing": missing}
     if carried:
         for name, total in CARRIED.items():

@@ -57,8 +57,10 @@ def commit_totals(counts: DataFrame) -> DataFrame:
         F.sum("adds").alias("total_added_lines"), F.sum("deletes").alias("total_deleted_lines"))
 
 
-def of_cohort(table: DataFrame, commits: DataFrame) -> DataFrame:
-    """The rows of a commit-keyed table whose commit is in the cohort."""
+def of_cohort(table: DataFrame, commits: DataFrame | None) -> DataFrame:
+    """The rows of a commit-keyed table whose commit is in the cohort; None means all."""
+    if commits is None:
+        return table
     key = keys(table, "commit_sha")
     return table.join(lookup_side(commits.select(*key)), key, "left_semi")
 
@@ -71,7 +73,7 @@ def limit_to_files(counts: DataFrame, files: DataFrame | None) -> DataFrame:
     return counts.join(lookup_side(files.select(*key).distinct()), key, "left_semi")
 
 
-def count_changes(counts: DataFrame, commits: DataFrame,
+def count_changes(counts: DataFrame, commits: DataFrame | None = None,
                   files: DataFrame | None = None) -> DataFrame:
     """Added, deleted and changed lines per commit and file, blank lines included."""
     chosen = limit_to_files(of_cohort(counts, commits), files)

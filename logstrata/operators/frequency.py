@@ -68,13 +68,13 @@ def side_by_side(frequency: DataFrame) -> DataFrame:
     """
     metric = [c for c in frequency.columns if c not in ("column_name", "value")][0]
     names = [row.column_name for row in column_cardinality(frequency).collect()]
-    wide = None
-    for name in names:
+    wide = frequency.select(F.lit(0).alias("row_number")).limit(0)
+    for i, name in enumerate(names):
         part = with_line_number(
             frequency.filter(F.col("column_name") == name)
             .select(F.col("value").alias(name), F.col(metric).alias(f"{name}_value")),
             [F.desc(f"{name}_value"), F.col(name)], "row_number")
-        wide = part if wide is None else wide.join(part, "row_number", "left")
+        wide = wide.join(part, "row_number", "left") if i else part
     return wide
 
 
@@ -170,7 +170,12 @@ def frequency_matrix(df: DataFrame, column: str, group: str, values: Iterable |
             raise ValueError(f"more than {limit} values: use frequency_cells")
         values = sorted((row.value for row in found), key=lambda v: (v is not None, v))
     values = list(values)
-    cells = frequency_cells(df, [column], group, keep)
+    if variant in ("count", "binary_count"):
+        counts = grouped_counter(df, [column], group, keep)
+        cells = counts.select(group, "value", F.col("n").alias("count"),
+                              F.lit(1).cast("long").alias("binary_count"))
+    else:
+        cells = frequency_cells(df, [column], group, keep)
     wide = cells.groupBy(group).pivot("value", values).agg(F.first(variant))
     zeros = [F.coalesce(F.col(f"`{name}`"), F.lit(0)).alias(name)
              for name in wide.columns if name != group]

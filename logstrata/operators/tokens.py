@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from logstrata.functions.languages import (HASH_COMMENTS, JAVA_KEYWORDS, JAVA_WORD_TYPES,
                                            NO_COMMENTS, lexer_name)
 from logstrata.functions.text import not_blank
+from logstrata.operators.numbering import with_line_number
 from logstrata.operators.skew import lookup_side
 from logstrata.schemas import keys
 
@@ -156,11 +157,11 @@ def line_tokens(files: DataFrame) -> DataFrame:
             .filter(F.col("line").isNotNull())
             .select(*kept, "lexer_name", "line.code_line_number", "line.line_content",
                     F.size("line.tokens").cast("long").alias("number_of_tokens"),
-                    F.explode_outer("line.tokens").alias("token"))
+                    F.posexplode_outer("line.tokens").alias("token_position", "token"))
             .filter(F.col("token").isNotNull()))
     return rows.select(
         *kept, "lexer_name", "code_line_number", "line_content", "number_of_tokens",
-        "token.token_content",
+        "token_position", "token.token_content",
         token_type(F.col("token.token_content"), lexer, F.col("token.before"),
                    F.col("token.after")).alias("token_type"))
 
@@ -177,23 +178,32 @@ def _side(commits: DataFrame, analyze_part: str) -> tuple[str, str, DataFrame]:
 
 
 def content_tokens(patches: DataFrame, blobs: DataFrame, commits: DataFrame,
-                   analyze_part: str = "deleted") -> DataFrame:
+                   analyze_part: str = "deleted", numbered: bool = False) -> DataFrame:
     """Tokens of the changed lines of a cohort that are not blank.
 
     Added lines are read in the commit's own files, deleted ones in those of its first parent.
-    number_of_changes is the commit's number of analysed lines.
+    number_of_changes is the commit's number of analysed lines. ``numbered`` adds line_number,
+    in the order of commit_seq, file, line and token.
     """
     column, count, version = _side(commits, analyze_part)
     key = keys(patches, "commit_sha")
+    place = ["commit_seq", "file_no"] if numbered else []
     shown = F.filter(column, lambda l: not_blank(l["value"]))
     changed = patches.select(
-        *key, "path", F.col(f"commit_{count}").alias("number_of_changes"), count,
+        *key, "path", *place[1:], F.col(f"commit_{count}").alias("number_of_changes"), count,
         F.transform(shown, lambda l: l["line_no"]).alias("line_numbers"))
+    if numbered:
+        version = version.join(commits.select(*key, "commit_seq"), key)
     files = (changed.filter(F.col(count) > 0).join(lookup_side(version), key)
              .join(blobs, keys(blobs, "sha", "path")))
-    tokens = line_tokens(files.select(*key, "path", "number_of_changes", "line_numbers", "text"))
+    tokens = line_tokens(files.select(*key, "path", *place, "number_of_changes", "line_numbers",
+                                      "text"))
+    if numbered:
+        tokens = with_line_number(tokens, [*keys(patches), *place, "code_line_number",
+                                           "token_position"])
     return tokens.select(
-        *keys(patches), F.col("commit_sha").alias("hex_hash"), "lexer_name", "code_line_number",
+        *(["line_number"] if numbered else []), *keys(patches),
+        F.col("commit_sha").alias("hex_hash"), "lexer_name", "code_line_number",
         F.col("path").alias("file_name"), "token_content", "token_type", "line_content",
         "number_of_tokens", "number_of_changes")
 

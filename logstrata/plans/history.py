@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.operators import blame, changes, cohorts, diff, tokens
+from logstrata.operators.numbering import with_line_number
 from logstrata.schemas import keys
 
 
@@ -55,7 +56,8 @@ class History:
         return changes.commit_messages(self.cohort(name))
 
     def count_changes(self, name: str = "all", files: DataFrame | None = None) -> DataFrame:
-        return changes.count_changes(self.counts(), self.cohort(name), files)
+        commits = None if name == "all" else self.cohort(name)
+        return changes.count_changes(self.counts(), commits, files)
 
     def touched_files(self, name: str = "fix") -> DataFrame:
         if self.diffs is None:
@@ -75,11 +77,16 @@ class History:
         return blame.deleted_lines_behavior(self._blame_input(name), self.blame_lines,
                                             self.commits)
 
-    def time_deleted_lines(self, name: str = "fix") -> DataFrame:
-        return blame.time_deleted_lines(self._blame_input(name), self.blame_lines, self.commits)
+    def time_deleted_lines(self, name: str = "fix", numbered: bool = False) -> DataFrame:
+        facts = blame.time_deleted_lines(self._blame_input(name), self.blame_lines, self.commits)
+        if not numbered:
+            return facts
+        return with_line_number(facts, keys(facts, "fix_commit_sha", "blame_commit_sha"))
 
-    def content_tokens(self, name: str = "fix", analyze_part: str = "deleted") -> DataFrame:
-        return tokens.content_tokens(self.patches(), self.blobs, self.cohort(name), analyze_part)
+    def content_tokens(self, name: str = "fix", analyze_part: str = "deleted",
+                       numbered: bool = False) -> DataFrame:
+        return tokens.content_tokens(self.patches(), self.blobs, self.cohort(name), analyze_part,
+                                     numbered)
 
     def rejects(self) -> DataFrame:
         """Commits without facts: stage, commit and reason."""

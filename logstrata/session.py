@@ -18,6 +18,8 @@ def build_session(app_name: str = "logstrata", master: str | None = None,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a hot key even where that costs another shuffle of the join's result.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **(settings or {})}.items():

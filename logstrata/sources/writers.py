@@ -3,9 +3,10 @@ and files, small ones do not leave a file per task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logstrata.functions.text import capitalized
 from logstrata.operators.changes import commit_messages
 from logstrata.operators.frequency import MATRIX_VARIANTS, frequency_matrix
 
@@ -55,8 +56,6 @@ def write_variants(long_frequency: DataFrame, path: str) -> None:
     write_facts(long_frequency, path, "csv", ["variant"])
 
 
-def cohort_names(language, repo, cohort):
+def cohort_names(language: Column, repo: Column, cohort: Column) -> Column:
     """``Java_Elasticsearch_Fix`` and the like, as a column."""
-    from logstrata.functions.text import capitalized
-
     return F.concat_ws("_", capitalized(language), capitalized(repo), cohort)

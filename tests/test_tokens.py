@@ -125,6 +125,10 @@ def test_content_tokens_take_the_version_of_the_side(spark):
                                   "sha string, path string, text string")
     patches = parse_unified_diff(diffs)
     added = tokens.content_tokens(patches, blobs, commits, "added").collect()
+    seq = commits.withColumn("commit_seq", F.lit(1))
+    numbered = tokens.content_tokens(patches, blobs, seq, "added", numbered=True).collect()
+    assert [(r.line_number, r.token_content) for r in numbered] == list(
+        enumerate(["int", "c", ";", "int", "d", ";"], 1))
     gone = tokens.content_tokens(patches, blobs, commits, "deleted").collect()
     assert [r.token_content for r in added] == ["int", "c", ";", "int", "d", ";"]
     assert [r.token_content for r in gone] == ["int", "b", ";"]
