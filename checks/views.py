@@ -20,7 +20,7 @@ BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 FACTS = ["orders", "lineitem", "events", "documents"]
 
 DIALECTS = {
-    "spark": {"EPOCH": "unix_timestamp(cast(o_orderdate as timestamp))",
+    "spark": {"EPOCH": "cast(unix_date(cast(o_orderdate as date)) as bigint) * 86400",
               "SPLIT": "split(l, '[|]')", "EMPTY": "cast(array() as array<string>)",
               "HAS": "array_contains", "TEXT": "string",
               "TOKENS": "explode(regexp_extract_all(text, r'{rx}', 0))"},
