@@ -59,7 +59,7 @@ def _config(t):
         'language_label', 'java', 'repo_base_address', 'repos', 'issue_base_address', 'issues',
         'output_folder', 'out', 'retrieve_other_commit_id_from_issue_tracker', true,
         'consider_issues_without_labels_as_other', true, 'log_flag', false)) value
-        from region where r_regionkey = 0""")
+        from (select count(*) from region)""")
     repos = t.sql(f"""select 1 place, to_json(named_struct('repo_name', repo,
         'issue_file_name', issue_file_name, 'bug_label', bug_label)) value from ({CONFIG})""")
     lines = shared.unionByName(repos).orderBy("place").select("value")

@@ -64,7 +64,7 @@ def issue_scan_csv(t):
 
 @query("facts_csv_round_trip", f"""select commit_sha, cast(deleted_lines as varchar) deleted_lines,
        cast(added_lines as varchar) added_lines, path file_paths,
-       nullif(author_email, '') author_email, authored_date, authored_time_zone_offset, author
+       author_email, authored_date, authored_time_zone_offset, author
        from counts join (select commit_sha, {HEADER} from fx_commits) c using (commit_sha)""",
        counts=COUNTS)
 def facts_csv_round_trip(t):

@@ -57,7 +57,7 @@ TYPED = f"""
                      and before not in ({_NOT_TYPES}) then 'Token.Name.Function'
                 when word then 'Token.Name'
                 when regexp_matches(token_content, '^[0-9]') then 'Token.Literal.Number'
-                when regexp_matches(token_content, '{tokens.OPERATORS}') then 'Token.Operator'
+                when token_content in ({_quoted(tokens.OPERATORS)}) then 'Token.Operator'
                 else 'Token.Error' end token_type
     from (select *, path like '%.java' java,
                  regexp_matches(token_content, '^[\\p{{L}}_$]') word,

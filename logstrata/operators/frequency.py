@@ -169,14 +169,16 @@ def frequency_matrix(df: DataFrame, column: str, group: str, values: Iterable |
         if len(found) > limit:
             raise ValueError(f"more than {limit} values: use frequency_cells")
         values = sorted((row.value for row in found), key=lambda v: (v is not None, v))
-    values = list(values)
+    # NULL and the empty text share the column of the empty text.
+    values = sorted({value or "" for value in values}) if None in values else list(values)
     if variant in ("count", "binary_count"):
         counts = grouped_counter(df, [column], group, keep)
         cells = counts.select(group, "value", F.col("n").alias("count"),
                               F.lit(1).cast("long").alias("binary_count"))
     else:
         cells = frequency_cells(df, [column], group, keep)
-    wide = cells.groupBy(group).pivot("value", values).agg(F.first(variant))
+    cells = cells.select(group, F.coalesce("value", F.lit("")).alias("value"), variant)
+    wide = cells.groupBy(group).pivot("value", values).agg(F.sum(variant))
     zeros = [F.coalesce(F.col(f"`{name}`"), F.lit(0)).alias(name)
              for name in wide.columns if name != group]
     return wide.select(group, *zeros)

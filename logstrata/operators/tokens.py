@@ -34,7 +34,7 @@ WORD = r"[\p{L}_$][\p{L}\p{N}_$]*"
 NUMBER = (r"0[xX][0-9A-Fa-f_]+[lL]?"
           r"|[0-9][0-9_]*(?:\.[0-9_]+)?(?:[eE][+-]?[0-9]+)?[fFdDlL]?")
 OTHER = r"[^ \t\n\x0b\f\r]"
-OPERATORS = r"^[~^*!%&\[\](){}<>|+=:;,./?-]$"
+OPERATORS = list("~^*!%&[](){}<>|+=:;,./?-")
 
 GRAMMARS = {
     "slash": "|".join([LINE_COMMENT, BLOCK_COMMENT, STRING, CHARACTER, ANNOTATION, WORD, NUMBER,
@@ -58,29 +58,45 @@ def _pieces(text: Column, lexer: Column) -> Column:
             .when(lexer.isin(NO_COMMENTS), cut("plain")).otherwise(cut("slash")))
 
 
+def _java_word_type(content: Column, before: Column, after: Column) -> Column:
+    """Type of a Java word from itself and its neighbours."""
+    reserved = [w for w in JAVA_KEYWORDS if w not in JAVA_WORD_TYPES["Token.Keyword.Type"]]
+    branches = [(content.isin(words), name) for name, words in JAVA_WORD_TYPES.items()]
+    branches += [
+        (content.isin(JAVA_KEYWORDS), "Token.Keyword"),
+        (before.isin("class", "interface", "enum"), "Token.Name.Class"),
+        (before.isin("import", "package"), "Token.Name.Namespace"),
+        (before == ".", "Token.Name.Attribute"),
+        ((after == "(") & before.rlike(r"^[\p{L}_$>\]]") & ~before.isin(reserved),
+         "Token.Name.Function")]
+    kind = F.when(*branches[0])
+    for branch in branches[1:]:
+        kind = kind.when(*branch)
+    return kind.otherwise("Token.Name")
+
+
 def token_type(content: Column, lexer: Column, before: Column, after: Column) -> Column:
-    """Coarse type from the token and its neighbours. Word types are those of Java."""
-    java = lexer == "Java"
-    word = content.rlike(r"^[\p{L}_$]")
-    named = before.rlike(r"^[\p{L}_$>\]]") & ~before.isin(
-        *[w for w in JAVA_KEYWORDS if w not in JAVA_WORD_TYPES["Token.Keyword.Type"]])
-    kind = F.when(content.rlike(r"^(?://|/\*)") & ~lexer.isin(NO_COMMENTS + HASH_COMMENTS),
-                  F.when(content.startswith("//"), "Token.Comment.Single")
-                  .otherwise("Token.Comment.Multiline"))
-    kind = kind.when(content.startswith("#") & lexer.isin(HASH_COMMENTS), "Token.Comment.Single")
-    kind = kind.when(content.rlike(r'^".'), "Token.Literal.String")
-    kind = kind.when(content.rlike("^'."), "Token.Literal.String.Char")
-    kind = kind.when(content.rlike("^@."), "Token.Name.Decorator")
-    for name, words in JAVA_WORD_TYPES.items():
-        kind = kind.when(java & content.isin(words), name)
-    kind = kind.when(java & content.isin(JAVA_KEYWORDS), "Token.Keyword")
-    kind = kind.when(java & word & before.isin("class", "interface", "enum"), "Token.Name.Class")
-    kind = kind.when(java & word & before.isin("import", "package"), "Token.Name.Namespace")
-    kind = kind.when(java & word & (before == "."), "Token.Name.Attribute")
-    kind = kind.when(java & word & (after == "(") & named, "Token.Name.Function")
-    kind = kind.when(word, "Token.Name")
-    kind = kind.when(content.rlike("^[0-9]"), "Token.Literal.Number")
-    return kind.when(content.rlike(OPERATORS), "Token.Operator").otherwise("Token.Error")
+    """Coarse type from the token and its neighbours. Word types are those of Java.
+
+    Byte comparisons come first; a regular expression is left for words only.
+    """
+    first, longer = F.substring(content, 1, 1), F.length(content) > 1
+    return (F.when(content.startswith("//"), "Token.Comment.Single")
+            .when(content.startswith("/*"), "Token.Comment.Multiline")
+            .when((first == "#") & lexer.isin(HASH_COMMENTS), "Token.Comment.Single")
+            .when((first == '"') & longer, "Token.Literal.String")
+            .when((first == "'") & longer, "Token.Literal.String.Char")
+            .when((first == "@") & longer, "Token.Name.Decorator")
+            .when(first.between("0", "9"), "Token.Literal.Number")
+            .when(content.isin(OPERATORS), "Token.Operator")
+            .when(~content.rlike(r"^[\p{L}_$]"), "Token.Error")
+            .when(lexer == "Java", _java_word_type(content, before, after))
+            .otherwise("Token.Name"))
+
+
+def _shown(content: Column) -> Column:
+    """Not blank; a token of several characters never is."""
+    return (F.length(content) > 1) | not_blank(content)
 
 
 def _token(pieces: Column, i: Column) -> Column:
@@ -114,7 +130,7 @@ def tokenize(blobs: DataFrame, offsets: bool = True) -> DataFrame:
         rows = rows.withColumn("token_start", F.coalesce(
             F.sum(F.length("token_content").cast("long")).over(window), F.lit(0)))
         extra = ["token_start"]
-    tokens = rows.filter((F.col("piece_no") % 2 == 1) & not_blank(F.col("token_content")))
+    tokens = rows.filter((F.col("piece_no") % 2 == 1) & _shown(F.col("token_content")))
     return tokens.select(
         *key, "lexer_name", F.floor(F.col("piece_no") / 2).alias("token_no"), *extra,
         "token_content",
@@ -149,7 +165,7 @@ def line_tokens(files: DataFrame) -> DataFrame:
         return F.struct(
             line.cast("long").alias("code_line_number"),
             F.concat(F.get(F.col("lines"), at - 1), closing).alias("line_content"),
-            F.filter(tokens, lambda t: not_blank(t["token_content"])).alias("tokens"))
+            F.filter(tokens, lambda t: _shown(t["token_content"])).alias("tokens"))
 
     present = F.filter("line_numbers", lambda n: (n >= 1) & (n <= F.size("lines")))
     rows = (cut.select(*kept, "lexer_name", F.explode_outer(F.transform(present, slice_of))

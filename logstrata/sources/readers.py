@@ -30,7 +30,7 @@ def spread(df: DataFrame) -> DataFrame:
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1)
-            .csv(path))
+            .csv(path).na.fill(""))
 
 
 def read_issues(spark: SparkSession, path: str, fmt: str | None = None,
@@ -47,7 +47,7 @@ def read_issues(spark: SparkSession, path: str, fmt: str | None = None,
                 .option("escape", "").option("maxCharsPerColumn", -1).csv(path))
         record = F.from_json("value", ISSUES, {"mode": "FAILFAST"})
         return with_id_lists(text.select(record.alias("issue")).select("issue.*"))
-    table = _csv(spark, path).na.fill("")
+    table = _csv(spark, path)
     for name in ISSUE_ID_LISTS:
         if name in table.columns:
             parts = F.transform(F.split(name, f"[{list_separator}]"),
@@ -57,7 +57,10 @@ def read_issues(spark: SparkSession, path: str, fmt: str | None = None,
 
 
 def read_facts(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """A fact table with a header, all columns text; parquet keeps its own types."""
+    """A fact table with a header, all columns text, empty cells empty text.
+
+    Parquet keeps its own types.
+    """
     if fmt == "parquet":
         return spark.read.parquet(path)
     return _csv(spark, path)

@@ -17,7 +17,7 @@ def write_facts(df: DataFrame, path: str, output_format: str = "parquet",
     if output_format not in ("parquet", "csv"):
         raise ValueError("output_format must be parquet or csv")
     if partition_by:
-        df = df.hint("rebalance", *partition_by)
+        df = df.hint("rebalance", *[F.col(name) for name in partition_by])
     writer = df.write.mode("overwrite").partitionBy(*(partition_by or []))
     if output_format == "parquet":
         writer.option("compression", "gzip").parquet(path)

@@ -79,6 +79,14 @@ def test_matrix_equals_cells(facts):
         assert len(wide) == 7
 
 
+def test_matrix_of_empty_values(facts):
+    rows = frequency.frequency_matrix(facts, "w", "g").collect()
+    expected = Counter((r[1], r[3] or "") for r in _rows())
+    assert len(rows) == 7
+    for row in rows:
+        assert (row[""], row["x"]) == (expected[row.g, ""], expected[row.g, "x"])
+
+
 def test_matrix_refuses_a_large_vocabulary(spark, facts):
     spark.conf.set("spark.sql.pivotMaxValues", "3")
     try:
