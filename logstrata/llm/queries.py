@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logstrata.llm import (decontamination, html_text, language, outliers, pieces, sharding, warc)
-from logstrata.llm.common import documents
+from logstrata.llm import (decontamination, html_text, language, outliers, pieces, sharding, substrings,
+                           warc)
+from logstrata.llm.common import append_columns, byte_texts, documents
 from logstrata.session import scratch_path
 
 N_SHARDS = 40
@@ -69,6 +73,24 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+
+    def digest():
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = [substrings.kept_words(text, runs) for text, runs in
+                     zip(byte_texts(batch.column(0)), batch.column(1).to_pylist())]
+            return [pa.array([f[0] for f in found], pa.int64()),
+                    pa.array([f[1] for f in found], pa.int64()),
+                    pa.array([hashlib.sha256(f[2]).hexdigest() for f in found], pa.string())]
+        return work
+
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+              T.StructField("kept_sha256", T.StringType())]
+    marked = append_columns(substrings.find_repeats(docs), fields, digest, ["text", "repeats"])
+    return marked.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return pieces.piece_digests(docs, tokenizer_path()).drop("text")
@@ -85,7 +107,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_sharding, op3_warc, op5_quality_rules, op7_html_extraction,
-    op9_sentencepiece, op10_language_id)}
+    op8_substring_dedup, op9_sentencepiece, op10_language_id)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
@@ -128,4 +150,22 @@ ORACLES = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM h""",
+    "op8_substring_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+                coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        win AS (
+            SELECT r, p, sha256(array_to_string(w[p:p + 34], ' ')) AS s FROM (
+                SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+        twice AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+        gone AS (
+            SELECT DISTINCT r, unnest(range(p, p + 35)) AS q FROM win SEMI JOIN twice USING (s)),
+        words AS (SELECT r, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS x FROM d),
+        kept AS (
+            SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY q) AS t
+            FROM words ANTI JOIN gone USING (r, q) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+               CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)""",
 }
