@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.llm import decontamination, outliers, pieces
+from logstrata.llm import decontamination, outliers, pieces, probminhash, substrings
 from logstrata.llm.common import documents
 from logstrata.llm.queries import tokenizer_path
 from logstrata.session import scratch_path
@@ -19,6 +19,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return outliers.keep_sound(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts that are alike: that with the least id."""
+    return probminhash.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that repeat; n_chars tells the new length."""
+    shorter = substrings.without_repeats(docs)
+    return shorter.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window; the others go."""
     found = decontamination.find_benchmark_text(docs, documents(spark, sf_dir, "benchmark"))
@@ -26,13 +37,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the ids of their text and what the ids decode to."""
+    """All documents with the ids of their text, and whether decoding gives the text again."""
     model = tokenizer_path()
-    encoded = pieces.encode_pieces(docs, model)
-    return encoded.select("*", F.size("ids").cast("long").alias("n_tokens"))
+    decoded = pieces.decode_pieces(pieces.encode_pieces(docs, model), model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return decoded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"),
+                          same.alias("decodes"))
 
 
-STAGES = [("quality rules", quality_rules), ("decontamination", decontaminate),
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates),
+          ("substring dedup", substring_dedup), ("decontamination", decontaminate),
           ("sentencepiece", encode)]
 
 

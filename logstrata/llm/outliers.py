@@ -266,3 +266,17 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return judged.select("*", distance.alias("distance")).select(
         *[f"`{c}`" for c in given.columns if c != text_col], *names[:6], "base_failed",
         kept.alias("kept"))
+
+
+def keep_sound(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents that ``judge`` keeps, with their columns; verdicts join by id and text."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rid = F.xxhash64(F.col(f"`{id_col}`"), text)
+    judged = judge(docs.select(rid.alias("__rid"), F.col(f"`{text_col}`").alias("text"),
+                               F.col(f"`{lang_col}`").alias("lang"),
+                               F.col(f"`{source_col}`").alias("source")))
+    gone = judged.where("not kept").select(F.col("__rid").alias("__gone")).distinct()
+    rows = docs.select("*", rid.alias("__rid"))
+    return rows.join(lookup_side(gone), F.col("__rid") == F.col("__gone"), "left_anti") \
+        .select(*[f"`{c}`" for c in docs.columns])

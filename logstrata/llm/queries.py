@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logstrata.llm import (decontamination, html_text, language, outliers, pieces, sharding, substrings,
-                           warc)
+from logstrata.llm import (decontamination, html_text, language, ngram_trie, outliers, pieces,
+                           probminhash, sharding, substrings, warc)
 from logstrata.llm.common import append_columns, byte_texts, documents
 from logstrata.session import scratch_path
 
@@ -63,11 +63,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return outliers.judge(docs).drop("lang", "source")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text",
+                                           (id_remainder(10) == 0).alias("held_out"))
+    return ngram_trie.score_texts(docs, "held_out")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = documents(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
@@ -106,7 +116,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_sharding, op3_warc, op5_quality_rules, op7_html_extraction,
+    op1_decontamination, op2_sharding, op3_warc, op4_probminhash, op5_quality_rules, op6_lm_scoring,
+    op7_html_extraction,
     op8_substring_dedup, op9_sentencepiece, op10_language_id)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logstrata.llm.common import (GOLDEN, byte_texts, coded_words, mixed, rolling, signed, sliced,
-                                  without, word_hashes)
+from logstrata.llm.common import (GOLDEN, append_columns, byte_texts, coded_words, mixed,
+                                  rolling, signed, sliced, without, word_hashes)
 from logstrata.operators.skew import lookup_side
 from logstrata.session import cut_lineage
 
@@ -283,3 +283,25 @@ def kept_words(text: bytes, repeats: list[dict]) -> tuple[int, int, bytes]:
         at = run["end"]
     kept += words[at:]
     return len(words), len(words) - len(kept), b" ".join(kept)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated words (see ``find_repeats``) taken out of the texts.
+
+    A text that loses words becomes the others, joined by one space; all other texts stay as
+    they are. Every row stays.
+    """
+    found = find_repeats(docs, id_col, text_col, window)
+    names = [c for c in found.columns if c != "repeats"]
+
+    def cut():
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = [kept_words(text or b"", runs)[2] if runs else text for text, runs in
+                     zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist())]
+            return [pa.array(texts, pa.binary()).cast(pa.string())]
+        return work
+
+    field = T.StructField("__kept", T.StringType())
+    shorter = append_columns(found, [field], cut, [text_col, "repeats"])
+    return shorter.select(*[F.col("__kept").alias(c) if c == text_col else f"`{c}`" for c in names])
