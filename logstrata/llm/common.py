@@ -55,11 +55,14 @@ def append_columns(df: DataFrame, fields: list[T.StructField],
 
 
 def sliced(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of one text column, a longer text alone.
+    """Slices of a batch with about ``limit`` bytes of one text or list column, a longer one alone.
 
     Rows in Python take many times their size in Arrow; this bounds what is unpacked at once.
     """
-    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    held = batch.column(column)
+    size = pc.multiply(pc.list_value_length(held), 8) if pa.types.is_list(held.type) \
+        else pc.binary_length(held)
+    size = size.fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // limit
     begin = 0
     for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
