@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logstrata.session import scratch_path
+
 SLICE_BYTES = 4 * 1024 * 1024
 WHITE = "[\\x20\\x09-\\x0D]+"
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -22,6 +24,13 @@ def documents(spark, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: smaller than a checkpoint if large."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less the columns an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}

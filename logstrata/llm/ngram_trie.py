@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstrata.llm.common import GOLDEN, byte_texts, coded_words, mixed, signed, sliced, word_hashes
+from logstrata.llm.common import GOLDEN, byte_texts, coded_words, mixed, signed, sliced, stored, word_hashes
 from logstrata.operators.skew import lookup_side
 from logstrata.session import cut_lineage
 
@@ -53,9 +53,12 @@ class EliasFano:
         width = max(0, (top // max(1, n)).bit_length() - 1)
         bits = np.zeros(0, np.uint8)
         if width:
-            mask = values & np.uint64((1 << width) - 1)
-            spread = ((mask[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-            bits = np.packbits(spread.ravel(), bitorder="little")
+            powers, parts = np.arange(width, dtype=np.uint64), []
+            for begin in range(0, n, 1 << 15):  # whole bytes each
+                part = values[begin:begin + (1 << 15), None] >> powers
+                parts.append(np.packbits((part & np.uint64(1)).astype(np.uint8).ravel(),
+                                         bitorder="little"))
+            bits = np.concatenate(parts)
         ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         unary[ones] = 1
@@ -292,18 +295,19 @@ def _scored(blobs: list[bytes], hot: np.ndarray, hot_learnt: np.ndarray, mu: flo
         bv, bw, own, brids, bheld = _unpack(blob)
         v.append(bv)
         w.append(bw)
-        text.append(own.astype(np.int64) + texts)
+        text.append((own + np.uint32(texts)).astype(np.int32))
         rids.append(brids)
         held.append(bheld.astype(bool))
         texts += len(brids)
     v, w, text, rids, held = (np.concatenate(x) for x in (v, w, text, rids, held))
-    order = np.lexsort((w, v))
+    order = np.lexsort((w, v)).astype(np.int32)
     v, w, text = v[order], w[order], text[order]
+    del order
     learnt = ~held[text]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
     first = np.flatnonzero(new)
-    pair = np.cumsum(new) - 1
+    pair = (np.cumsum(new) - 1).astype(np.int32)
     pair_v, pair_w = v[first], w[first]
     count = np.bincount(pair, learnt, len(first))
     all_contexts, context = np.unique(pair_v, return_inverse=True)
@@ -392,8 +396,8 @@ def score_texts(docs: DataFrame, held_out_col: str, id_col: str = "doc_id", text
     def score(frame: pd.DataFrame) -> pd.DataFrame:
         return _scored(frame["pairs"].tolist(), hot, hot_learnt, mu)
 
-    found = cut_lineage(rows.mapInArrow(pack, "shard int, pairs binary").groupBy("shard").applyInPandas(
-        score, "kind int, a long, b long, n long, x double, y double"))
+    found = stored(rows.mapInArrow(pack, "shard int, pairs binary").groupBy("shard").applyInPandas(
+        score, "kind int, a long, b long, n long, x double, y double"), "ngram-sums")
     words = F.filter(F.split(F.translate("text", "\t\n\u000b\f\r", "     "), " ", -1), lambda t: t != "")
     facts = cut_lineage(given.select("id", "rid", "held", (F.size(words) + 1).cast("long").alias("n_tokens")))
 
