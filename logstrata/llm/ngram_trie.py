@@ -26,8 +26,8 @@ from logstrata.operators.skew import lookup_side
 from logstrata.session import cut_lineage
 
 MU = 2.0
-SHARD_TOKENS = 4_000_000     # pairs of a shard; a context with more is split
-FLUSH_TOKENS = 3_000_000     # pairs that a task packs at once
+SHARD_TOKENS = 2_500_000     # pairs of a shard; a context with more is split
+FLUSH_TOKENS = 2_000_000     # pairs that a task packs at once
 BYTES_OF_WORD = 6.0          # to tell the number of shards from the bytes of all texts
 HASH_BITS = 48
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -184,8 +184,7 @@ def _tokens(batch: pa.RecordBatch, column: int):
     """(v, w, text) of all pairs of a batch; every text begins with BEGIN and ends with END."""
     texts = [t.translate(_LOWER) for t in byte_texts(batch.column(column))]
     codes, bounds, words = coded_words(texts)
-    hashes = (word_hashes(words) >> np.uint64(64 - HASH_BITS)) if words else np.zeros(0, np.uint64)
-    hashes = np.maximum(hashes, 3)[codes] if len(codes) else np.zeros(0, np.uint64)
+    hashes = _word_hash(words)[codes] if words else np.zeros(0, np.uint64)
     n = np.diff(bounds)
     text = np.repeat(np.arange(len(n)), n + 1)
     w = np.full(len(text), END)
@@ -239,52 +238,53 @@ def _shard_of(v: np.ndarray, w: np.ndarray, hot: np.ndarray, pieces: np.ndarray,
 
 # ---------------------------------------------------------------- the operator
 
+def _word_hash(words: list[bytes]) -> np.ndarray:
+    return np.maximum(word_hashes(words) >> np.uint64(64 - HASH_BITS), np.uint64(3))
+
+
 def _hot_contexts(rows: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts with more pairs than half a shard: (sorted hashes, pairs, learnt pairs).
 
-    Such a context has that share of some packed block, so blocks report what has a quarter of
-    it; these few are then counted exactly. Their number is bounded by that of the shards.
+    Such a context has at least half a shard's share of some slice of the texts, so slices
+    report what has a quarter; these few, the begin mark (an empty word here) among them, are
+    then counted exactly. Their number is bounded by that of the shards.
     """
-    def blocks(batches, use):
-        parts, size = [], 0
+    def slices(batches):
         for batch in (part for whole in batches for part in sliced(whole, 2)):
-            v, _, text = _tokens(batch, 2)
-            parts.append((v, batch.column(1).to_numpy(zero_copy_only=False)[text]))
-            size += len(v)
-            if size >= FLUSH_TOKENS:
-                yield use(parts)
-                parts, size = [], 0
-        if parts:
-            yield use(parts)
+            codes, bounds, words = coded_words([t.translate(_LOWER) for t in byte_texts(batch.column(2))])
+            yield codes, bounds, words, ~batch.column(1).to_numpy(zero_copy_only=False)
 
     def often(batches):
-        def report(parts):
-            words, count = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
-            keep = count * 4 * shards >= count.sum()
-            return pa.RecordBatch.from_arrays([pa.array(words[keep].view(np.int64))], ["v"])
-        yield from blocks(batches, report)
+        for codes, bounds, words, _ in slices(batches):
+            count = np.bincount(codes, minlength=len(words))
+            keep = np.flatnonzero(count * 4 * shards >= len(codes) + len(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in keep], pa.binary())], ["v"])
 
-    seen = np.sort(np.array([r.v for r in rows.mapInArrow(often, "v long").distinct().collect()],
-                            np.int64).view(np.uint64))
+    reported = rows.mapInArrow(often, "v binary").distinct().collect()
+    seen = [b""] + [bytes(r.v) for r in reported]
 
     def exact(batches):
-        def report(parts):
-            v = np.concatenate([p[0] for p in parts])
-            held = np.concatenate([p[1] for p in parts])
-            at = np.minimum(np.searchsorted(seen, v), max(0, len(seen) - 1))
-            own = seen[at] == v
-            every = np.bincount(at[own], minlength=len(seen))
-            learnt = np.bincount(at[own & ~held], minlength=len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(every),
-                                               pa.array(learnt)], ["v", "n", "learnt"])
-        if len(seen):
-            yield from blocks(batches, report)
-
-    counts = rows.mapInArrow(exact, "v long, n long, learnt long").groupBy("v").agg(
+        place = {w: i for i, w in enumerate(seen)}
+        for codes, bounds, words, learnt in slices(batches):
+            size = np.diff(bounds)
+            own = [(i, place[w]) for i, w in enumerate(words) if w in place]
+            every = np.bincount(codes, minlength=len(words))
+            ours = np.bincount(codes, np.repeat(learnt, size), len(words)).astype(np.int64)
+            ids = [0] + [p for _, p in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([seen[p] for p in ids], pa.binary()),
+                 pa.array([len(size)] + [int(every[i]) for i, _ in own]),
+                 pa.array([int(learnt.sum())] + [int(ours[i]) for i, _ in own])],
+                ["v", "n", "learnt"])
+
+    counts = rows.mapInArrow(exact, "v binary, n long, learnt long").groupBy("v").agg(
         F.sum("n").alias("n"), F.sum("learnt").alias("learnt")).where(F.col("n") > SHARD_TOKENS // 2)
-    found = sorted((np.int64(r.v).view(np.uint64), r.n, r.learnt) for r in counts.collect())
-    return (np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found], np.int64),
-            np.array([f[2] for f in found], np.int64))
+    found = [(bytes(r.v), r.n, r.learnt) for r in counts.collect()]
+    hashes = np.where([not f[0] for f in found], BEGIN, _word_hash([f[0] for f in found])) \
+        if found else np.zeros(0, np.uint64)
+    order = np.argsort(hashes)
+    return (hashes[order].astype(np.uint64), np.array([f[1] for f in found], np.int64)[order],
+            np.array([f[2] for f in found], np.int64)[order])
 
 
 def _scored(blobs: list[bytes], hot: np.ndarray, hot_learnt: np.ndarray, mu: float):
