@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ GRAM = 8
 # Different segments of a group that one subtree is built from. A larger group is split by longer
 # prefixes, up to the whole window.
 GROUP = 4_000
+TOGETHER = 8_000  # segments whose subtrees a task builds at once
 _SHAPE = 10  # bits for a segment's number of suffixes and the place of its prefix's end
 
 _INVERSE = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
@@ -83,36 +83,36 @@ def segments_of(codes: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, windo
     return text, low - bounds[text], count, signed(grams[end]), signed(content)
 
 
-def shape_of(content: int) -> tuple[int, int]:
+def shape_of(content):
     """(number of suffixes, words before the prefix's last ``GRAM``) of a segment."""
     return (content >> 5) & 31, content & 31
 
 
-def repeated_suffixes(words: list[list[bytes]], counts: list[int], window: int) -> list[int]:
-    """Which suffixes of each segment start a window found twice in the group, as bits.
+def repeated_suffixes(groups: np.ndarray, segments: list[bytes], counts: np.ndarray,
+                      window: int) -> np.ndarray:
+    """Which suffixes of each segment start a window found twice in its group, as bits.
 
-    The group's suffix tree down to the depth of a window, as sorted suffixes and the lengths of
-    their common prefixes: neighbours with a common prefix of a whole window lie below one
-    internal node that deep.
+    The groups' suffix trees down to the depth of a window, as sorted suffixes and the lengths
+    of their common prefixes: neighbours with a common prefix of a whole window lie below one
+    internal node that deep. The group comes first in the order, so many small trees are built
+    at once.
     """
-    code: dict[bytes, int] = {}
-    rows, owner, place = [], [], []
-    for i, (segment, count) in enumerate(zip(words, counts)):
-        coded = np.array([code.setdefault(w, len(code)) for w in segment], np.int32)
-        view = np.lib.stride_tricks.sliding_window_view(coded, window)[:count]
-        rows.append(view)
-        owner += [i] * len(view)
-        place += range(len(view))
-    suffixes = np.concatenate(rows)
-    order = np.lexsort(suffixes.T[::-1])
-    differs = suffixes[order[1:]] != suffixes[order[:-1]]
-    common = np.where(differs.any(1), differs.argmax(1), window)
+    codes, bounds, _ = coded_words(segments)
+    owner = np.repeat(np.arange(len(segments)), counts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = bounds[owner] + place
+    rows = np.empty((len(owner), window + 1), ">u4")
+    rows[:, 0] = np.unique(groups, return_inverse=True)[1][owner]
+    rows[:, 1:] = codes[start[:, None] + np.arange(window)]
+    order = np.argsort(rows.view(f"V{4 * (window + 1)}").ravel(), kind="stable")
+    differs = rows[order[1:]] != rows[order[:-1]]
+    common = np.where(differs.any(1), differs.argmax(1) - 1, window)
     deep = np.zeros(len(order), bool)
     deep[1:] |= common >= window
     deep[:-1] |= common >= window
-    found = [0] * len(words)
-    for k in order[deep].tolist():
-        found[owner[k]] |= 1 << place[k]
+    found = np.zeros(len(segments), np.int64)
+    hit = order[deep]
+    np.bitwise_or.at(found, owner[hit], np.int64(1) << place[hit])
     return found
 
 
@@ -193,19 +193,34 @@ def _marked(segments: DataFrame, keyed: DataFrame, names: list[str], text_col: s
         F.shiftright("one.place", 32).alias("size"),
         F.col("one.place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"),
         (F.col("kinds") > group).alias("hot"))
-    texts = _texts_of(split, keyed, names, text_col, window)
-
-    def subtree(frame: pd.DataFrame) -> pd.DataFrame:
-        contents = frame["content"].tolist()
-        bits = repeated_suffixes([w.split(b" ") for w in frame["words"]],
-                                 [shape_of(c)[0] for c in contents], window)
-        out = pd.DataFrame({"key": frame["key"], "content": contents, "bits": bits})
-        return out[out["bits"] != 0]
-
-    plain = texts.where("words is not null").groupBy("key").applyInPandas(
-        subtree, "key long, content long, bits long")
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in (part for whole in batches for part in sliced(whole, 2)):
+            waiting.append(batch)
+            if sum(w.num_rows for w in waiting) >= TOGETHER:
+                rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                key = rows.column(0).to_numpy()
+                end = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+                if end:
+                    yield work(rows.slice(0, end))
+                waiting = [rows.slice(end)]
+        if waiting and (rows := pa.Table.from_batches(waiting).combine_chunks().to_batches()):
+            yield work(rows[0])
+
+    def work(rows: pa.RecordBatch) -> pa.RecordBatch:
+        key, content = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        bits = repeated_suffixes(key, rows.column(2).to_pylist(), shape_of(content)[0], window)
+        keep = bits != 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[keep]), pa.array(content[keep]), pa.array(bits[keep])],
+            ["key", "content", "bits"])
+
+    # Whole groups meet in a partition, in order; a task holds a few thousand segments at a time.
+    texts = _texts_of(split.where("not hot"), keyed, names, text_col, window)
+    plain = texts.select("key", "content", "words").repartition("key") \
+        .sortWithinPartitions("key").mapInArrow(subtrees, "key long, content long, bits long")
     # The longest prefix: suffixes of a hot group, each with the others that share its window.
-    deep = texts.where("words is null")
+    deep = _texts_of(split.where("hot"), keyed, names, text_col, window)
     twice = deep.groupBy("key", "prefix").agg(F.count("*").alias("n")).where("n > 1") \
         .select(F.col("key").alias("__key"), F.col("prefix").alias("__prefix"))
     hot = deep.join(lookup_side(twice), (F.col("key") == F.col("__key"))
