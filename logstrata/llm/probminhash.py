@@ -23,7 +23,7 @@ SLOTS = BANDS * ROWS
 # Slots that a pair must have in common to be verified: a pair at 0.8 has 96 of 120 on average,
 # fewer than 78 with probability 2e-5.
 AGREE = 78
-HUBS = 6                     # hubs of a mixed bucket in one round
+HUBS = 2                     # hubs of a mixed bucket in one round
 
 
 # ---------------------------------------------------------------- signatures
@@ -268,10 +268,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     pairs = members.join(lookup_side(hubs), F.col("key") == F.col("__key")).select(
         F.col("node").alias("a"), F.col("hub").alias("b"))
     links = cut_lineage(_verified(_alike(_pairs(pairs), nodes), texts, similarity))
-    stars, turn = components(links), 0
+    stars, turn, left = components(links), 0, members
     while True:
         turn += 1
-        found = cut_lineage(_verified(_alike(_rest(members, stars, turn), nodes), texts, similarity))
+        left = _mixed(left, stars)
+        near = nodes.join(left.select(F.col("node").alias("__n")).distinct(),
+                          F.col("node") == F.col("__n")).select("node", "slots")
+        found = cut_lineage(_verified(_alike(_rest(left, turn), near), texts, similarity))
         if not found.count():
             break
         stars = components(found.union(stars.toDF("a", "b")))
@@ -310,19 +313,32 @@ def _text_table(given: DataFrame, nodes: DataFrame, members: DataFrame) -> str:
     return name
 
 
-def _rest(members: DataFrame, stars: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a member and a hub of its bucket that are in different components so far."""
-    roots = stars.toDF("__node", "root")
-    rows = members.join(lookup_side(roots), F.col("node") == F.col("__node"), "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
+def _mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """(key, node, root, size) of buckets that hold several components so far."""
+    sizes = stars.groupBy(F.col("root").alias("__r")).agg(F.count("*").alias("size"))
+    roots = stars.toDF("__node", "__root")
+    rows = members.select("key", "node").join(
+        lookup_side(roots), F.col("node") == F.col("__node"), "left").select(
+        "key", "node", F.coalesce("__root", "node").alias("root"))
+    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
+        .where("lo < hi").select(F.col("key").alias("__key"))
+    kept = rows.join(lookup_side(several), F.col("key") == F.col("__key")).drop("__key")
+    return cut_lineage(kept.join(lookup_side(sizes), F.col("root") == F.col("__r"), "left").select(
+        "key", "node", "root", F.coalesce("size", F.lit(0)).alias("size")))
+
+
+def _rest(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a member and a hub of its bucket in another component, not a smaller one.
+
+    Each round and bucket draw their own hubs, so a member meets others of each bucket in turn.
+    """
     draws = [F.min(F.struct(F.xxhash64("node", "key", F.lit(turn * HUBS + i)).alias("h"),
-                            F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias(f"h{i}")
-             for i in range(HUBS)]
-    mixed_ones = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *draws) \
-        .where("lo < hi").select(F.col("key").alias("__key"), F.array_distinct(F.array(
-            *[f"h{i}" for i in range(HUBS)])).alias("hubs"))
-    near = rows.join(lookup_side(mixed_ones), F.col("key") == F.col("__key"))
-    apart = F.filter("hubs", lambda h: h["hub_root"] != F.col("root"))
+                            F.col("node").alias("hub"), F.col("root").alias("hub_root"),
+                            F.col("size").alias("hub_size"))).alias(f"h{i}") for i in range(HUBS)]
+    hubs = rows.groupBy("key").agg(*draws).select(F.col("key").alias("__key"), F.array_distinct(
+        F.array(*[f"h{i}" for i in range(HUBS)])).alias("hubs"))
+    near = rows.join(lookup_side(hubs), F.col("key") == F.col("__key"))
+    apart = F.filter("hubs", lambda h: (h["hub_root"] != F.col("root")) & (h["hub_size"] >= F.col("size")))
     return _pairs(near.select(F.col("node").alias("a"),
                               F.explode(F.transform(apart, lambda h: h["hub"])).alias("b")))
 
