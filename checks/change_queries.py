@@ -154,8 +154,10 @@ def changes_on_not_fixed_files(t):
 
 
 @query("time_deleted_lines_numbered", f"""
-       select row_number() over (order by fix_commit_sha, blame_commit_sha) line_number, *
-       from ({PER_COMMIT.format(where='true')})""", **WITH_BLAME)
+       select row_number() over (order by commit_seq, blame_commit_sha) line_number, f.*
+       from ({PER_COMMIT.format(where='true')}) f
+       join (select commit_sha, commit_seq from fx_commits) c on fix_commit_sha = c.commit_sha""",
+       **WITH_BLAME)
 def time_deleted_lines_numbered(t):
     return lines_history(t).time_deleted_lines("all", numbered=True)
 

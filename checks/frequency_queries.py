@@ -164,8 +164,36 @@ for _variant in MATRIX_TERMS:
            for v in ("de", "en", "es", "fr")) + """
        from fx_tokens group by token_type""")
 def frequency_matrix_without_list(t):
-    """The vocabulary is looked up."""
-    return frequency.frequency_matrix(t("fx_tokens"), "lexer_name", "token_type")
+    """The values are the languages of the documents."""
+    return frequency.frequency_matrix(t("fx_tokens"), "lexer_name", "token_type",
+                                      ["de", "en", "es", "fr"])
+
+
+MIXED = ["The", "the", "(", "`", "a b", "", "token_content"]
+
+
+def _mixed_cells(variant):
+    kind = "bigint" if variant in ("count", "binary_count") else "double"
+    return ", ".join(
+        "round(cast(coalesce(max(case when \"value\" = '{}' then {} end), 0) as {}), 6) \"c{}\""
+        .format(value, MATRIX_TERMS[variant], kind, i) for i, value in enumerate(MIXED))
+
+
+@query("frequency_matrix_mixed_case", " union all ".join(
+       f"""select '{v}' variant, hex_hash, {_mixed_cells(v).replace(' as bigint', ' as double')}
+       from terms where column_name = 'token_content' group by hex_hash"""
+       for v in MATRIX_TERMS), **NAMED)
+def frequency_matrix_mixed_case(t):
+    """Values that differ in case only, or are no plain names; all variants."""
+    found = None
+    for variant in MATRIX_TERMS:
+        wide = frequency.frequency_matrix(t("fx_tokens"), "token_content", GROUP, MIXED, variant)
+        names = [f"c{i}" for i in range(len(MIXED))]
+        part = wide.toDF(GROUP, *names).select(
+            F.lit(variant).alias("variant"), GROUP,
+            *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
+        found = part if found is None else found.union(part)
+    return found
 
 
 @query("column_cardinality", """select column_name, count(*) n_distinct from (

@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logstrata.sources.readers import spread
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -189,6 +188,11 @@ def with_views(body: str, engine: str = "duckdb", extra: dict[str, str] | None =
     return f"with {clause}\n{body}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores: the fixtures are stored in one piece each."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Tables:
     """The given tables and the views over them as DataFrames."""
 

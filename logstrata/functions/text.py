@@ -22,7 +22,7 @@ def trimmed(text: Column) -> Column:
 
 def capitalized(text: Column) -> Column:
     """First character in upper case, the rest in lower case."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 2 ** 31 - 1)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
 
 
 def utc_offset_label(seconds_west: Column) -> Column:

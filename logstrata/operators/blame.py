@@ -67,6 +67,15 @@ def blame_rejects(lines: DataFrame, blame_lines: DataFrame) -> DataFrame:
                     F.lit("Blame").alias("stage")))
 
 
+def origin_rejects(lines: DataFrame, blame_lines: DataFrame, commits: DataFrame) -> DataFrame:
+    """Commits with a removed line whose origin is not among the commits."""
+    facts = _per_file(lines, blame_lines)
+    known = commits.select(*keys(commits), F.col("commit_sha").alias("blame_commit_sha"))
+    lost = facts.join(known, keys(facts, "blame_commit_sha"), "left_anti")
+    return lost.select(*keys(lost, "commit_sha"), F.lit("origin_missing").alias("reason"),
+                       F.lit("Blame").alias("stage")).distinct()
+
+
 def _origin(commits: DataFrame) -> DataFrame:
     return commit_header(commits).withColumnRenamed("commit_sha", "blame_commit_sha")
 

@@ -25,17 +25,30 @@ def with_id_lists(issues: DataFrame) -> DataFrame:
     return issues
 
 
-def _all_ids(limit: int) -> Column:
+def _all_ids(similar_limit: int | None) -> Column:
     closed, named, similar = (F.col(name) for name in ISSUE_ID_LISTS)
+    if similar_limit is None:
+        return F.concat(closed, named, similar)
     empty = F.array().cast("array<string>")
-    return F.concat(closed, named, F.when(F.size(similar) > limit, empty).otherwise(similar))
+    return F.concat(closed, named,
+                    F.when(F.size(similar) > similar_limit, empty).otherwise(similar))
 
 
-def issue_commit_ids(issues: DataFrame, limit: int = SIMILAR_LIMIT) -> DataFrame:
-    """Distinct commit ids the issues name. A list of more than ``limit`` similar ids is noise
-    and is left out as a whole."""
+def similar_lists_left_out(issues: DataFrame,
+                           similar_limit: int | None = SIMILAR_LIMIT) -> DataFrame:
+    """The issues whose list of similar ids the limit leaves out, with the list's size."""
+    size = F.size(ISSUE_ID_LISTS[2]).cast("long")
+    over = F.lit(False) if similar_limit is None else size > similar_limit
+    return with_id_lists(issues).filter(over).select(
+        *keys(issues, "issue_number"), size.alias("list_size"),
+        F.lit("similar_list_over_limit").alias("reason"), F.lit("Cohort").alias("stage"))
+
+
+def issue_commit_ids(issues: DataFrame, similar_limit: int | None = SIMILAR_LIMIT) -> DataFrame:
+    """Distinct commit ids the issues name. A list of more than ``similar_limit`` similar ids is
+    noise and is left out as a whole (see :func:`similar_lists_left_out`); None keeps all."""
     ids = with_id_lists(issues).select(
-        *keys(issues), F.explode_outer(_all_ids(limit)).alias("commit_sha"))
+        *keys(issues), F.explode_outer(_all_ids(similar_limit)).alias("commit_sha"))
     return ids.filter(F.col("commit_sha").isNotNull()).distinct()
 
 
@@ -49,9 +62,11 @@ def search_commits(commits: DataFrame, keyword: str) -> DataFrame:
 
 
 def fix_commit_ids(issues: DataFrame, commits: DataFrame, label: Column | str,
-                   attribute: str = LABELS, keyword: str | None = "fix") -> DataFrame:
+                   attribute: str = LABELS, keyword: str | None = "fix",
+                   similar_limit: int | None = SIMILAR_LIMIT) -> DataFrame:
     """Ids named by issues with the label, and ids of commits whose message has the keyword."""
-    ids = issue_commit_ids(issues.filter(label_condition(issues, attribute, label)))
+    ids = issue_commit_ids(issues.filter(label_condition(issues, attribute, label)),
+                           similar_limit)
     if keyword:
         found = search_commits(commits, keyword).select(*keys(commits, "commit_sha"))
         ids = ids.unionByName(found).distinct()
@@ -60,12 +75,13 @@ def fix_commit_ids(issues: DataFrame, commits: DataFrame, label: Column | str,
 
 def non_fix_commit_ids(issues: DataFrame, commits: DataFrame, label: Column | str,
                        attribute: str = LABELS, keyword: str | None = "fix",
-                       unlabelled_as_other: bool = True) -> DataFrame:
+                       unlabelled_as_other: bool = True,
+                       similar_limit: int | None = SIMILAR_LIMIT) -> DataFrame:
     """Ids named by the other issues, without the fix ids."""
     other = issues.filter(label_condition(issues, attribute, label, keep=False,
                                           drop_missing=not unlabelled_as_other))
-    fix = fix_commit_ids(issues, commits, label, attribute, keyword)
-    return issue_commit_ids(other).join(fix, keys(commits, "commit_sha"), "left_anti")
+    fix = fix_commit_ids(issues, commits, label, attribute, keyword, similar_limit)
+    return issue_commit_ids(other, similar_limit).join(fix, keys(commits, "commit_sha"), "left_anti")
 
 
 def commits_by_ids(commits: DataFrame, ids: DataFrame) -> DataFrame:
@@ -79,35 +95,45 @@ def unresolved_ids(ids: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def issue_id_flags(issues: DataFrame, label: Column | str, attribute: str = LABELS,
-                   unlabelled_as_other: bool = True) -> DataFrame:
-    """One row per id: named by a bug issue, named by another issue."""
+                   unlabelled_as_other: Column | bool = True,
+                   similar_limit: int | None = SIMILAR_LIMIT) -> DataFrame:
+    """One row per id: named by a bug issue, named by another issue.
+
+    ``unlabelled_as_other`` may be a column of the issues.
+    """
     bug = label_condition(issues, attribute, label)
-    other = label_condition(issues, attribute, label, keep=False,
-                            drop_missing=not unlabelled_as_other)
+    labelled, every = (label_condition(issues, attribute, label, keep=False, drop_missing=drop)
+                       for drop in (True, False))
+    policy = unlabelled_as_other if isinstance(unlabelled_as_other, Column) \
+        else F.lit(unlabelled_as_other)
+    other = F.when(F.coalesce(policy, F.lit(False)), every).otherwise(labelled)
     flagged = with_id_lists(issues).select(
         *keys(issues), bug.alias("in_bug"), other.alias("in_other"),
-        F.explode_outer(_all_ids(SIMILAR_LIMIT)).alias("commit_sha"))
+        F.explode_outer(_all_ids(similar_limit)).alias("commit_sha"))
     return (flagged.filter(F.col("commit_sha").isNotNull())
             .groupBy(*keys(issues, "commit_sha"))
             .agg(F.max("in_bug").alias("in_bug"), F.max("in_other").alias("in_other")))
 
 
 def tag_cohorts(commits: DataFrame, issues: DataFrame, label: Column | str,
-                attribute: str = LABELS, keyword: str | None = "fix", mode: str = "repository",
-                unlabelled_as_other: bool = True) -> DataFrame:
+                attribute: str = LABELS, keyword: str | None = "fix",
+                mode: Column | str = "repository", unlabelled_as_other: Column | bool = True,
+                similar_limit: int | None = SIMILAR_LIMIT) -> DataFrame:
     """Commits with ``is_fix`` and ``is_non_fix``.
 
     ``mode='repository'``: every commit that is no fix. ``mode='tracker'``: only those an
-    issue without the label names; such commits may be neither.
+    issue without the label names; such commits may be neither. ``mode`` may be a column of the
+    commits, ``unlabelled_as_other`` one of the issues.
     """
-    if mode not in ("repository", "tracker"):
+    if not isinstance(mode, Column) and mode not in ("repository", "tracker"):
         raise ValueError(f"unknown mode: {mode}")
-    flags = issue_id_flags(issues, label, attribute, unlabelled_as_other)
+    mode = mode if isinstance(mode, Column) else F.lit(mode)
+    flags = issue_id_flags(issues, label, attribute, unlabelled_as_other, similar_limit)
     false = F.lit(False)
     is_fix = F.coalesce("in_bug", false)
     if keyword:
         is_fix = is_fix | message_has(keyword)
-    is_other = F.lit(True) if mode == "repository" else F.coalesce("in_other", false)
+    is_other = (mode == "repository") | F.coalesce("in_other", false)
     return (commits.join(flags, keys(commits, "commit_sha"), "left")
             .withColumn("is_fix", is_fix)
             .withColumn("is_non_fix", is_other & ~F.col("is_fix"))

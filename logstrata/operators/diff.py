@@ -27,9 +27,6 @@ RENAMED_OR_COPIED = r"(?dm)^(?:rename|copy) (?:from|to) "
 SUBMODULE = r"(?dm)^(?:(?:new file |deleted file |old |new )mode 160000|index \S+ 160000)"
 NO_FILE = "/dev/null"
 
-# Longer than any list or text that fits a cell.
-_REST = 2 ** 30
-
 
 def _range(text: Column) -> Column:
     """``start,length``; a missing length means one line."""
@@ -52,7 +49,7 @@ def _hunk(lines: Column) -> Column:
     head = F.split(lines[0], " ")
     return F.struct(
         _range(F.get(head, F.lit(0))).alias("old"),
-        _range(F.substring(F.get(head, F.lit(1)), 2, _REST)).alias("new"),
+        _range(F.substr(F.get(head, F.lit(1)), F.lit(2))).alias("new"),
         F.coalesce(F.startswith(F.get(head, F.lit(1)), F.lit("+"))
                    & (F.get(head, F.lit(2)) == "@@"), F.lit(False)).alias("headed"),
         side("+").alias("old_side"), side("-").alias("new_side"))
@@ -67,7 +64,7 @@ def _changed(hunk: Column, op: str) -> Column:
                       & (item["line_no"] < where["start"] + where["length"]))
     return F.transform(marked, lambda item: F.struct(
         item["line_no"].alias("line_no"),
-        F.substring(item["line"], 2, _REST).alias("value")))
+        F.substr(item["line"], F.lit(2)).alias("value")))
 
 
 def _hunk_changes(hunk: Column) -> Column:
@@ -82,7 +79,7 @@ def _hunk_changes(hunk: Column) -> Column:
 def _file(parts: Column) -> Column:
     """The header's names and the changes of the hunks."""
     header = parts[0]
-    hunks = F.transform(F.slice(parts, 2, _REST), lambda text: F.split(text, "\n"))
+    hunks = F.transform(F.slice(parts, 2, F.size(parts)), lambda text: F.split(text, "\n"))
     return F.struct(
         F.regexp_extract(header, OLD_NAME, 1).alias("source_file"),
         F.regexp_extract(header, NEW_NAME, 1).alias("target_file"),
@@ -93,8 +90,8 @@ def _file(parts: Column) -> Column:
 def _path(source: Column, target: Column) -> Column:
     """The name without its two-character prefix; of the old file unless there is none."""
     old, new = F.startswith(source, F.lit("a/")), F.startswith(target, F.lit("b/"))
-    return (F.when(old & (new | (target == NO_FILE)), F.substring(source, 3, _REST))
-            .when(new & (source == NO_FILE), F.substring(target, 3, _REST))
+    return (F.when(old & (new | (target == NO_FILE)), F.substr(source, F.lit(3)))
+            .when(new & (source == NO_FILE), F.substr(target, F.lit(3)))
             .otherwise(source))
 
 
@@ -192,13 +189,18 @@ def removed_lines(patches: DataFrame) -> DataFrame:
 
 def diff_rejects(diffs: DataFrame, stage: str) -> DataFrame:
     """Commits whose diff gives no facts, with the reason."""
-    broken = (~F.forall(F.col("patches"), lambda p: p["sound"])).alias("broken")
+    patches = F.col("patches")
+    broken = ~F.forall(patches, lambda p: p["sound"])
+    # Renames, copies, submodules and changed file types are left out before the diff is judged.
+    left_out = F.forall(patches, lambda p: p["excluded"] | F.array_contains(
+        F.col("retyped"), p["path"])) & (F.size(patches) > 0)
     key = keys(diffs, "commit_sha")
     missing = diffs.select(*key, F.when(F.col("n_parents") <= 0, "no_parent")
                            .when(F.coalesce("diff_text", F.lit("")) == "", "empty_diff")
                            .alias("reason"))
-    parsed = (_parsed(diffs.filter(has_diff())).select(*key, broken)
-              .filter("broken").select(*key, F.lit("broken_hunk").alias("reason")))
+    parsed = (_parsed(diffs.filter(has_diff())).withColumn("retyped", _retyped(patches))
+              .select(*key, F.when(broken, "broken_hunk").when(left_out, "empty_diff")
+                      .alias("reason")).filter(F.col("reason").isNotNull()))
     return (missing.filter(F.col("reason").isNotNull()).unionByName(parsed)
             .withColumn("stage", F.lit(stage)))
 
@@ -245,6 +247,6 @@ def file_changes(patches: DataFrame) -> DataFrame:
 def touched_files(patches: DataFrame) -> DataFrame:
     """Distinct old and new names without their prefix."""
     names = F.filter(F.array("source_file", "target_file"), lambda name: name != NO_FILE)
-    names = F.transform(names, lambda name: F.substring(name, 3, _REST))
+    names = F.transform(names, lambda name: F.substr(name, F.lit(3)))
     exploded = patches.select(*keys(patches), F.explode_outer(names).alias("path"))
     return exploded.filter(F.col("path").isNotNull()).distinct()

@@ -153,24 +153,19 @@ def frequency_cells(df: DataFrame, columns: Columns, group: str, keep: Mapping |
     return terms if allowed is None else terms.filter(allowed)
 
 
-def frequency_matrix(df: DataFrame, column: str, group: str, values: Iterable | None = None,
+def frequency_matrix(df: DataFrame, column: str, group: str, values: Iterable,
                      variant: str = "count", keep: Mapping | None = None) -> DataFrame:
     """One row per group, one column per value, zero where the value does not occur.
 
-    Without ``values`` the vocabulary is looked up first. A table cannot have more columns
-    than spark.sql.pivotMaxValues; a larger vocabulary is refused here and has its exact
-    answer in :func:`frequency_cells`.
+    The values are the caller's: any texts, also ones that differ in case only. NULL and the
+    empty text share the column of the empty text. A value named like the group column is an
+    error. The matrix over a whole vocabulary is :func:`frequency_cells`, at any size.
     """
     if variant not in MATRIX_VARIANTS:
         raise ValueError(f"variant must be one of {MATRIX_VARIANTS}")
-    if values is None:
-        limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-        found = value_frequency(df, [column], keep).select("value").limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"more than {limit} values: use frequency_cells")
-        values = sorted((row.value for row in found), key=lambda v: (v is not None, v))
-    # NULL and the empty text share the column of the empty text.
-    values = sorted({value or "" for value in values}) if None in values else list(values)
+    values = list(dict.fromkeys(value or "" for value in values))
+    if group in values:
+        raise ValueError(f"a value is named like the group column: {group}")
     if variant in ("count", "binary_count"):
         counts = grouped_counter(df, [column], group, keep)
         cells = counts.select(group, "value", F.col("n").alias("count"),
@@ -178,7 +173,8 @@ def frequency_matrix(df: DataFrame, column: str, group: str, values: Iterable |
     else:
         cells = frequency_cells(df, [column], group, keep)
     cells = cells.select(group, F.coalesce("value", F.lit("")).alias("value"), variant)
-    wide = cells.groupBy(group).pivot("value", values).agg(F.sum(variant))
-    zeros = [F.coalesce(F.col(f"`{name}`"), F.lit(0)).alias(name)
-             for name in wide.columns if name != group]
-    return wide.select(group, *zeros)
+    # Columns go by place until the end: names of values may clash or need quoting.
+    places = [f"__v{i}" for i in range(len(values))]
+    wide = cells.groupBy(group).pivot("value", values).agg(F.sum(variant)).toDF("__group", *places)
+    return wide.select("__group", *[F.coalesce(F.col(v), F.lit(0)) for v in places]).toDF(
+        group, *values)

@@ -17,11 +17,10 @@ from logstrata.functions.languages import (HASH_COMMENTS, JAVA_KEYWORDS, JAVA_WO
                                            NO_COMMENTS, lexer_name)
 from logstrata.functions.text import not_blank
 from logstrata.operators.numbering import with_line_number
-from logstrata.operators.skew import lookup_side
+from logstrata.operators.skew import lookup_side, with_group_totals
 from logstrata.schemas import keys
 
 _MARK = "\x01"
-_REST = 2 ** 30
 
 # The lexical grammar. Possessive loops keep long strings off the stack.
 STRING = r'"(?:[^"\\\n]|\\[^\n])*+"'
@@ -198,7 +197,7 @@ def content_tokens(patches: DataFrame, blobs: DataFrame, commits: DataFrame,
     """Tokens of the changed lines of a cohort that are not blank.
 
     Added lines are read in the commit's own files, deleted ones in those of its first parent.
-    number_of_changes is the commit's number of analysed lines. ``numbered`` adds line_number,
+    number_of_changes is the commit's number of analysed lines in files whose text is known. ``numbered`` adds line_number,
     in the order of commit_seq, file, line and token.
     """
     column, count, version = _side(commits, analyze_part)
@@ -206,12 +205,14 @@ def content_tokens(patches: DataFrame, blobs: DataFrame, commits: DataFrame,
     place = ["commit_seq", "file_no"] if numbered else []
     shown = F.filter(column, lambda l: not_blank(l["value"]))
     changed = patches.select(
-        *key, "path", *place[1:], F.col(f"commit_{count}").alias("number_of_changes"), count,
+        *key, "path", *place[1:], count,
         F.transform(shown, lambda l: l["line_no"]).alias("line_numbers"))
     if numbered:
         version = version.join(commits.select(*key, "commit_seq"), key)
     files = (changed.filter(F.col(count) > 0).join(lookup_side(version), key)
              .join(blobs, keys(blobs, "sha", "path")))
+    # Files without text are rejects and do not count.
+    files = with_group_totals(files, key, ["path"], {"number_of_changes": F.col(count)})
     tokens = line_tokens(files.select(*key, "path", *place, "number_of_changes", "line_numbers",
                                       "text"))
     if numbered:

@@ -28,15 +28,17 @@ class History:
     blame_lines: DataFrame | None = None
     blobs: DataFrame | None = None
     keyword: str | None = "fix"
-    mode: str = "repository"
-    unlabelled_as_other: bool = True
+    mode: Column | str = "repository"
+    unlabelled_as_other: Column | bool = True
+    similar_limit: int | None = cohorts.SIMILAR_LIMIT
 
     def cohort(self, name: str = "all") -> DataFrame:
         if name == "all":
             return self.commits
         tagged = cohorts.tag_cohorts(self.commits, self.issues, self.label, keyword=self.keyword,
                                      mode=self.mode,
-                                     unlabelled_as_other=self.unlabelled_as_other)
+                                     unlabelled_as_other=self.unlabelled_as_other,
+                                     similar_limit=self.similar_limit)
         return cohorts.cohort(tagged, name)
 
     def patches(self) -> DataFrame:
@@ -81,7 +83,12 @@ class History:
         facts = blame.time_deleted_lines(self._blame_input(name), self.blame_lines, self.commits)
         if not numbered:
             return facts
-        return with_line_number(facts, keys(facts, "fix_commit_sha", "blame_commit_sha"))
+        # In the order of the history, then of the origins.
+        order = self.commits.select(*keys(self.commits), "commit_seq",
+                                    F.col("commit_sha").alias("fix_commit_sha"))
+        placed = facts.join(order, keys(facts, "fix_commit_sha"))
+        place = [*keys(facts), "commit_seq", "fix_commit_sha", "blame_commit_sha"]
+        return with_line_number(placed, place).drop("commit_seq")
 
     def content_tokens(self, name: str = "fix", analyze_part: str = "deleted",
                        numbered: bool = False) -> DataFrame:
@@ -95,8 +102,10 @@ class History:
             found.append(diff.diff_rejects(self.diffs, "User behavior"))
         if self.blame_lines is not None:
             found.append(blame.blame_rejects(self._blame_input("all"), self.blame_lines))
+            found.append(blame.origin_rejects(self._blame_input("all"), self.blame_lines,
+                                              self.commits))
         if self.issues is not None:
-            ids = cohorts.issue_commit_ids(self.issues)
+            ids = cohorts.issue_commit_ids(self.issues, self.similar_limit)
             missing = cohorts.unresolved_ids(ids, self.commits)
             found.append(missing.withColumn("reason", F.lit("unresolved_commit"))
                          .withColumn("stage", F.lit("Cohort")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +19,6 @@ def resolve_format(path: str, fmt: str | None = None) -> str:
     return fmt
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that is stored in fewer pieces than there are cores.
-
-    For a small table in one file, whose text would otherwise be parsed by one task. A table
-    with enough pieces is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1)
@@ -50,7 +42,7 @@ def read_issues(spark: SparkSession, path: str, fmt: str | None = None,
     table = _csv(spark, path)
     for name in ISSUE_ID_LISTS:
         if name in table.columns:
-            parts = F.transform(F.split(name, f"[{list_separator}]"),
+            parts = F.transform(F.split(name, re.escape(list_separator)),
                                 lambda part: F.trim(part))
             table = table.withColumn(name, F.filter(parts, lambda part: part != ""))
     return with_id_lists(table)

@@ -37,14 +37,14 @@ def write_per_group(df: DataFrame, group: str, path: str) -> None:
 
 
 def write_matrices(df: DataFrame, columns: list[str], group: str, path: str,
-                   values: dict[str, list] | None = None, variants: list[str] | None = None,
+                   values: dict[str, list], variants: list[str] | None = None,
                    keep: dict | None = None) -> list[str]:
     """One CSV folder per counted column and variant; the column list is the caller's."""
     folders = []
     for column in columns:
         for variant in variants or MATRIX_VARIANTS:
             folder = f"{path}_{column}_{variant}"
-            matrix = frequency_matrix(df, column, group, (values or {}).get(column), variant,
+            matrix = frequency_matrix(df, column, group, values[column], variant,
                                       keep)
             write_facts(matrix, folder, "csv")
             folders.append(folder)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from logstrata.operators import blame, changes, diff
 from logstrata.plans.batch import run_batch, write_batch
@@ -103,14 +104,24 @@ def test_batch_of_two_repositories(spark, tables):
         [("r1", "1", ["Bug"], ["c3"]), ("r2", "1", ["Bug"], ["c3"]), ("r2", "2", None, ["c1"])],
         "repo string, issue_number string, issue_labels array<string>,"
         " issue_closed_commit_id array<string>")
-    config = spark.createDataFrame([("java", "r1", "Bug"), ("java", "r2", "T:Bug")],
-                                   "language_label string, repo string, bug_label string")
+    config = spark.createDataFrame(
+        [("java", "r1", "Bug", True, True), ("java", "r2", "T:Bug", True, True)],
+        "language_label string, repo string, bug_label string,"
+        " retrieve_other_commit_id_from_issue_tracker boolean,"
+        " consider_issues_without_labels_as_other boolean")
     fix, behavior = run_batch(config, commits, issues, blamed, diffs=diffs)
     assert {(r.repo, r.fix_commit_sha, r.output_name) for r in fix.collect()} == {
         ("r1", "c2", "Java_R1_Fix"), ("r1", "c3", "Java_R1_Fix")}
     rows = {(r.repo, r.cohort, r.commit_sha) for r in behavior.collect()}
     assert rows == {(repo, "AllCommits", sha) for repo in ("r1", "r2") for sha in ("c2", "c3")} | {
         ("r2", "NonFix", "c3")}
+    # Where no issue names a commit, only the setting without the tracker finds the others.
+    few = issues.filter("repo = 'r1'")
+    for tracker, expected in ((True, set()), (False, {("r2", "c3")})):
+        settings = config.withColumn("retrieve_other_commit_id_from_issue_tracker", F.lit(tracker))
+        found = run_batch(settings, commits, few, blamed, diffs=diffs)[1]
+        assert {(r.repo, r.commit_sha)
+                for r in found.filter("cohort = 'NonFix'").collect()} == expected
     path = scratch_path(spark, "batch")
     write_batch(fix, behavior, path)
     assert readers.read_facts(spark, f"{path}/deleted_lines").count() == fix.count()

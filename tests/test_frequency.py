@@ -70,7 +70,8 @@ def test_value_frequency(facts):
 
 def test_matrix_equals_cells(facts):
     for variant in frequency.MATRIX_VARIANTS:
-        wide = frequency.frequency_matrix(facts, "v", "g", variant=variant).collect()
+        wide = frequency.frequency_matrix(
+            facts, "v", "g", ["v0", "v1", "v2", "v3", "v4"], variant).collect()
         cells = {(r.g, r.value): r[variant]
                  for r in frequency.frequency_cells(facts, ["v"], "g").collect()}
         for row in wide:
@@ -80,20 +81,20 @@ def test_matrix_equals_cells(facts):
 
 
 def test_matrix_of_empty_values(facts):
-    rows = frequency.frequency_matrix(facts, "w", "g").collect()
+    rows = frequency.frequency_matrix(facts, "w", "g", [None, "", "x"]).collect()
     expected = Counter((r[1], r[3] or "") for r in _rows())
     assert len(rows) == 7
     for row in rows:
         assert (row[""], row["x"]) == (expected[row.g, ""], expected[row.g, "x"])
 
 
-def test_matrix_refuses_a_large_vocabulary(spark, facts):
-    spark.conf.set("spark.sql.pivotMaxValues", "3")
-    try:
-        with pytest.raises(ValueError):
-            frequency.frequency_matrix(facts, "v", "g")
-    finally:
-        spark.conf.unset("spark.sql.pivotMaxValues")
+def test_matrix_of_odd_values(spark):
+    rows = [("a", "The"), ("a", "the"), ("b", "the"), ("b", "`"), ("b", "(")]
+    df = spark.createDataFrame(rows, "g string, v string")
+    wide = frequency.frequency_matrix(df, "v", "g", ["The", "the", "`", "("])
+    assert sorted(tuple(r) for r in wide.collect()) == [("a", 1, 1, 0, 0), ("b", 0, 1, 1, 1)]
+    with pytest.raises(ValueError):
+        frequency.frequency_matrix(df, "v", "g", ["g"])
 
 
 def test_sub_group(facts):
