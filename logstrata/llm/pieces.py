@@ -15,7 +15,7 @@ from logstrata.llm.common import append_columns
 SPACE = "▁"
 UNKNOWN = " ⁇ "
 # Distinct words a Python worker remembers; when full, the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -114,7 +114,7 @@ class MergeCodec:
     def learn(self, words: set[str]) -> None:
         """Encode words not met before and check them against the library, all at once."""
         known, fresh = self.known, sorted(words)
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED // 4:
             known.clear()
         for word in fresh:
             ids: list[int] = []
@@ -128,37 +128,45 @@ class MergeCodec:
             if word and ",".join(map(str, ids)) != self.facts[word][0]:
                 raise ValueError(f"not the library's ids for {word!r}: {self.facts[word][0]}")
 
-    def look_up(self, text: str) -> list[tuple[str, int, str]]:
-        """(ids in writing, their number, spelling) of each word of a text.
+    def look_up(self, texts: list[str]) -> list[list[tuple[str, int, str]]]:
+        """(ids in writing, their number, spelling) of each word of each text.
 
         Two generations are remembered: when the young one is full it becomes the old one, and
-        words found there are taken over, so frequent words stay.
+        words found there are taken over, so frequent words stay. New words of all texts are
+        encoded, and given to the library, together.
         """
-        words = self.words(text)
-        try:
-            return [self.facts[w] for w in words]
-        except KeyError:
-            missing = set(words).difference(self.facts)
+        words = [self.words(t) for t in texts]
+        missing = set().union(*words).difference(self.facts)
         if len(self.facts) + len(missing) > REMEMBERED // 2:
-            self.old, self.facts, missing = self.facts, {}, set(words)
+            self.old, self.facts = self.facts, {}
+            missing = set().union(*words)
         kept = {w: self.old[w] for w in missing.intersection(self.old)}
         self.facts.update(kept)
         self.learn(missing.difference(kept))
-        return [self.facts[w] for w in words]
+        known = self.facts
+        return [[known[w] for w in one] for one in words]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for f in self.look_up(text) for i in f[0].split(",")]
+        return self.encode_batch([text])[0]
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids as decimals joined by commas, and the decoded text.
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [[int(i) for f in facts for i in f[0].split(",")] for facts in self.look_up(texts)]
 
-        A word holds whole characters, so the spelling of a text is that of its words in a row.
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of each text the number of ids, the ids as decimals joined by commas, and the decoded
+        text. A word holds whole characters, so a text's spelling is that of its words in a row.
         """
-        facts = self.look_up(text)
-        if not facts:
-            return 0, "", ""
-        listed, counts, spelled = zip(*facts)
-        return sum(counts), ",".join(listed), "".join(spelled)[1:]
+        found = []
+        for facts in self.look_up(texts):
+            if facts:
+                listed, counts, spelled = zip(*facts)
+                found.append((sum(counts), ",".join(listed), "".join(spelled)[1:]))
+            else:
+                found.append((0, "", ""))
+        return found
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        return self.digests([text])[0]
 
     def spell(self, ids) -> str:
         """The characters of ids: marks become spaces, bytes become characters, and each byte
@@ -224,7 +232,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text",
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            return [pa.array([c.encode(t) for t in texts], pa.list_(pa.int32()))]
+            return [pa.array(c.encode_batch(texts), pa.list_(pa.int32()))]
         return work
 
     field = T.StructField(ids_col, T.ArrayType(T.IntegerType()))
@@ -255,8 +263,7 @@ def piece_digests(docs: DataFrame, model_path: str, text_col: str = "text") -> D
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             counts, ids_hex, text_hex = [], [], []
-            for row in batch.column(0):
-                n, ids, decoded = c.digest(row.as_py() or "")
+            for n, ids, decoded in c.digests([t or "" for t in batch.column(0).to_pylist()]):
                 counts.append(n)
                 ids_hex.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_hex.append(hashlib.sha256(decoded.encode()).hexdigest())
