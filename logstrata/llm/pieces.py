@@ -171,7 +171,10 @@ class MergeCodec:
     def spell(self, ids) -> str:
         """The characters of ids: marks become spaces, bytes become characters, and each byte
         that is no part of a valid character becomes a replacement character."""
-        out, raw = [], bytearray()
+        try:
+            return "".join(map(self.plain.__getitem__, ids))
+        except KeyError:  # bytes, unknown or control ids
+            out, raw = [], bytearray()
         for i in ids:
             b = self.byte_value.get(i)
             if b is not None:
