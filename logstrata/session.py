@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,14 +31,14 @@ def build_session(app_name: str = "logstrata", master: str | None = None,
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a ``local`` master may fall back to a temporary folder: there, driver and
+    Only a ``local`` master (not ``local-cluster``) may fall back to a temporary folder: there, driver and
     executors are one process.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder:
         return folder
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="logstrata-")
     sc.setCheckpointDir(folder)
