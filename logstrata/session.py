@@ -31,8 +31,8 @@ def build_session(app_name: str = "logstrata", master: str | None = None,
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a ``local`` master (not ``local-cluster``) may fall back to a temporary folder: there, driver and
-    executors are one process.
+    Only a ``local`` master (not ``local-cluster``) may fall back to a temporary folder: there,
+    driver and executors are one process.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
