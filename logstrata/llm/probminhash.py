@@ -24,6 +24,7 @@ SLOTS = BANDS * ROWS
 # fewer than 78 with probability 2e-5.
 AGREE = 78
 HUBS = 2                     # hubs of a mixed bucket in one round
+TRIALS = 2                   # rounds for every mixed bucket, whether or not they find a link
 
 
 # ---------------------------------------------------------------- signatures
@@ -234,8 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a band form a bucket. In each bucket all members are compared with its hub, the member
     met most often in all buckets; signatures are compared first, then whole texts. Buckets that
     still hold several components are compared with further hubs, drawn anew in each bucket and
-    round, until a round finds no link. So rows grow with the number of memberships, never
-    with the square of a bucket, and no bucket is in one task.
+    round: all of them in ``TRIALS`` rounds, then each until a round finds no link of its
+    members. So the number of rounds follows the longest chain of links, not the size of the
+    table; rows grow with the number of memberships, never with the square of a bucket, and no
+    bucket is in one task.
     """
     return _classes(docs, id_col, text_col, similarity).select(
         F.col("id").alias(id_col), "class_id", "n_class")
@@ -278,6 +281,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         if not found.count():
             break
         stars = components(found.union(stars.toDF("a", "b")))
+        if turn >= TRIALS:
+            left = _touched(left, found)
     spark.sql(f"DROP TABLE {table}")
 
     roots = nodes.select("node", "f1", "f2", "one").join(
@@ -327,6 +332,14 @@ def _mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
         "key", "node", "root", F.coalesce("size", F.lit(0)).alias("size")))
 
 
+def _touched(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The buckets with an end of one of the links."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("__n")).distinct()
+    keys = members.join(lookup_side(ends), F.col("node") == F.col("__n")).select(
+        F.col("key").alias("__key")).distinct()
+    return members.join(lookup_side(keys), F.col("key") == F.col("__key")).drop("__key")
+
+
 def _rest(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs of a member and a hub of its bucket in another component, not a smaller one.
 
