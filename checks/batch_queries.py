@@ -32,13 +32,16 @@ NAMED = {
                     on l.repo = w.repo and l.issue_number = w.issue_number
                     where link_kind <> 'similar' or w.repo is null""",
     "flagged": f"""select i.repo, i.commit_sha,
-                          coalesce(list_contains(issue_labels, {_LABEL}), false) bug
+                          coalesce(list_contains(issue_labels, {_LABEL}), false) bug,
+                          issue_labels is not null labelled
                    from named_ids i join fx_issues using (issue_number)
                    join nation on repo = n_name""",
     "tagged": """select c.*, contains(lower(message), ' fix') or coalesce(f.bug, false) is_fix,
-                        coalesce(f.other, false) other
+                        coalesce(f.other, false) other,
+                        coalesce(f.other_labelled, false) other_labelled
                  from repo_commits c left join (
-                     select repo, commit_sha, bool_or(bug) bug, bool_or(not bug) other
+                     select repo, commit_sha, bool_or(bug) bug, bool_or(not bug) other,
+                            bool_or(labelled and not bug) other_labelled
                      from flagged group by all) f
                  on c.repo = f.repo and c.commit_sha = f.commit_sha""",
     "lines": """select r.repo, r.first_sha, d.commit_sha, d.path, d.op, d.line_no, d.value
@@ -52,13 +55,13 @@ CONFIG = """
            case when n_regionkey = 0 then 'ui' else 'bug' end bug_label from nation"""
 
 
-def _config(t):
+def _config(t, tracker=True, unlabelled=True):
     """Write the configuration as JSON lines, shared settings first, and read it."""
     path = scratch_path(t.spark, "config")
-    shared = t.sql("""select 0 place, to_json(named_struct(
+    shared = t.sql(f"""select 0 place, to_json(named_struct(
         'language_label', 'java', 'repo_base_address', 'repos', 'issue_base_address', 'issues',
-        'output_folder', 'out', 'retrieve_other_commit_id_from_issue_tracker', true,
-        'consider_issues_without_labels_as_other', true, 'log_flag', false)) value
+        'output_folder', 'out', 'retrieve_other_commit_id_from_issue_tracker', {tracker},
+        'consider_issues_without_labels_as_other', {unlabelled}, 'log_flag', false)) value
         from (select count(*) from region)""")
     repos = t.sql(f"""select 1 place, to_json(named_struct('repo_name', repo,
         'issue_file_name', issue_file_name, 'bug_label', bug_label)) value from ({CONFIG})""")
@@ -77,7 +80,7 @@ def batch_config(t):
     return _config(t)
 
 
-def _run(t):
+def _run(t, **settings):
     text = _REPO.format(text="string")
     commits = t.sql(f"select * from ({text})").drop("first_sha")
     issues = t.sql(f"""
@@ -96,10 +99,11 @@ def _run(t):
     blame = lines.filter("op = '-'").select(
         "repo", "commit_sha", "path", "line_no", F.col("first_sha").alias("blame_commit_sha"),
         F.col("value").alias("content"))
-    return batch.run_batch(_config(t), commits, issues, blame, lines=lines.drop("first_sha"))
+    return batch.run_batch(_config(t, **settings), commits, issues, blame,
+                           lines=lines.drop("first_sha"))
 
 
-@query("batch_deleted_lines", f"""
+_DELETED = (f"""
        select l.repo, o.author, o.author_email, o.authored_date, o.authored_time_zone_offset,
               count(*) number_of_related_deleted_lines, t.total_deleted_lines,
               t.total_added_lines, l.commit_sha fix_commit_sha, l.first_sha blame_commit_sha,
@@ -113,12 +117,15 @@ def _run(t):
        on l.repo = t.repo and l.commit_sha = t.commit_sha
        where l.op = '-' and g.is_fix group by all""".replace("select l.repo,", "select l.repo repo,")
        .replace("upper(substr(repo", "upper(substr(l.repo")
-       .replace("lower(substr(repo", "lower(substr(l.repo"), **NAMED)
+       .replace("lower(substr(repo", "lower(substr(l.repo"))
+
+
+@query("batch_deleted_lines", _DELETED, **NAMED)
 def batch_deleted_lines(t):
     return _run(t)[0]
 
 
-@query("batch_user_behavior", f"""
+_BEHAVIOR = f"""
        select repo, commit_sha, {HEADER}, deleted_lines, added_lines, path file_paths,
               'java' "language", cohort, {_NAME}
        from (select l.repo, l.commit_sha, l.path,
@@ -127,11 +134,28 @@ def batch_deleted_lines(t):
              from lines l group by all)
        join (select *, 'AllCommits' cohort from tagged
              union all select *, 'NonFix' from tagged where other and not is_fix)
-       using (repo, commit_sha)""", **NAMED)
+       using (repo, commit_sha)"""
+
+
+@query("batch_user_behavior", _BEHAVIOR, **NAMED)
 def batch_user_behavior(t):
     return _run(t)[1]
 
 
+@query("batch_user_behavior_repository",
+       _BEHAVIOR.replace("other and not is_fix", "not is_fix"), **NAMED)
+def batch_user_behavior_repository(t):
+    """The configuration asks for all commits that are no fix."""
+    return _run(t, tracker=False)[1]
+
+
+@query("batch_user_behavior_labelled",
+       _BEHAVIOR.replace("other and not is_fix", "other_labelled and not is_fix"), **NAMED)
+def batch_user_behavior_labelled(t):
+    """The configuration does not take issues without labels for others."""
+    return _run(t, unlabelled=False)[1]
+
+
 @query("batch_written", """select repo, cohort, count(*) n from (
        select l.repo, l.commit_sha, l.path from lines l group by all)
        join (select repo, commit_sha, 'AllCommits' cohort from tagged

@@ -138,6 +138,22 @@ def numbered_changes_non_fix(t):
     return changes.numbered_changes(h.counts(), h.cohort("non_fix"))
 
 
+@query("numbered_changes_in_given_files", f"""
+       select * from (
+           select row_number() over (order by commit_number, path) line_number, commit_number,
+                  commit_sha "commit_SHA", path, adds, deletes, adds + deletes changes
+           from counts join (select commit_sha, row_number() over (order by commit_seq)
+                                    commit_number
+                             from fx_commits where {NON_FIX_WHERE}) using (commit_sha))
+       where path in (select 'src/f' || cast(n_nationkey as varchar) || '.java' from nation)""",
+       **WITH_COUNTS)
+def numbered_changes_in_given_files(t):
+    """The numbers also count the files that are left out."""
+    files = t.sql("select 'src/f' || cast(n_nationkey as string) || '.java' path from nation")
+    h = lines_history(t)
+    return changes.numbered_changes(h.counts(), h.cohort("non_fix"), files)
+
+
 @query("changes_on_not_fixed_files", f"""
        select distinct 'p' || cast(l_partkey as varchar) || '.java  ' path, commit_sha
        from (select l_partkey, md5(cast(l_orderkey as varchar)) commit_sha from lineitem)
@@ -202,9 +218,11 @@ def blame_details(t):
 
 
 @query("history_rejects", """
-       select commit_sha, 'no_parent' reason, 'User behavior' stage from fx_commits
+       select commit_sha, 'no_parent' reason, stage
+       from fx_commits, (values ('User behavior'), ('Blame')) stages(stage)
        where n_parents = 0
-       union all select commit_sha, 'empty_diff', 'User behavior' from fx_commits
+       union all select commit_sha, 'empty_diff', stage
+       from fx_commits, (values ('User behavior'), ('Blame')) stages(stage)
        where n_parents > 0 and commit_sha not in (select commit_sha from fx_diff_lines)
        union all select distinct d.commit_sha, 'blame_line_missing', 'Blame'
        from joined d join fx_commits using (commit_sha)

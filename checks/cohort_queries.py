@@ -93,6 +93,13 @@ def issue_commit_ids(t):
     return cohorts.issue_commit_ids(t("sp_issues"))
 
 
+@query("similar_lists_left_out", """select issue_number, count(*) list_size,
+       'similar_list_over_limit' reason, 'Cohort' stage from fx_issue_links
+       where link_kind = 'similar' group by issue_number having count(*) > 10""")
+def similar_lists_left_out(t):
+    return cohorts.similar_lists_left_out(t("sp_issues"))
+
+
 @query("fix_commit_ids", "select commit_sha from fix_ids", **IDS)
 def fix_commit_ids(t):
     return cohorts.fix_commit_ids(t("sp_issues"), t("fx_commits"), LABEL)

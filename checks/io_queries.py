@@ -112,24 +112,35 @@ def per_group_folders(t):
     return readers.read_facts(t.spark, path).select("value", "n", "token_type")
 
 
-@query("variant_folders", """select "value", variant, metric from (
-       select "value", 'binary_count' variant, cast(count(*)::double as varchar) metric
+@query("variant_folders", """select "value", variant, round(metric, 6) metric from (
+       select "value", 'binary_count' variant, count(*)::double metric
+       from terms where column_name = 'token_type' group by all
+       union all select "value", 'binary_count_normalized', sum(1.0::double / n_values)
+       from terms where column_name = 'token_type' group by all
+       union all select "value", 'aggregate_count_normalized', sum(n / total)
        from terms where column_name = 'token_type' group by all)""", **NAMED)
 def variant_folders(t):
     path = scratch_path(t.spark, "variants")
     wide = frequency.normalized_frequency(t("fx_tokens"), ["token_type"], GROUP)
     writers.write_variants(frequency.long_variants(wide), path)
-    rows = readers.read_facts(t.spark, path).filter("variant = 'binary_count'")
-    return rows.select("value", "variant", "metric")
+    return readers.read_facts(t.spark, path).select(
+        "value", "variant", F.round(F.col("metric").cast("double"), 6).alias("metric"))
 
 
-@query("matrix_folders", "select hex_hash::varchar hex_hash, " + ", ".join(
-    f"cast(count(*) filter (where token_content = '{v}') as varchar) \"{v}\""
-    for v in ALLOWED["token_content"] if v not in (".", ",")) +
-    " from fx_tokens group by hex_hash")
+_PLAIN = [v for v in ALLOWED["token_content"] if v not in (".", ",")]
+
+
+@query("matrix_folders", " union all ".join(
+    f"select '{variant}' variant, hex_hash::varchar hex_hash, " + ", ".join(
+        f"cast({cell.format(v)} as varchar) \"{v}\"" for v in _PLAIN) +
+    " from fx_tokens group by hex_hash" for variant, cell in (
+        ("count", "count(*) filter (where token_content = '{}')"),
+        ("binary_count", "max(case when token_content = '{}' then 1 else 0 end)"))))
 def matrix_folders(t):
     path = scratch_path(t.spark, "matrix")
-    values = [v for v in ALLOWED["token_content"] if v not in (".", ",")]
+    variants = ["count", "binary_count"]
     folders = writers.write_matrices(t("fx_tokens"), ["token_content"], GROUP, path,
-                                     {"token_content": values}, ["count", "binary_count"])
-    return readers.read_facts(t.spark, folders[0])
+                                     {"token_content": _PLAIN}, variants)
+    one, two = (readers.read_facts(t.spark, folder).withColumn("variant", F.lit(variant))
+                for folder, variant in zip(folders, variants))
+    return one.unionByName(two)

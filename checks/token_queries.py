@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks.cohort_queries import ISSUE_IDS, LABEL
 from checks.registry import query
 from logstrata.functions.languages import (JAVA_KEYWORDS, JAVA_WORD_TYPES, is_keyword,
                                            java_keywords, lexer_name)
@@ -130,7 +131,27 @@ def content_tokens_deleted(t):
     return _file_history(t, "deleted").content_tokens("all", "deleted")
 
 
-@query("content_tokens_kept", CONTENT + """ and lexer_name = 'Java' and token_type in
+_BUG_IDS = """(select commit_sha from issue_ids join fx_issues using (issue_number)
+    where issue_labels is not null and list_contains(issue_labels, 'bug'))"""
+
+
+def _register_content(cohort, part):
+    inside = "in" if cohort == "fix" else "not in"
+
+    @query(f"content_tokens_{cohort}_{part}", f"{CONTENT} and commit_sha {inside} {_BUG_IDS}",
+           **NAMED, issue_ids=ISSUE_IDS)
+    def content(t):
+        history = History(t("sp_file_commits"), t("sp_issues"), LABEL, keyword=None,
+                          diffs=t(f"sp_file_diffs_{part}"), blobs=t("sp_blobs"))
+        return history.content_tokens(cohort, part)
+
+
+for _cohort in ("fix", "non_fix"):
+    for _part in ("added", "deleted"):
+        _register_content(_cohort, _part)
+
+
+@query("content_tokens_kept",CONTENT + """ and lexer_name = 'Java' and token_type in
        ('Token.Keyword.Declaration', 'Token.Keyword.Namespace', 'Token.Keyword',
         'Token.Keyword.Type')""", **NAMED)
 def content_tokens_kept(t):

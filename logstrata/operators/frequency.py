@@ -64,18 +64,24 @@ def side_by_side(frequency: DataFrame) -> DataFrame:
     """The wide report: row i holds the i-th value of every column and its number.
 
     Columns with more values stand further left; values are ordered by falling count. The
-    column list is collected: it has one row per counted column.
+    frequency is sorted and numbered once, over all columns; a column's first number makes its
+    own numbers start at 1. Per counted column one row is collected: first number and size.
     """
     metric = [c for c in frequency.columns if c not in ("column_name", "value")][0]
-    names = [row.column_name for row in column_cardinality(frequency).collect()]
-    wide = frequency.select(F.lit(0).alias("row_number")).limit(0)
-    for i, name in enumerate(names):
-        part = with_line_number(
-            frequency.filter(F.col("column_name") == name)
-            .select(F.col("value").alias(name), F.col(metric).alias(f"{name}_value")),
-            [F.desc(f"{name}_value"), F.col(name)], "row_number")
-        wide = wide.join(part, "row_number", "left") if i else part
-    return wide
+    cells = frequency.select("column_name", "value", F.col(metric).alias("__metric"))
+    numbered = with_line_number(cells, ["column_name", F.desc("__metric"), "value"], "__number")
+    columns = (numbered.groupBy("column_name")
+               .agg(F.min("__number").alias("first"), F.count("*").alias("n"))
+               .orderBy(F.desc("n"), "column_name").collect())
+    if not columns:
+        return frequency.select(F.lit(0).cast("long").alias("row_number")).limit(0)
+    first = F.create_map(*[F.lit(x) for row in columns for x in (row.column_name, row["first"])])
+    placed = numbered.select((F.col("__number") - first[F.col("column_name")] + 1)
+                             .alias("row_number"), "column_name", "value", "__metric")
+    wide = (placed.groupBy("row_number").pivot("column_name", [c.column_name for c in columns])
+            .agg(F.first("value").alias("value"), F.first("__metric").alias("metric")))
+    return wide.toDF("row_number", *[name for c in columns
+                                     for name in (c.column_name, f"{c.column_name}_value")])
 
 
 def frequency_sub_group(df: DataFrame, group: str, sub: str, keep: Mapping | None = None,
@@ -161,17 +167,23 @@ def frequency_matrix(df: DataFrame, column: str, group: str, values: Iterable,
     empty text share the column of the empty text. A value named like the group column is an
     error. The matrix over a whole vocabulary is :func:`frequency_cells`, at any size.
     """
-    if variant not in MATRIX_VARIANTS:
-        raise ValueError(f"variant must be one of {MATRIX_VARIANTS}")
-    values = list(dict.fromkeys(value or "" for value in values))
-    if group in values:
-        raise ValueError(f"a value is named like the group column: {group}")
     if variant in ("count", "binary_count"):
         counts = grouped_counter(df, [column], group, keep)
         cells = counts.select(group, "value", F.col("n").alias("count"),
                               F.lit(1).cast("long").alias("binary_count"))
     else:
         cells = frequency_cells(df, [column], group, keep)
+    return matrix_of_cells(cells, group, values, variant)
+
+
+def matrix_of_cells(cells: DataFrame, group: str, values: Iterable,
+                    variant: str = "count") -> DataFrame:
+    """The matrix of one column's :func:`frequency_cells`; see :func:`frequency_matrix`."""
+    if variant not in MATRIX_VARIANTS:
+        raise ValueError(f"variant must be one of {MATRIX_VARIANTS}")
+    values = list(dict.fromkeys(value or "" for value in values))
+    if group in values:
+        raise ValueError(f"a value is named like the group column: {group}")
     cells = cells.select(group, F.coalesce("value", F.lit("")).alias("value"), variant)
     # Columns go by place until the end: names of values may clash or need quoting.
     places = [f"__v{i}" for i in range(len(values))]

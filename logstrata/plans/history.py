@@ -95,11 +95,21 @@ class History:
         return tokens.content_tokens(self.patches(), self.blobs, self.cohort(name), analyze_part,
                                      numbered)
 
-    def rejects(self) -> DataFrame:
-        """Commits without facts: stage, commit and reason."""
+    def rejects(self, analyze_part: str = "deleted") -> DataFrame:
+        """Commits without facts: stage, commit and reason, for the stages whose tables are given.
+
+        A commit without parent or diff, or with a broken hunk, fails every stage that reads
+        diffs. ``analyze_part`` is the side whose file texts the Content stage looks for.
+        """
         found = []
         if self.diffs is not None:
-            found.append(diff.diff_rejects(self.diffs, "User behavior"))
+            stages = ["User behavior"] + ["Blame"] * (self.blame_lines is not None) \
+                + ["Content"] * (self.blobs is not None)
+            found.append(diff.diff_rejects(self.diffs, "").withColumn(
+                "stage", F.explode(F.array(*[F.lit(stage) for stage in stages]))))
+            if self.blobs is not None:
+                found.append(tokens.content_rejects(self.patches(), self.blobs, self.commits,
+                                                    analyze_part))
         if self.blame_lines is not None:
             found.append(blame.blame_rejects(self._blame_input("all"), self.blame_lines))
             found.append(blame.origin_rejects(self._blame_input("all"), self.blame_lines,

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from logstrata.functions.text import capitalized
 from logstrata.operators.changes import commit_messages
-from logstrata.operators.frequency import MATRIX_VARIANTS, frequency_matrix
+from logstrata.operators.frequency import MATRIX_VARIANTS, frequency_cells, matrix_of_cells
+from logstrata.session import scratch_path
 
 
 def write_facts(df: DataFrame, path: str, output_format: str = "parquet",
@@ -39,14 +40,20 @@ def write_per_group(df: DataFrame, group: str, path: str) -> None:
 def write_matrices(df: DataFrame, columns: list[str], group: str, path: str,
                    values: dict[str, list], variants: list[str] | None = None,
                    keep: dict | None = None) -> list[str]:
-    """One CSV folder per counted column and variant; the column list is the caller's."""
+    """One CSV folder per counted column and variant; the column list is the caller's.
+
+    The rows are read and counted once: the cells of all columns and variants are stored in the
+    shared folder, and each folder is a pivot of its column's part of them.
+    """
+    store = scratch_path(df.sparkSession, "cells")
+    frequency_cells(df, columns, group, keep).write.partitionBy("column_name").parquet(store)
+    cells = df.sparkSession.read.parquet(store)
     folders = []
     for column in columns:
+        part = cells.filter(F.col("column_name") == column)
         for variant in variants or MATRIX_VARIANTS:
             folder = f"{path}_{column}_{variant}"
-            matrix = frequency_matrix(df, column, group, values[column], variant,
-                                      keep)
-            write_facts(matrix, folder, "csv")
+            write_facts(matrix_of_cells(part, group, values[column], variant), folder, "csv")
             folders.append(folder)
     return folders
 
