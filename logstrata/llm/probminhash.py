@@ -341,17 +341,17 @@ def _touched(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _rest(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a member and a hub of its bucket in another component, not a smaller one.
+    """Pairs of a member and a hub of its bucket in another component.
 
     Each round and bucket draw their own hubs, so a member meets others of each bucket in turn.
     """
     draws = [F.min(F.struct(F.xxhash64("node", "key", F.lit(turn * HUBS + i)).alias("h"),
-                            F.col("node").alias("hub"), F.col("root").alias("hub_root"),
-                            F.col("size").alias("hub_size"))).alias(f"h{i}") for i in range(HUBS)]
+                            F.col("node").alias("hub"), F.col("root").alias("hub_root")))
+             .alias(f"h{i}") for i in range(HUBS)]
     hubs = rows.groupBy("key").agg(*draws).select(F.col("key").alias("__key"), F.array_distinct(
         F.array(*[f"h{i}" for i in range(HUBS)])).alias("hubs"))
     near = rows.join(lookup_side(hubs), F.col("key") == F.col("__key"))
-    apart = F.filter("hubs", lambda h: (h["hub_root"] != F.col("root")) & (h["hub_size"] >= F.col("size")))
+    apart = F.filter("hubs", lambda h: h["hub_root"] != F.col("root"))
     return _pairs(near.select(F.col("node").alias("a"),
                               F.explode(F.transform(apart, lambda h: h["hub"])).alias("b")))
 

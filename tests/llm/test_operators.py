@@ -166,6 +166,14 @@ def test_near_duplicates(docs):
     assert probminhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_component_meets_hubs_without_a_link(spark):
+    rows = [(1, 10, 10), (1, 11, 10), (1, 12, 12)]
+    members = spark.createDataFrame(rows, "key long, node long, root long") \
+        .withColumn("size", F.when(F.col("root") == 10, 2).otherwise(0))
+    drawn = [{(r.a, r.b) for r in probminhash._rest(members, turn).collect()} for turn in range(1, 9)]
+    assert any({(10, 12), (11, 12)} <= pairs for pairs in drawn)
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(3)
     elements = rng.integers(1, 2 ** 62, 300).astype(np.uint64)
