@@ -24,7 +24,7 @@ SLOTS = BANDS * ROWS
 # fewer than 78 with probability 2e-5.
 AGREE = 78
 HUBS = 2                     # hubs of a mixed bucket in one round
-TRIALS = 2                   # rounds for every mixed bucket, whether or not they find a link
+TRIALS = 2                   # rounds of hubs before the rest is joined by its rare shingles
 
 
 # ---------------------------------------------------------------- signatures
@@ -234,11 +234,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts with equal words are first made one node. Signatures are cut in bands; nodes that
     share a band form a bucket. In each bucket all members are compared with its hub, the member
     met most often in all buckets; signatures are compared first, then whole texts. Buckets that
-    still hold several components are compared with further hubs, drawn anew in each bucket and
-    round: all of them in ``TRIALS`` rounds, then each until a round finds no link of its
-    members. So the number of rounds follows the longest chain of links, not the size of the
-    table; rows grow with the number of memberships, never with the square of a bucket, and no
-    bucket is in one task.
+    still hold several components are compared with further hubs in ``TRIALS`` rounds, drawn
+    anew in each bucket and round. These only save work: all nodes of buckets that are mixed
+    after that are joined by their rare shingles (``_rare_pairs``), which leaves out no pair of
+    two components that is alike. Pairs there grow with the number of near misses.
     """
     return _classes(docs, id_col, text_col, similarity).select(
         F.col("id").alias(id_col), "class_id", "n_class")
@@ -271,18 +270,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     pairs = members.join(lookup_side(hubs), F.col("key") == F.col("__key")).select(
         F.col("node").alias("a"), F.col("hub").alias("b"))
     links = cut_lineage(_verified(_alike(_pairs(pairs), nodes), texts, similarity))
-    stars, turn, left = components(links), 0, members
-    while True:
-        turn += 1
+    stars, left = components(links), members
+    for turn in range(1, TRIALS + 2):
         left = _mixed(left, stars)
         near = nodes.join(left.select(F.col("node").alias("__n")).distinct(),
                           F.col("node") == F.col("__n")).select("node", "slots")
-        found = cut_lineage(_verified(_alike(_rest(left, turn), near), texts, similarity))
-        if not found.count():
-            break
+        pairs = _rest(left, turn) if turn <= TRIALS else _rare_pairs(left, texts, similarity)
+        found = cut_lineage(_verified(_alike(pairs, near), texts, similarity))
         stars = components(found.union(stars.toDF("a", "b")))
-        if turn >= TRIALS:
-            left = _touched(left, found)
     spark.sql(f"DROP TABLE {table}")
 
     roots = nodes.select("node", "f1", "f2", "one").join(
@@ -319,25 +314,14 @@ def _text_table(given: DataFrame, nodes: DataFrame, members: DataFrame) -> str:
 
 
 def _mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
-    """(key, node, root, size) of buckets that hold several components so far."""
-    sizes = stars.groupBy(F.col("root").alias("__r")).agg(F.count("*").alias("size"))
+    """(key, node, root) of buckets that hold several components so far."""
     roots = stars.toDF("__node", "__root")
     rows = members.select("key", "node").join(
         lookup_side(roots), F.col("node") == F.col("__node"), "left").select(
         "key", "node", F.coalesce("__root", "node").alias("root"))
     several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
         .where("lo < hi").select(F.col("key").alias("__key"))
-    kept = rows.join(lookup_side(several), F.col("key") == F.col("__key")).drop("__key")
-    return cut_lineage(kept.join(lookup_side(sizes), F.col("root") == F.col("__r"), "left").select(
-        "key", "node", "root", F.coalesce("size", F.lit(0)).alias("size")))
-
-
-def _touched(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The buckets with an end of one of the links."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("__n")).distinct()
-    keys = members.join(lookup_side(ends), F.col("node") == F.col("__n")).select(
-        F.col("key").alias("__key")).distinct()
-    return members.join(lookup_side(keys), F.col("key") == F.col("__key")).drop("__key")
+    return cut_lineage(rows.join(lookup_side(several), F.col("key") == F.col("__key")).drop("__key"))
 
 
 def _rest(rows: DataFrame, turn: int) -> DataFrame:
@@ -356,6 +340,61 @@ def _rest(rows: DataFrame, turn: int) -> DataFrame:
                               F.explode(F.transform(apart, lambda h: h["hub"])).alias("b")))
 
 
+def _rare_pairs(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes in different components; none that is alike is left out.
+
+    Let two texts share shingles that are a part p of the weight of one and q of the other. Their
+    similarity is at most 1 / (1 / p + 1 / q - 1): for a shared shingle e the sum over d of
+    max(x_d / x_e, y_d / y_e) is at least X / x_e + (1 - q) Y / y_e, X and Y being the whole
+    weights, and the sum over e of the inverses is concave in the shared parts. In any order of
+    the shingles that is the same for all texts, 1 - p and 1 - q are at least the weights before
+    the first shared shingle. So a pair is needed only at a shingle where these weights allow
+    the similarity; with the shingles of fewest nodes first, few places of a text are left.
+    """
+    most = 1 + 1 / similarity + 1e-9
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in sliced(whole, 1)):
+            codes, bounds, words = coded_words([t.lower() for t in byte_texts(batch.column(1))])
+            if not len(codes):
+                continue
+            text, shingle, count = shingles(codes, bounds, word_hashes(words)[codes])
+            whole = np.bincount(text, weights=count, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(text)), pa.array(signed(shingle)),
+                 pa.array(count / whole[text])], ["node", "shingle", "part"])
+
+    asked = rows.select(F.col("node").alias("__n"), "root").distinct()
+    wanted = texts.join(lookup_side(asked.select("__n")), F.col("node") == F.col("__n"))
+    spelled = cut_lineage(wanted.select("node", "text")
+                          .mapInArrow(spell, "node long, shingle long, part double"))
+    common = spelled.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1") \
+        .withColumnRenamed("shingle", "__shingle")
+    shared = spelled.join(lookup_side(common), F.col("shingle") == F.col("__shingle"))
+    # Shingles of one node come first; only their weight counts.
+    node = Window.partitionBy("node")
+    order = node.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    before = 1 - F.sum("part").over(node) + F.coalesce(F.sum("part").over(order), F.lit(0.0))
+    early = shared.select("node", "shingle", before.alias("before")) \
+        .where(F.col("before") < 1 - 1 / (most - 1))
+    early = cut_lineage(early.join(lookup_side(asked), F.col("node") == F.col("__n"))
+                        .select("shingle", "node", "root", (1 / (1 - F.col("before"))).alias("cost")))
+    # Places where the cheapest other one is not enough are dropped before any pair is made.
+    least = early.groupBy("shingle").agg(
+        F.min("cost").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")) \
+        .where("lo < hi").withColumnRenamed("shingle", "__shingle")
+    kept = cut_lineage(early.join(lookup_side(least), F.col("shingle") == F.col("__shingle"))
+                       .where(F.col("cost") + F.col("least") <= most)
+                       .select("shingle", "node", "root", "cost"))
+    # Of two one is at or below the mean.
+    low = kept.where(F.col("cost") <= most / 2).toDF("__shingle", "__node", "__root", "__cost")
+    met = kept.join(lookup_side(low), (F.col("shingle") == F.col("__shingle"))
+                    & (F.col("root") != F.col("__root"))
+                    & (F.col("cost") + F.col("__cost") <= most))
+    return met.select(F.least("node", "__node").alias("a"),
+                      F.greatest("node", "__node").alias("b")).distinct()
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 similarity: float = SIMILARITY) -> DataFrame:
     """The documents less all but one of each class: that with the least id stays.

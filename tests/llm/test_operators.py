@@ -166,6 +166,25 @@ def test_near_duplicates(docs):
     assert probminhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_within_a_template_family(spark):
+    rng = random.Random(11)
+    template = prose(rng, 350, 10 ** 9)
+
+    def document(*tails):
+        return " ".join((template, *tails))
+
+    # Two of the family are alike at 346 / 445 = 0.777, twins at 351 / 437 = 0.803.
+    rows = [document(prose(rng, 50, 10 ** 9)) for _ in range(500)]
+    for _ in range(20):
+        both = prose(rng, 7, 10 ** 9)
+        rows += [document(both, prose(rng, 43, 10 ** 9)) for _ in range(2)]
+    sets = [weighted(t) for t in rows]
+    assert similarity(sets[0], sets[1]) < 0.8 <= similarity(sets[500], sets[501])
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in probminhash.near_duplicates(table).collect()}
+    assert found == {i: i - (i - 500) % 2 if i >= 500 else i for i in range(540)}
+
+
 def test_a_component_meets_hubs_without_a_link(spark):
     rows = [(1, 10, 10), (1, 11, 10), (1, 12, 12)]
     members = spark.createDataFrame(rows, "key long, node long, root long") \
