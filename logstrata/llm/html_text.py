@@ -14,6 +14,7 @@ from logstrata.llm.common import append_columns
 
 SIGMA = 1.0     # width of the Gaussian, in lines
 SHARE = 0.5     # a line is content from this share of the threshold on
+MOST = 0.5      # an element with more than this share of the page's text is no furniture
 
 # Names of HTML elements and of the usual page furniture.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
@@ -40,22 +41,34 @@ MAIN = {"article", "main"}
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> bool:
-    if tag in LEFT_OUT:
-        return not (tag == "header" and in_main)
-    if not attrs or tag in ("html", "body", *MAIN):
-        return False
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion"}
+NEVER = {"head", "script", "style", "noscript", "template", "button", "select", "textarea", "iframe",
+         "object", "svg", "canvas", "audio", "video", "title"}
+
+
+def _furniture(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> str:
+    """"never" for what is no text, not shown or comments in an article, "named" for furniture by
+    its name, else ""."""
+    if tag in NEVER:
+        return "never"
+    named = tag in LEFT_OUT and not (tag == "header" and in_main)
+    if tag in ("html", "body", *MAIN):
+        return ""
     for name, value in attrs:
         value = value or ""
-        if name in ("class", "id") and any(t.lower() in FURNITURE for t in _TOKEN.findall(value)):
-            return True
-        if name == "role" and value.strip().lower() in ROLES:
-            return True
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return "never"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "never"
+        if name in ("class", "id"):
+            found = {t.lower() for t in _TOKEN.findall(value)} & FURNITURE
+            if in_main and found & COMMENTS:
+                return "never"
+            # The header of an article is its title, as the element of that name is.
+            named = named or bool(found - {"header"} if in_main else found)
+        if name == "role" and value.strip().lower() in ROLES:
+            named = True
+    return "named" if named else ""
 
 
 class LineReader(HTMLParser):
@@ -65,8 +78,10 @@ class LineReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int]] = []      # (tag, number of the element)
-        self.left_out = 0                          # depth of open elements that are furniture
-        self.out_at: list[int] = []                # their places in ``open``
+        self.out_at: list[int] = []                # places in ``open`` of what is never text
+        self.named: set[int] = set()               # elements that are furniture by name
+        self.holders: set[int] = set()             # elements that hold an article or main element
+        self.free = False                          # whether one is in no element named so
         self.main = 0
         self.elements = 0
         self.text: list[str] = []
@@ -91,8 +106,14 @@ class LineReader(HTMLParser):
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self._close(len(self.open) - 1)
         self.elements += 1
-        if _is_furniture(tag, attrs, self.main > 0):
+        kind = _furniture(tag, attrs, self.main > 0)
+        if kind == "never":
             self.out_at.append(len(self.open))
+        elif kind == "named":
+            self.named.add(self.elements)
+        if tag in MAIN and not self.out_at:
+            self.holders.update(n for _, n in self.open)
+            self.free |= not any(n in self.named for _, n in self.open)
         self.main += tag in MAIN
         self.open.append((tag, self.elements))
 
@@ -124,11 +145,39 @@ class LineReader(HTMLParser):
 
 
 def read_lines(html: str) -> list[tuple[str, int, tuple[tuple[str, int], ...]]]:
+    """The lines outside furniture.
+
+    An element named like furniture stays if it holds more than ``MOST`` of the page's text, less
+    that in other furniture within it, or an article or main element of a page that has none
+    elsewhere. Comments within an article or main element never stay.
+    """
     reader = LineReader()
     reader.feed(html)
     reader.close()
     reader.end_line()
-    return reader.lines
+    lines, named = reader.lines, reader.named
+    if not named:
+        return lines
+    if not reader.free:
+        named = named - reader.holders
+    everything = sum(len(text) for text, _, _ in lines)
+    while True:  # once for each level of furniture that stays
+        inside: dict[int, int] = {}
+        for text, _, path in lines:
+            innermost = next((n for _, n in reversed(path) if n in named), None)
+            if innermost is not None:
+                inside[innermost] = inside.get(innermost, 0) + len(text)
+        stays = {n for n, size in inside.items() if size > MOST * everything}
+        if not stays:
+            break
+        named = named - stays
+    out, tags = [], 0
+    for text, count, path in lines:
+        tags += count
+        if not any(n in named for _, n in path):
+            out.append((text, tags, path))
+            tags = 0
+    return out
 
 
 def content_lines(sizes: np.ndarray, tags: np.ndarray, sigma: float = SIGMA,
@@ -190,7 +239,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str =
 
     The parser's events give one line for each block. Furniture (menus, headers outside the
     article, footers, sidebars, notices, adverts, forms, comments, scripts, hidden parts) is left
-    out by element, role, class and id. On the rest, text-to-tag ratios are smoothed and split
+    out by element, role, class and id, but what only has the name of it stays (see
+    ``read_lines``). On the rest, text-to-tag ratios are smoothed and split
     in two clusters; the region is the article (or main element) with most content, else the
     innermost block with nearly all of it, and is kept whole. White space inside a block becomes
     one space, blocks are joined by one line break. Null, empty and textless pages give an empty

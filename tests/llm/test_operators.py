@@ -288,6 +288,20 @@ def test_main_text(spark):
     assert got[1] == ("H&\nOne two\nx", 12) and got[2] == got[3] == ("", 0)
 
 
+@pytest.mark.parametrize("opening, closing", [
+    ("<div class='layout has-sidebar'>", "</div>"), ("<div id='page-with-comments'>", "</div>"),
+    ("<div class='search-result post'>", "</div>"), ("<div class='hidden-xs hasNavbar'>", "</div>"),
+    ("<form action='/'>", "</form>"), ("<div role='form'><form>", "</form></div>")])
+def test_main_text_in_wrappers_named_like_furniture(opening, closing):
+    nav = "<nav><a>home</a><a>more</a></nav><div class='sidebar'><p>aside</p></div>"
+    words = " ".join(f"w{i}" for i in range(60))
+    inner = f"<div class='post-header'><h1>Title</h1></div><p>{words}</p><div class='share'>s</div>"
+    page = f"<body>{opening}{nav}<article>{inner}</article>{closing}<footer>f</footer></body>"
+    assert html_text.main_text(page) == f"Title\n{words}"
+    plain = f"<body>{opening}{nav}<p>{words}</p><p>{words}</p>{closing}<footer>f</footer></body>"
+    assert html_text.main_text(plain) == f"{words}\n{words}"
+
+
 @pytest.mark.parametrize("group", [4000, 1])
 def test_repeats(docs, group):
     found = substrings.find_repeats(docs, group=group).collect()
