@@ -302,6 +302,17 @@ def test_main_text_in_wrappers_named_like_furniture(opening, closing):
     assert html_text.main_text(plain) == f"{words}\n{words}"
 
 
+def test_main_text_without_an_article():
+    words = [" ".join(f"w{k}{i}" for i in range(40)) for k in range(4)]
+    links = "".join(f"<li><a href=/{i}>l{i}</a></li>" for i in range(12))
+    text = "".join(f"<p>{w}</p>" for w in words)
+    page = f"<body><div><ul>{links}</ul></div><div>{text}</div><div><ul>{links}</ul></div></body>"
+    assert html_text.main_text(page) == "\n".join(words)
+    flat = f"<body><ul>{links}</ul>{text}<ul>{links}</ul></body>"
+    lines = html_text.main_text(flat).split("\n")
+    assert [t for t in lines if t in words] == words and len(lines) <= 8
+
+
 @pytest.mark.parametrize("group", [4000, 1])
 def test_repeats(docs, group):
     found = substrings.find_repeats(docs, group=group).collect()
