@@ -116,7 +116,7 @@ def _archive(parts: list[bytes]) -> pa.RecordBatch:
 
 
 class Damaged(Exception):
-    pass
+    member: tuple[bytes, int] | None = None  # text and end of the member, if it unpacks
 
 
 def _parse(data: bytes, at: int = 0) -> tuple[dict, int]:
@@ -189,18 +189,46 @@ def _record_at(data: bytes, at: int) -> tuple[dict, int]:
     if not unpack.eof:
         raise Damaged("member without end")
     text = b"".join(whole)
-    record, length = _parse(text)
-    if length != len(text):
-        raise Damaged("more than one record in a member")
+    try:
+        record, length = _parse(text)
+        if length != len(text):
+            raise Damaged("more than one record in a member")
+    except Damaged as error:
+        error.member = text, end
+        raise
     return record, end
 
 
+def _records_inside(text: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
+    """Records and gaps of an unpacked member: (offset, length, reason of a gap, record)."""
+    at, gap, reason = 0, None, ""
+    while at < len(text):
+        try:
+            record, end = _parse(text, at)
+        except Damaged as error:
+            if gap is None:
+                gap, reason = at, str(error)
+            at = text.find(b"WARC/", at + 1)
+            if at < 0:
+                break
+            continue
+        if gap is not None:
+            yield gap, at - gap, reason, {}
+            gap = None
+        yield at, end - at, None, record
+        at = end
+    if gap is not None:
+        yield gap, len(text) - gap, reason, {}
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
     """Records and byte gaps of an archive, in order: (offset, length, reason of a gap, record).
 
     Where a check fails, the next place is searched at which a member or a version line begins
     and a whole record passes all checks; what lies between is one gap with the first reason.
-    Zero bytes between members are padding, no gap.
+    Zero bytes between members are padding, no gap. A member that unpacks well but is not one
+    sound record is searched in the same way; its records and gaps have the member's offset and
+    length, and the reason of such a gap tells its place in the unpacked text.
     """
     at, gap, reason = 0, None, ""
     while at < len(data):
@@ -210,6 +238,17 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
         try:
             record, end = _record_at(data, at)
         except Damaged as error:
+            text, end = error.member or (b"", at)
+            inside = list(_records_inside(text))
+            if any(why is None for _, _, why, _ in inside):
+                if gap is not None:
+                    yield gap, at - gap, reason, {}
+                    gap = None
+                for first, size, why, record in inside:
+                    why = why and f"{why}; {size} bytes at {first} of the unpacked member"
+                    yield at, end - at, why, record
+                at = end
+                continue
             if gap is None:
                 gap, reason = at, str(error)
             at = _next_start(data, at + 1)

@@ -134,6 +134,30 @@ def test_warc_round_trip_and_salvage(spark):
     assert warc.read_warc(spark, path + "-none").where("kind = 'record'").count() == 0
 
 
+def test_salvage_inside_a_member():
+    plain = [zlib.decompress(warc.member(str(i), "u", bytes([65 + i]) * 500, None, None, "d"), 31)
+             for i in range(4)]
+
+    def packed(*parts):
+        pack = zlib.compressobj(wbits=31)
+        return pack.compress(b"".join(parts)) + pack.flush()
+
+    alone = warc.member("9", "u", b"z", None, None, "d")
+    whole = packed(*plain)
+    found = list(warc.salvage(whole + alone))
+    assert [(o, n, why, r["record_id"]) for o, n, why, r in found] == [
+        *[(0, len(whole), None, str(i)) for i in range(4)], (len(whole), len(alone), None, "9")]
+    broken = plain[1].replace(b"B" * 500, b"B" * 499 + b"?")
+    for parts, ids in (((plain[0], broken, plain[2]), "02"), ((broken, plain[2]), "2")):
+        data = packed(*parts)
+        found = list(warc.salvage(b"junk" + data + alone))
+        assert [r["record_id"] for _, _, why, r in found if not why] == [*ids, "9"]
+        gaps = [(o, n, why) for o, n, why, _ in found if why]
+        assert gaps[0][:2] == (0, 4) and [g[:2] for g in gaps[1:]] == [(4, len(data))]
+        place = 0 if parts[0] is broken else len(plain[0])
+        assert gaps[1][2].endswith(f"; {len(broken)} bytes at {place} of the unpacked member")
+
+
 def weighted(text):
     w = (text or "").encode().lower().split()
     return collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else None
