@@ -132,4 +132,5 @@ def test_history_rejects(tables):
     rows = History(commits, diffs=diffs, blame_lines=blamed).rejects().collect()
     assert {(r.repo, r.commit_sha, r.stage, r.reason) for r in rows} == {
         ("r1", "c1", "User behavior", "no_parent"), ("r2", "c1", "User behavior", "no_parent"),
+        ("r1", "c1", "Blame", "no_parent"), ("r2", "c1", "Blame", "no_parent"),
         ("r2", "c2", "Blame", "blame_line_missing")}
