@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logstrata.llm import (decontamination, html_text, language, ngram_trie, outliers, pieces,
-                           probminhash, sharding, substrings, warc)
+from logstrata.llm import (codes, decontamination, html_text, language, mixing, negatives,
+                           ngram_trie, outliers, pieces, probminhash, sharding, substrings, warc)
 from logstrata.llm.common import append_columns, byte_texts, documents
 from logstrata.session import scratch_path
 
@@ -115,15 +115,78 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    coded, books = codes.compress_vectors(rows)
+    hex_of = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return coded.select("vec_id", F.array_join(hex_of, "").alias("code"), "error", "label_error",
+                        F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_words(documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_sharding, op3_warc, op4_probminhash, op5_quality_rules, op6_lm_scoring,
     op7_html_extraction,
-    op8_substring_dedup, op9_sentencepiece, op10_language_id)}
+    op8_substring_dedup, op9_sentencepiece, op10_language_id, op11_hard_negatives,
+    op12_vector_codes, op13_source_mix)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
+_SOUND = """embedding IS NOT NULL
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _whole_sql(factor: int) -> str:
+    return f"list_transform(embedding, lambda x: CAST(floor({factor} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _codes_sql() -> str:
+    """The rounds of op12 as one statement; vectors have one length, which 8 divides."""
+    square = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for k in range(codes.ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+            SELECT r, x.p, e, CAST(d AS BIGINT) AS d, x.v FROM (
+                SELECT x.r, x.p, c.e, x.v, {square} AS d FROM x JOIN c{k} c ON x.p = c.p) x
+            QUALIFY row_number() OVER (PARTITION BY r, x.p ORDER BY d, e) = 1)""")
+        if k < codes.ROUNDS:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+            SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+                SELECT p, e, list(g ORDER BY j) AS v FROM (
+                    SELECT p, e, j, CAST(floor(sum(w) / count(*)) AS BIGINT) AS g FROM (
+                        SELECT p, e, unnest(v) AS w, unnest(range(1, len(v) + 1)) AS j FROM a{k})
+                    GROUP BY p, e, j) GROUP BY p, e) m ON c.p = m.p AND c.e = m.e)""")
+    last = f"a{codes.ROUNDS}"
+    return f"""
+        WITH v AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, {_whole_sql(4096)} AS q
+            FROM embeddings WHERE {_SOUND}),
+        x AS MATERIALIZED (
+            SELECT r, p, q[p * (len(q) // 8) + 1:(p + 1) * (len(q) // 8)] AS v
+            FROM v, range(0, 8) t(p)),
+        c0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM x WHERE r <= 16),
+        {", ".join(steps)},
+        coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code,
+                         CAST(sum(d) AS BIGINT) AS error FROM {last} GROUP BY r),
+        books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h
+                  FROM c{codes.ROUNDS})
+        SELECT vec_id, code, error,
+               CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               h AS codebooks_sha256
+        FROM v JOIN coded USING (r), books"""
+
+
 ORACLES = {
     "op1_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -179,4 +242,23 @@ ORACLES = {
                CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (r)""",
+    "op11_hard_negatives": f"""
+        WITH e AS (
+            SELECT vec_id AS i, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+                   {_whole_sql(256)} AS q
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_SOUND}),
+        s AS (
+            SELECT a.i AS a, a.l AS al, b.i AS b, b.l AS bl, CAST(list_sum(list_transform(
+                       list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS s
+            FROM e a JOIN e b ON a.i % 100 = 0),
+        p AS (
+            SELECT a, al, b, s FROM s WHERE al = bl AND a <> b
+            QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+        SELECT p.a AS anchor_id, p.b AS positive_id,
+               CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS INT) AS "rank",
+               s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+        FROM p JOIN s ON p.a = s.a AND s.bl <> s.al
+                     AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s
+        QUALIFY "rank" <= 5""",
+    "op12_vector_codes": _codes_sql(),
 }
