@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,12 +31,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`stored` wrote and nothing reads any more."""
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = hadoop(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less the columns an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
 
 
+REST = "__rest"
+
+
+def apart(df: DataFrame, used: list[str]) -> DataFrame:
+    """The columns ``used``, and all others in one struct, where no name meets an operator's."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in used]
+    rest = F.struct(*others) if others else F.lit(True)
+    return df.select(*[F.col(f"`{c}`") for c in used], rest.alias(REST))
+
+
+def together(columns: list[str], used: list[str]) -> list[Column]:
+    """``columns`` of a table that went through :func:`apart`, by their names."""
+    return [F.col(f"`{c}`") if c in used else F.col(f"{REST}.`{c}`").alias(c) for c in columns]
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField],
                    compute: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
                    needs: list[str]) -> DataFrame:

@@ -61,17 +61,16 @@ def automaton(items: list[tuple[str, bytes]], window: int) -> ahocorasick.Automa
     return built
 
 
-_built: dict[tuple, ahocorasick.Automaton] = {}
+# The last block a Python worker met, its window and its automaton. The block is held, so no
+# other block can be taken for it.
+_built: list = [None, 0, None]
 
 
-def _cached(shared, window: int) -> ahocorasick.Automaton:
-    """The automaton of a broadcast block, built once in each Python worker."""
-    key = (shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value),
-           window)
-    if key not in _built:
-        _built.clear()
-        _built[key] = automaton(shared.value, window)
-    return _built[key]
+def _cached(block: list, window: int) -> ahocorasick.Automaton:
+    """The automaton of a block, built once in each Python worker."""
+    if _built[0] is not block or _built[1] != window:
+        _built[:] = block, window, automaton(block, window)
+    return _built[2]
 
 
 def _covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -133,7 +132,7 @@ def find_benchmark_text(docs: DataFrame, items: DataFrame, text_col: str = "text
 
     def scan_block(shared, last: bool):
         def compute():
-            built = _cached(shared, window) if shared else ahocorasick.Automaton()
+            built = _cached(shared.value, window) if shared else ahocorasick.Automaton()
 
             def work(batch: pa.RecordBatch) -> list[pa.Array]:
                 before = batch.column(1).to_pylist() if batch.num_columns > 1 else None

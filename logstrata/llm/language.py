@@ -23,7 +23,11 @@ _BITS = np.int64(21)
 
 
 def letter_words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """The runs of letters of a text; digits, numerals and marks are none."""
+    found = _WORD.findall(text.lower()) if text else []
+    if not found or "".join(found).isalpha():
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

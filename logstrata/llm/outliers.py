@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logstrata.llm.common import apart, together
 from logstrata.operators.skew import lookup_side
 from logstrata.session import cut_lineage
 
@@ -245,7 +246,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
              "base_failed", "kept"]
     taken = {n.lower() for n in names}
     given = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in taken])
-    stats = text_statistics(given, text_col)
+    used = [text_col, lang_col, source_col]
+    stats = text_statistics(apart(given, used), text_col)
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = cut_lineage(_features(stats).select("*", failed.alias("base_failed")))
@@ -264,7 +266,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     distance = F.when(~F.col("base_failed"), F.sqrt(_squared_distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= math.sqrt(limit))
     return judged.select("*", distance.alias("distance")).select(
-        *[f"`{c}`" for c in given.columns if c != text_col], *names[:6], "base_failed",
+        *together([c for c in given.columns if c != text_col], used), *names[:6], "base_failed",
         kept.alias("kept"))
 
 
@@ -277,6 +279,6 @@ def keep_sound(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                F.col(f"`{lang_col}`").alias("lang"),
                                F.col(f"`{source_col}`").alias("source")))
     gone = judged.where("not kept").select(F.col("__rid").alias("__gone")).distinct()
-    rows = docs.select("*", rid.alias("__rid"))
+    rows = docs.select(rid.alias("__rid"), F.struct("*").alias("__row"))
     return rows.join(lookup_side(gone), F.col("__rid") == F.col("__gone"), "left_anti") \
-        .select(*[f"`{c}`" for c in docs.columns])
+        .select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -14,8 +15,8 @@ from logstrata.llm.common import append_columns
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
-# Distinct words a Python worker remembers; when full, the memory starts anew.
-REMEMBERED = 1_000_000
+# Bytes, about, that a Python worker remembers words with; when full, the memory starts anew.
+REMEMBERED = 96 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -56,6 +57,7 @@ class MergeCodec:
             f"S*(?:{letter})+|S*(?:(?!{letter})[^S{alone}])+|S+" if odd
             else f"S+[^S{alone}]*|[^S{alone}]+").replace("S", SPACE))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.known_bytes = self.facts_bytes = 0
         self.facts: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
 
@@ -114,16 +116,19 @@ class MergeCodec:
     def learn(self, words: set[str]) -> None:
         """Encode words not met before and check them against the library, all at once."""
         known, fresh = self.known, sorted(words)
-        if len(known) > REMEMBERED // 4:
-            known.clear()
         for word in fresh:
             ids: list[int] = []
             for part in self.parts.findall(SPACE + word) if self.words_apart else [SPACE + word]:
                 got = known.get(part)
                 if got is None:
+                    if self.known_bytes > REMEMBERED // 2:
+                        known.clear()
+                        self.known_bytes = 0
                     got = known[part] = self.merge(part)
+                    self.known_bytes += 250 + len(part) + 40 * len(got)
                 ids += got
             self.facts[word] = (",".join(map(str, ids)), len(ids), self.spell(ids))
+            self.facts_bytes += _held(word)
         for word, ids in zip(fresh, self.library.encode(fresh, num_threads=1)):
             if word and ",".join(map(str, ids)) != self.facts[word][0]:
                 raise ValueError(f"not the library's ids for {word!r}: {self.facts[word][0]}")
@@ -137,11 +142,12 @@ class MergeCodec:
         """
         words = [self.words(t) for t in texts]
         missing = set().union(*words).difference(self.facts)
-        if len(self.facts) + len(missing) > REMEMBERED // 2:
-            self.old, self.facts = self.facts, {}
+        if self.facts_bytes + sum(map(_held, missing)) > REMEMBERED:
+            self.old, self.facts, self.facts_bytes = self.facts, {}, 0
             missing = set().union(*words)
         kept = {w: self.old[w] for w in missing.intersection(self.old)}
         self.facts.update(kept)
+        self.facts_bytes += sum(map(_held, kept))
         self.learn(missing.difference(kept))
         known = self.facts
         return [[known[w] for w in one] for one in words]
@@ -196,6 +202,11 @@ class MergeCodec:
         return text[1:] if first in self.plain and text[:1] == " " else text
 
 
+def _held(word: str) -> int:
+    """Bytes, about, that a word's facts take: the word, its ids in writing, its spelling."""
+    return 350 + 8 * len(word)
+
+
 def _characters(raw: bytearray) -> str:
     try:
         return raw.decode()
@@ -242,6 +253,32 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text",
     return append_columns(docs, [field], compute, [text_col])
 
 
+def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids",
+               count_col: str = "n_tokens", same_col: str = "decodes") -> DataFrame:
+    """``docs`` with the ids of each text, their number, and whether decoding gives the text.
+
+    Encoding, decoding and the comparison are one pass of one worker. Null and empty texts have
+    no ids and decode to an empty text; columns named like a result are replaced.
+    """
+    def compute():
+        c = codec(model_path)
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            counts, listed, same = [], [], []
+            for text, (n, ids, decoded) in zip(texts, c.digests(texts)):
+                counts.append(n)
+                listed.append(np.array(ids.split(","), np.int32) if n else np.zeros(0, np.int32))
+                same.append(decoded == text)
+            return [pa.array(listed, pa.list_(pa.int32())), pa.array(counts, pa.int64()),
+                    pa.array(same)]
+        return work
+
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType())),
+              T.StructField(count_col, T.LongType()), T.StructField(same_col, T.BooleanType())]
+    return append_columns(docs, fields, compute, [text_col])
+
+
 def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "ids",
                   text_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of each list of ids; null and empty lists give an empty text."""

@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logstrata.llm.common import (GOLDEN, byte_texts, coded_words, mixed, rolling, signed, sliced,
-                                  word_hashes)
+from logstrata.llm.common import (GOLDEN, byte_texts, coded_words, discard, mixed, rolling, signed,
+                                  sliced, stored, word_hashes)
 from logstrata.operators.skew import lookup_side
-from logstrata.session import cut_lineage, scratch_path
+from logstrata.session import scratch_path
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -147,7 +147,7 @@ def weighted_shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in enough slots."""
+    """Pairs (a, b, agree) whose signatures agree in enough slots, and in how many."""
     one = nodes.select(F.col("node").alias("__a"), F.col("slots").alias("one"))
     two = nodes.select(F.col("node").alias("__b"), F.col("slots").alias("two"))
     both = pairs.join(one, F.col("a") == F.col("__a")).drop("__a")
@@ -158,9 +158,12 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if batch.num_rows:
                 one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8)
                             .reshape(-1, SLOTS) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((one == two).sum(1) >= AGREE))
+                same = (one == two).sum(1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(same, pa.int64())],
+                    ["a", "b", "agree"]).filter(pa.array(same >= AGREE))
 
-    return both.mapInArrow(agree, "a long, b long")
+    return both.mapInArrow(agree, "a long, b long, agree long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -205,15 +208,48 @@ def components(links: DataFrame) -> DataFrame:
             .where("u <> v").distinct()
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = cut_lineage(edges), None
+    edges, before = stored(edges, "edges"), None
     while True:
-        edges = cut_lineage(stars(stars(edges, True), False))
+        old, edges = edges, stored(stars(stars(edges, True), False), "edges")
+        discard(old)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return edges.toDF("node", "root")
         before = state
 
 
+def _linked(alike: DataFrame, texts: DataFrame, stars: DataFrame | None, similarity: float) -> DataFrame:
+    """The components after the pairs that are alike by signature and by text.
+
+    Of the pairs of each node that with most agreement is verified first. Most nodes of a family
+    of copies are linked by it; the others of their pairs then lie in one component and need no
+    texts any more.
+    """
+    pairs = stored(alike, "alike")
+    best = pairs.groupBy("a").agg(F.max(F.struct("agree", "b"))["b"].alias("b"))
+    stars = _with_links(stored(_verified(best, texts, similarity), "links"), stars)
+    root_of = {end: stars.select(F.col("node").alias(f"__{end}"), F.col("root").alias(f"__root_{end}"))
+               for end in ("a", "b")}
+    rest = pairs.join(lookup_side(best.toDF("__x", "__y")),
+                      (F.col("a") == F.col("__x")) & (F.col("b") == F.col("__y")), "left_anti")
+    for end, roots in root_of.items():
+        rest = rest.join(lookup_side(roots), F.col(end) == F.col(f"__{end}"), "left")
+    apart = F.coalesce("__root_a", "a") != F.coalesce("__root_b", "b")
+    links = stored(_verified(rest.where(apart).select("a", "b"), texts, similarity), "links")
+    discard(pairs)
+    return _with_links(links, stars)
+
+
+def _with_links(links: DataFrame, stars: DataFrame | None) -> DataFrame:
+    if stars is not None and links.isEmpty():
+        return stars
+    found = components(links if stars is None else links.union(stars.toDF("a", "b")))
+    discard(links)
+    if stars is not None:
+        discard(stars)
+    return found
+
+
 # ---------------------------------------------------------------- the operator
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -249,16 +285,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     given = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"),
                         F.xxhash64(F.col(f"`{id_col}`"), text).alias("rid"))
-    signed_docs = cut_lineage(_signatures(given))
-    nodes = cut_lineage(signed_docs.groupBy("f1", "f2").agg(
+    signed_docs = stored(_signatures(given), "signatures")
+    nodes = stored(signed_docs.groupBy("f1", "f2").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("one"),
         F.first("bands").alias("bands"), F.first("slots").alias("slots")).select(
-            F.monotonically_increasing_id().alias("node"), "f1", "f2", "one", "bands", "slots"))
+            F.monotonically_increasing_id().alias("node"), "f1", "f2", "one", "bands", "slots"), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("key"))
     sizes = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1") \
         .withColumnRenamed("key", "__key")
-    members = cut_lineage(spread.join(lookup_side(sizes), F.col("key") == F.col("__key"))
-                          .select("key", "node", "n"))
+    members = stored(spread.join(lookup_side(sizes), F.col("key") == F.col("__key"))
+                     .select("key", "node", "n"), "members")
     table = _text_table(given, nodes, members)
     texts = spark.table(table)
 
@@ -269,15 +305,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         .withColumnRenamed("key", "__key")
     pairs = members.join(lookup_side(hubs), F.col("key") == F.col("__key")).select(
         F.col("node").alias("a"), F.col("hub").alias("b"))
-    links = cut_lineage(_verified(_alike(_pairs(pairs), nodes), texts, similarity))
-    stars, left = components(links), members
+    stars, left = _linked(_alike(_pairs(pairs), nodes), texts, None, similarity), members
     for turn in range(1, TRIALS + 2):
-        left = _mixed(left, stars)
+        before, left = left, _mixed(left, stars)
+        discard(before)
         near = nodes.join(left.select(F.col("node").alias("__n")).distinct(),
                           F.col("node") == F.col("__n")).select("node", "slots")
         pairs = _rest(left, turn) if turn <= TRIALS else _rare_pairs(left, texts, similarity)
-        found = cut_lineage(_verified(_alike(pairs, near), texts, similarity))
-        stars = components(found.union(stars.toDF("a", "b")))
+        stars = _linked(_alike(pairs, near), texts, stars, similarity)
+    discard(left)
+    discard(texts)
     spark.sql(f"DROP TABLE {table}")
 
     roots = nodes.select("node", "f1", "f2", "one").join(
@@ -287,9 +324,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     whole = roots.join(copies, ["f1", "f2"])
     named = whole.groupBy("root").agg(F.min("one").alias("least"), F.sum("n").alias("n_class")) \
         .withColumnRenamed("root", "__root")
-    classes = cut_lineage(whole.join(lookup_side(named), F.col("root") == F.col("__root"))
-                          .select(F.col("f1").alias("__f1"), F.col("f2").alias("__f2"),
-                                  "least", "n_class"))
+    classes = stored(whole.join(lookup_side(named), F.col("root") == F.col("__root"))
+                     .select(F.col("f1").alias("__f1"), F.col("f2").alias("__f2"),
+                             "least", "n_class"), "classes")
     told = signed_docs.join(lookup_side(classes), (F.col("f1") == F.col("__f1"))
                             & (F.col("f2") == F.col("__f2"))).select(
         "id", "rid", F.col("least.id").alias("class_id"), "n_class",
@@ -321,7 +358,7 @@ def _mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
         "key", "node", F.coalesce("__root", "node").alias("root"))
     several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
         .where("lo < hi").select(F.col("key").alias("__key"))
-    return cut_lineage(rows.join(lookup_side(several), F.col("key") == F.col("__key")).drop("__key"))
+    return stored(rows.join(lookup_side(several), F.col("key") == F.col("__key")).drop("__key"), "mixed")
 
 
 def _rest(rows: DataFrame, turn: int) -> DataFrame:
@@ -366,8 +403,7 @@ def _rare_pairs(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFra
 
     asked = rows.select(F.col("node").alias("__n"), "root").distinct()
     wanted = texts.join(lookup_side(asked.select("__n")), F.col("node") == F.col("__n"))
-    spelled = cut_lineage(wanted.select("node", "text")
-                          .mapInArrow(spell, "node long, shingle long, part double"))
+    spelled = wanted.select("node", "text").mapInArrow(spell, "node long, shingle long, part double")
     common = spelled.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1") \
         .withColumnRenamed("shingle", "__shingle")
     shared = spelled.join(lookup_side(common), F.col("shingle") == F.col("__shingle"))
@@ -377,15 +413,16 @@ def _rare_pairs(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     before = 1 - F.sum("part").over(node) + F.coalesce(F.sum("part").over(order), F.lit(0.0))
     early = shared.select("node", "shingle", before.alias("before")) \
         .where(F.col("before") < 1 - 1 / (most - 1))
-    early = cut_lineage(early.join(lookup_side(asked), F.col("node") == F.col("__n"))
-                        .select("shingle", "node", "root", (1 / (1 - F.col("before"))).alias("cost")))
+    early = stored(early.join(lookup_side(asked), F.col("node") == F.col("__n"))
+                   .select("shingle", "node", "root", (1 / (1 - F.col("before"))).alias("cost")), "early")
     # Places where the cheapest other one is not enough are dropped before any pair is made.
     least = early.groupBy("shingle").agg(
         F.min("cost").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")) \
         .where("lo < hi").withColumnRenamed("shingle", "__shingle")
-    kept = cut_lineage(early.join(lookup_side(least), F.col("shingle") == F.col("__shingle"))
-                       .where(F.col("cost") + F.col("least") <= most)
-                       .select("shingle", "node", "root", "cost"))
+    kept = stored(early.join(lookup_side(least), F.col("shingle") == F.col("__shingle"))
+                  .where(F.col("cost") + F.col("least") <= most)
+                  .select("shingle", "node", "root", "cost"), "rare")
+    discard(early)
     # Of two one is at or below the mean.
     low = kept.where(F.col("cost") <= most / 2).toDF("__shingle", "__node", "__root", "__cost")
     met = kept.join(lookup_side(low), (F.col("shingle") == F.col("__shingle"))

@@ -142,24 +142,23 @@ def _segments(rows: DataFrame, text_col: str, window: int) -> DataFrame:
 _LISTED = "struct<key:long,content:long,low:long,hot:boolean>"
 
 
-def _texts_of(needed: DataFrame, keyed: DataFrame, names: list[str], text_col: str,
-              window: int) -> DataFrame:
+def _texts_of(needed: DataFrame, keyed: DataFrame, text_col: str, window: int) -> DataFrame:
     """The words of segments of groups to be split by a subtree, and of the suffixes of others.
 
     Of an ordinary group come (key, content, words); of a hot one a row for each suffix with a
     hash of its whole window in place of the words.
     """
-    lists = needed.groupBy("rid", "size").agg(F.collect_list(
-        F.struct("key", "content", "low", "hot")).alias("__asked"))
-    joined = keyed.join(lookup_side(lists), (F.col("__rid") == F.col("rid"))
-                        & (F.col("__size") == F.col("size")))
-    at = names.index(text_col)
+    lists = needed.groupBy(F.col("rid").alias("__r"), F.col("size").alias("__s")).agg(
+        F.collect_list(F.struct("key", "content", "low", "hot")).alias("__asked"))
+    texts = keyed.select(F.col(f"`{text_col}`").alias("__text"), "__rid", "__size")
+    joined = texts.join(lookup_side(lists), (F.col("__rid") == F.col("__r"))
+                        & (F.col("__size") == F.col("__s")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in sliced(whole, at)):
-            asked = batch.column(batch.num_columns - 1)
+        for batch in (part for whole in batches for part in sliced(whole, 0)):
+            asked = batch.column(1)
             rows = []
-            for i, text in enumerate(byte_texts(batch.column(at))):
+            for i, text in enumerate(byte_texts(batch.column(0))):
                 words = text.split()
                 for a in asked[i].as_py():
                     count, _ = shape_of(a["content"])
@@ -177,11 +176,10 @@ def _texts_of(needed: DataFrame, keyed: DataFrame, names: list[str], text_col: s
                  pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int32()),
                  pa.array(columns[4], pa.int64())], ["key", "content", "words", "k", "prefix"])
 
-    chosen = joined.select(*[f"`{n}`" for n in names], "__rid", "__size", "__asked")
-    return chosen.mapInArrow(cut, "key long, content long, words binary, k int, prefix long")
+    return joined.select("__text", "__asked").mapInArrow(cut, "key long, content long, words binary, k int, prefix long")
 
 
-def _marked(segments: DataFrame, keyed: DataFrame, names: list[str], text_col: str, window: int,
+def _marked(segments: DataFrame, keyed: DataFrame, text_col: str, window: int,
             group: int) -> DataFrame:
     """(key, content, bits): which suffixes of a segment start a repeated window."""
     kinds = segments.groupBy("key", "content").agg(
@@ -216,11 +214,11 @@ def _marked(segments: DataFrame, keyed: DataFrame, names: list[str], text_col: s
             ["key", "content", "bits"])
 
     # Whole groups meet in a partition, in order; a task holds a few thousand segments at a time.
-    texts = _texts_of(split.where("not hot"), keyed, names, text_col, window)
+    texts = _texts_of(split.where("not hot"), keyed, text_col, window)
     plain = texts.select("key", "content", "words").repartition("key") \
         .sortWithinPartitions("key").mapInArrow(subtrees, "key long, content long, bits long")
     # The longest prefix: suffixes of a hot group, each with the others that share its window.
-    deep = _texts_of(split.where("hot"), keyed, names, text_col, window)
+    deep = _texts_of(split.where("hot"), keyed, text_col, window)
     twice = deep.groupBy("key", "prefix").agg(F.count("*").alias("n")).where("n > 1") \
         .select(F.col("key").alias("__key"), F.col("prefix").alias("__prefix"))
     hot = deep.join(lookup_side(twice), (F.col("key") == F.col("__key"))
@@ -241,28 +239,32 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one text; it counts if its words also start at any other place, of the same text or another,
     equal texts and repeated rows included. ``repeats`` is a list of (first word, end), in order
     and apart; empty where nothing repeats, and for null, empty and short texts. Rows are known
-    by ``id_col`` (null allowed, ties too) and text. A column named ``repeats`` is replaced.
+    by ``id_col`` (null allowed, ties too) and text. A column named ``repeats`` is replaced;
+    other names may be any. An empty table gives no rows.
 
     Texts are read twice to hash them, and moved once. Prefixes are counted before the shuffle;
     only segments whose prefix occurs twice are moved further. Groups of more than ``group``
     different segments are split by the longest prefix, so no task holds a hot group.
     """
-    rows = _keyed(without(docs, ["repeats", "__rid", "__size"]), id_col, text_col)
+    if not GRAM < window < 39:
+        raise ValueError("a window has 9 to 38 words")
+    rows = _keyed(without(docs, ["repeats", "__rid", "__size", "__r", "__s", "__found"]), id_col,
+                  text_col)
     names = [c for c in rows.columns if c not in ("__rid", "__size")]
     segments = _segments(rows, text_col, window)
     common = segments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1") \
         .select(F.col("key").alias("__key"))
     again = cut_lineage(segments.join(lookup_side(common), F.col("key") == F.col("__key"))
                         .drop("__key"))
-    marked = _marked(again, rows, names, text_col, window, group) \
+    marked = _marked(again, rows, text_col, window, group) \
         .withColumnsRenamed({"key": "__key", "content": "__content"})
     found = again.join(lookup_side(marked), (F.col("key") == F.col("__key"))
                        & (F.col("content") == F.col("__content")))
-    lists = found.groupBy("rid", F.shiftright("place", 32).alias("size")).agg(
+    lists = found.groupBy(F.col("rid").alias("__r"), F.shiftright("place", 32).alias("__s")).agg(
         F.collect_set(F.struct(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"),
                                "bits")).alias("__found"))
-    joined = rows.join(lookup_side(lists), (F.col("__rid") == F.col("rid"))
-                       & (F.col("__size") == F.col("size")), "left")
+    joined = rows.join(lookup_side(lists), (F.col("__rid") == F.col("__r"))
+                       & (F.col("__size") == F.col("__s")), "left")
     spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()),
                                       T.StructField("end", T.LongType())]))
     schema = T.StructType([*[rows.schema[n] for n in names], T.StructField("repeats", spans)])
