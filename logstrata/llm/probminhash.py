@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes but the roots, the least node of each component.
 
-    Large-star and small-star steps in turn until nothing changes; each step sends every edge to
+    Large-star and small-star steps in turn until only stars are left; each step sends every edge to
     one join whose other side has one row for each node, so a hub's edges may be split.
     """
     def stars(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -208,35 +208,43 @@ def components(links: DataFrame) -> DataFrame:
             .where("u <> v").distinct()
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = stored(edges, "edges"), None
-    while True:
+    edges = stored(edges, "edges")
+    while not _all_stars(edges):
         old, edges = edges, stored(stars(stars(edges, True), False), "edges")
         discard(old)
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            return edges.toDF("node", "root")
-        before = state
+    return edges.toDF("node", "root")
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Every node below an edge has that edge only, so its root is the least of its component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    met = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return met.where("down > 1 or down = 1 and up = 1").isEmpty()
 
 
 def _linked(alike: DataFrame, texts: DataFrame, stars: DataFrame | None, similarity: float) -> DataFrame:
     """The components after the pairs that are alike by signature and by text.
 
-    Of the pairs of each node that with most agreement is verified first. Most nodes of a family
-    of copies are linked by it; the others of their pairs then lie in one component and need no
-    texts any more.
+    Of the pairs of each node that with the hub of most pairs is verified first. It links most
+    nodes of a family of copies, and most of the family's hubs, to one hub; a pair of two nodes
+    that both have that link joins nothing any more and needs no texts.
     """
     pairs = stored(alike, "alike")
-    best = pairs.groupBy("a").agg(F.max(F.struct("agree", "b"))["b"].alias("b"))
-    stars = _with_links(stored(_verified(best, texts, similarity), "links"), stars)
-    root_of = {end: stars.select(F.col("node").alias(f"__{end}"), F.col("root").alias(f"__root_{end}"))
-               for end in ("a", "b")}
-    rest = pairs.join(lookup_side(best.toDF("__x", "__y")),
-                      (F.col("a") == F.col("__x")) & (F.col("b") == F.col("__y")), "left_anti")
-    for end, roots in root_of.items():
-        rest = rest.join(lookup_side(roots), F.col(end) == F.col(f"__{end}"), "left")
-    apart = F.coalesce("__root_a", "a") != F.coalesce("__root_b", "b")
-    links = stored(_verified(rest.where(apart).select("a", "b"), texts, similarity), "links")
-    discard(pairs)
+    liked = pairs.groupBy("b").agg(F.count("*").alias("n")).toDF("__b", "n")
+    best = pairs.join(lookup_side(liked), F.col("b") == F.col("__b")) \
+        .groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
+    best = stored(best, "best")
+    first = stored(_verified(best, texts, similarity), "links")
+    rest = pairs.join(lookup_side(best.toDF("__x", "__y")), F.col("a") == F.col("__x")) \
+        .where("b <> __y").select("a", "b")
+    for end in ("a", "b"):
+        hub = first.select(F.col("a").alias(f"__{end}"), F.col("b").alias(f"__hub_{end}"))
+        rest = rest.join(lookup_side(hub), F.col(end) == F.col(f"__{end}"), "left")
+    joined = F.coalesce("__hub_a", "a") == F.coalesce("__hub_b", "b")
+    links = stored(_verified(rest.where(~joined).select("a", "b"), texts, similarity).union(first), "links")
+    for done in (pairs, best, first):
+        discard(done)
     return _with_links(links, stars)
 
 
@@ -309,6 +317,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     for turn in range(1, TRIALS + 2):
         before, left = left, _mixed(left, stars)
         discard(before)
+        if left.isEmpty():
+            break
         near = nodes.join(left.select(F.col("node").alias("__n")).distinct(),
                           F.col("node") == F.col("__n")).select("node", "slots")
         pairs = _rest(left, turn) if turn <= TRIALS else _rare_pairs(left, texts, similarity)
