@@ -55,16 +55,16 @@ CONFIG = """
            case when n_regionkey = 0 then 'ui' else 'bug' end bug_label from nation"""
 
 
-def _config(t, tracker=True, unlabelled=True):
+def _config(t, tracker=True, unlabelled=True, base="issues", folder=""):
     """Write the configuration as JSON lines, shared settings first, and read it."""
     path = scratch_path(t.spark, "config")
     shared = t.sql(f"""select 0 place, to_json(named_struct(
-        'language_label', 'java', 'repo_base_address', 'repos', 'issue_base_address', 'issues',
+        'language_label', 'java', 'repo_base_address', 'repos', 'issue_base_address', '{base}',
         'output_folder', 'out', 'retrieve_other_commit_id_from_issue_tracker', {tracker},
         'consider_issues_without_labels_as_other', {unlabelled}, 'log_flag', false)) value
         from (select count(*) from region)""")
     repos = t.sql(f"""select 1 place, to_json(named_struct('repo_name', repo,
-        'issue_file_name', issue_file_name, 'bug_label', bug_label)) value from ({CONFIG})""")
+        'issue_file_name', concat('{folder}', issue_file_name), 'bug_label', bug_label)) value from ({CONFIG})""")
     lines = shared.unionByName(repos).orderBy("place").select("value")
     lines.write.text(path)
     return readers.read_batch_config(t.spark, path)
@@ -80,10 +80,9 @@ def batch_config(t):
     return _config(t)
 
 
-def _run(t, **settings):
+def _issues(t):
     text = _REPO.format(text="string")
-    commits = t.sql(f"select * from ({text})").drop("first_sha")
-    issues = t.sql(f"""
+    return t.sql(f"""
         select repo, issue_number, issue_labels,
                collect_set(case link_kind when 'closed' then commit_sha end)
                issue_closed_commit_id,
@@ -94,12 +93,17 @@ def _run(t, **settings):
               from fx_issue_links l join ({text}) r on l.commit_sha = r.commit_sha)
         join fx_issues using (issue_number)
         group by repo, issue_number, issue_labels""")
+
+
+def _run(t, issues=_issues, **settings):
+    text = _REPO.format(text="string")
+    commits = t.sql(f"select * from ({text})").drop("first_sha")
     lines = t.sql(f"""select r.repo, r.first_sha, d.commit_sha, d.path, d.op, d.line_no, d.value
                       from fx_diff_lines d join ({text}) r on d.commit_sha = r.commit_sha""")
     blame = lines.filter("op = '-'").select(
         "repo", "commit_sha", "path", "line_no", F.col("first_sha").alias("blame_commit_sha"),
         F.col("value").alias("content"))
-    return batch.run_batch(_config(t, **settings), commits, issues, blame,
+    return batch.run_batch(_config(t, **settings), commits, issues and issues(t), blame,
                            lines=lines.drop("first_sha"))
 
 
@@ -167,3 +171,53 @@ def batch_written(t):
     batch.write_batch(fix, behavior, path)
     rows = readers.read_facts(t.spark, f"{path}/user_behavior")
     return rows.groupBy("repo", "cohort").agg(F.count("*").alias("n"))
+
+
+def _issue_files(t, issues, extra=None):
+    """One export for each repository, a header line first; ``extra`` are further lines."""
+    path = scratch_path(t.spark, "issue-files")
+    fields = [c for c in issues.columns if c != "repo"]
+    named = F.concat(F.lower("repo"), F.lit(".json")).alias("file")
+    lines = issues.withColumn("issue_number", F.col("issue_number").cast("string")).select(
+        named, F.to_json(F.struct(*fields)).alias("header line"))
+    if extra is not None:
+        lines = lines.unionByName(extra.select(named, F.col("value").alias("header line")))
+    (lines.write.option("header", True).option("sep", "\x01").option("quote", "\x00")
+     .option("escapeQuotes", False).partitionBy("file").csv(path))
+    return path
+
+
+@query("batch_deleted_lines_from_files", _DELETED, **NAMED)
+def batch_deleted_lines_from_files(t):
+    """The batch starts from the configuration, which names the issue files."""
+    return _run(t, issues=None, base=_issue_files(t, _issues(t)), folder="file=")[0]
+
+
+@query("issue_files_rejects", """
+       select n_name repo, 'issue_file_missing' reason, 1 n from nation where n_regionkey = 4
+       union all select r.repo, 'malformed_record', count(distinct r.issue_number)
+       from repo_links r join fx_issues using (issue_number)
+       join nation on r.repo = n_name where issue_number % 50 = 0 and n_regionkey <> 4 group by 1""",
+       **NAMED)
+def issue_files_rejects(t):
+    """Exports with lines that were cut; those of one region are absent."""
+    here = t.sql("select n_name repo from nation where n_regionkey <> 4")
+    issues = _issues(t).join(here, "repo")
+    fields = [c for c in issues.columns if c != "repo"]
+    cut = issues.where("issue_number % 50 = 0").select(
+        "repo", F.substr(F.to_json(F.struct(*fields)), F.lit(1), F.lit(20)).alias("value"))
+    base = _issue_files(t, issues, cut)
+    rejects = readers.read_issue_files(t.spark, _config(t, base=base, folder="file=")).rejects
+    return rejects.groupBy("repo", "reason").agg(F.count("*").alias("n"))
+
+
+@query("batch_rerun", _BEHAVIOR.replace("other and not is_fix", """
+       (case when repo like 'I%' then other_labelled else other end) and not is_fix"""), **NAMED)
+def batch_rerun(t):
+    """Some repositories are run again by another rule; the folders of the others stay."""
+    path = scratch_path(t.spark, "batch")
+    fix, behavior = _run(t)
+    batch.write_batch(fix, behavior, path, "parquet")
+    again = [facts.where("repo like 'I%'") for facts in _run(t, unlabelled=False)]
+    batch.write_batch(*again, path, "parquet")
+    return readers.read_facts(t.spark, f"{path}/user_behavior", "parquet")

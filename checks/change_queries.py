@@ -218,17 +218,35 @@ def blame_details(t):
 
 
 @query("history_rejects", """
-       select commit_sha, 'no_parent' reason, stage
+       select commit_sha, null::varchar issue_number, 'no_parent' reason, stage
        from fx_commits, (values ('User behavior'), ('Blame')) stages(stage)
        where n_parents = 0
-       union all select commit_sha, 'empty_diff', stage
+       union all select commit_sha, null, 'empty_diff', stage
        from fx_commits, (values ('User behavior'), ('Blame')) stages(stage)
        where n_parents > 0 and commit_sha not in (select commit_sha from fx_diff_lines)
-       union all select distinct d.commit_sha, 'blame_line_missing', 'Blame'
+       union all select distinct d.commit_sha, null, 'blame_line_missing', 'Blame'
        from joined d join fx_commits using (commit_sha)
        where blame_commit_sha is null and n_parents > 0
-       union all select distinct commit_sha, 'unresolved_commit', 'Cohort' from issue_ids
-       where commit_sha not in (select commit_sha from fx_commits)""",
+       union all select distinct commit_sha, null, 'unresolved_commit', 'Cohort' from issue_ids
+       where commit_sha not in (select commit_sha from fx_commits)
+       union all select null, cast(issue_number as varchar), 'similar_list_over_limit', 'Cohort'
+       from fx_issues join fx_issue_links using (issue_number) where link_kind = 'similar'
+       group by issue_number having count(*) > 10""",
        issue_ids=ALL_IDS["issue_ids"], joined=JOINED)
 def history_rejects(t):
     return history(t, diffs=t("sp_diffs"), blame_lines=t("fx_blame_lines")).rejects()
+
+
+@query("stage_outcomes", """
+       select commit_sha, stage, case when n_parents = 0 then 'no_parent'
+              when n_lines is null then 'empty_diff' when stage = 'User behavior' then 'facts'
+              when n_lost > 0 then 'blame_line_missing' when n_removed > 0 then 'facts'
+              else 'nothing' end outcome
+       from fx_commits left join (
+           select commit_sha, count(*) n_lines from fx_diff_lines group by 1) using (commit_sha)
+       left join (select commit_sha, count(*) n_removed,
+                         count(*) filter (where blame_commit_sha is null) n_lost
+                  from joined group by 1) using (commit_sha),
+       (values ('User behavior'), ('Blame')) stages(stage)""", joined=JOINED)
+def stage_outcomes(t):
+    return history(t, diffs=t("sp_diffs"), blame_lines=t("fx_blame_lines")).outcomes()

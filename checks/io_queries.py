@@ -144,3 +144,75 @@ def matrix_folders(t):
     one, two = (readers.read_facts(t.spark, folder).withColumn("variant", F.lit(variant))
                 for folder, variant in zip(folders, variants))
     return one.unionByName(two)
+
+
+_REPO = "'r' || cast(commit_seq % 7 as {text})"
+
+
+def _layout(t, table, lines):
+    """JSON records in a folder for each repository, and further lines among them."""
+    path = scratch_path(t.spark, "layout")
+    table.write.partitionBy("repo").json(path)
+    lines.write.mode("append").partitionBy("repo").text(path)
+    return path
+
+
+def _commit_scan(t):
+    commits = t.sql(f"""select {_REPO.format(text='string')} repo, commit_sha,
+        array(md5(commit_sha)) parent_shas, author_name, author_email, authored_epoch,
+        author_tz_offset, message, commit_seq from fx_commits""")
+    fields = [F.col(c) for c in commits.columns if c != "repo"]
+    whole = F.to_json(F.struct(*fields))
+    keyless = F.to_json(F.struct(*[f for f in fields if "commit_sha" not in str(f)]))
+    other = F.to_json(F.struct("commit_sha", F.lit("soon").alias("authored_epoch")))
+    kind = F.col("commit_seq") % 20
+    bad = commits.where(kind < 3).select("repo", F.when(kind == 0, F.substr(whole, F.lit(1), F.lit(30)))
+                                         .when(kind == 1, keyless).otherwise(other).alias("value"))
+    return readers.read_commits(t.spark, _layout(t, commits, bad))
+
+
+@query("commits_scan", f"""select {_REPO.format(text='varchar')} repo, commit_sha,
+       md5(commit_sha) parent_sha, author_name, author_email, authored_epoch, author_tz_offset,
+       message, commit_seq from fx_commits""")
+def commits_scan(t):
+    rows = _commit_scan(t).rows
+    return rows.withColumn("parent_sha", F.get("parent_shas", F.lit(0))).drop("parent_shas")
+
+
+@query("commits_scan_rejects", f"""select {_REPO.format(text='varchar')} repo,
+       case when commit_seq % 20 = 1 then 'missing_key' else 'malformed_record' end reason,
+       count(*) n from fx_commits where commit_seq % 20 < 3 group by all""")
+def commits_scan_rejects(t):
+    return _commit_scan(t).rejects.groupBy("repo", "reason").agg(F.count("*").alias("n"))
+
+
+def _cut(table, name):
+    """A line for every hundredth record that ends before it should."""
+    fields = [c for c in table.columns if c != "repo"]
+    return table.where(F.pmod(F.crc32(F.encode(name, "UTF-8")), F.lit(100)) == 0).select(
+        "repo", F.substr(F.to_json(F.struct(*fields)), F.lit(1), F.lit(25)).alias("value"))
+
+
+@query("diffs_scan", """select 'r' || cast(commit_seq % 7 as varchar) repo, commit_sha, n_parents,
+       n_lines from fx_commits join (
+           select commit_sha, count(*) n_lines from fx_diff_lines group by 1) using (commit_sha)""")
+def diffs_scan(t):
+    """Diffs read back from their folders among broken lines; each hunk has one line here."""
+    diffs = t.sql(f"""select {_REPO.format(text='string')} repo, d.* from sp_diffs d
+        join (select commit_sha, commit_seq from fx_commits) c using (commit_sha)""")
+    scan = readers.read_diffs(t.spark, _layout(t, diffs, _cut(diffs, "commit_sha")))
+    n_lines = F.regexp_count("diff_text", F.lit("(?m)^@@ ")).cast("long")
+    return scan.rows.select("repo", "commit_sha", "n_parents", n_lines.alias("n_lines")).where("n_lines > 0")
+
+
+@query("blobs_scan", f"select {_REPO.format(text='varchar')} repo, commit_sha sha, path, text from fx_files")
+def blobs_scan(t):
+    blobs = t.sql(f"select {_REPO.format(text='string')} repo, commit_sha sha, path, text from fx_files")
+    return readers.read_blobs(t.spark, _layout(t, blobs, _cut(blobs, "path"))).rows
+
+
+@query("blame_scan", """select 'r' || substr(commit_sha, 1, 1) repo, commit_sha, path, line_no,
+       blame_commit_sha, content from fx_blame_lines""")
+def blame_scan(t):
+    blame = t("fx_blame_lines").select(F.concat(F.lit("r"), F.substring("commit_sha", 1, 1)).alias("repo"), "*")
+    return readers.read_blame(t.spark, _layout(t, blame, _cut(blame, "content"))).rows

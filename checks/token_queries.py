@@ -107,6 +107,16 @@ def tokens_of_lines(t):
     return tokens.line_tokens(files).drop("token_position")
 
 
+@query("tokens_of_lines_joined", """select path, lexer_name, line_no code_line_number,
+       case when line_no < n_lines then line || chr(10) else line end line_content,
+       number_of_tokens, token_content, token_type from typed""", **NAMED)
+def tokens_of_lines_joined(t):
+    """The same by a join of a table of tokens with a table of lines."""
+    found = tokens.tokenize(_blobs(t))
+    lines = tokens.text_lines(_blobs(t))
+    return tokens.join_line_tokens(found, lines, ["sha", "path"]).drop("sha")
+
+
 CONTENT = """
     select commit_sha hex_hash, lexer_name, line_no code_line_number, path file_name,
            token_content, token_type,

@@ -116,7 +116,7 @@ def _parsed(diffs: DataFrame) -> DataFrame:
     patches = F.transform(F.transform(parts, _file), _patch)
     # Binary and mode-only patches name no file.
     patches = F.filter(patches, lambda p: p["source_file"] != "")
-    return diffs.select(*keys(diffs, "commit_sha"), patches.alias("patches"))
+    return diffs.select(*keys(diffs, "commit_sha"), "_missing", patches.alias("patches"))
 
 
 def _retyped(patches: Column) -> Column:
@@ -128,17 +128,21 @@ def _retyped(patches: Column) -> Column:
     return F.array_intersect(paths("target_file"), paths("source_file"))
 
 
-def parse_unified_diff(diffs: DataFrame) -> DataFrame:
-    """One row per commit and changed file, with the added and removed lines as lists.
+def tagged_diffs(diffs: DataFrame) -> DataFrame:
+    """Every commit of ``diffs`` once, parsed once: its files, or the reason why it has none.
 
-    Columns: source_file, target_file, path, file_no, added, removed (lists of line_no and
-    value), adds, deletes (all lines), added_lines, deleted_lines (those not blank), and the
-    commit's totals commit_adds, commit_deletes, commit_added_lines, commit_deleted_lines.
-    Commits without parent, without diff or with a broken hunk are left to
-    :func:`diff_rejects`.
+    ``reason`` is NULL where there are files to count, else no_parent, empty_diff (no text, or
+    nothing but renames, copies, submodules and changed file types), no_file (nothing but
+    binary files and modes) or broken_hunk.
     """
     patches = F.col("patches")
-    parsed = _parsed(diffs.filter(has_diff())).withColumn("retyped", _retyped(patches))
+    missing = F.when(F.col("n_parents") <= 0, "no_parent").when(
+        F.coalesce("diff_text", F.lit("")) == "", "empty_diff")
+    state = diffs.select(*keys(diffs, "commit_sha"), missing.alias("_missing"), "n_parents", "diff_text")
+    # A diff that is not to be read is parsed as an empty one.
+    parsed = _parsed(state.withColumn("diff_text", F.when(has_diff(), F.col("diff_text"))
+                                      .otherwise("")))
+    parsed = parsed.withColumn("retyped", _retyped(patches))
     countable = F.filter(
         patches, lambda p: ~p["excluded"] & ~F.array_contains(F.col("retyped"), p["path"]))
     counted = F.transform(countable, lambda p: F.struct(
@@ -151,8 +155,16 @@ def parse_unified_diff(diffs: DataFrame) -> DataFrame:
         F.size(F.filter(p["removed"], lambda l: not_blank(l["value"]))).cast("long")
         .alias("deleted_lines")))
     sound = F.forall(patches, lambda p: p["sound"])
-    key = keys(diffs, "commit_sha")
-    files = parsed.select(*key, F.when(sound, counted).alias("files"))
+    files = parsed.select(*keys(diffs, "commit_sha"), "_missing", F.when(sound, counted).alias("files"),
+                          (F.size(patches) > 0).alias("_named"))
+    reason = F.coalesce("_missing", F.when(F.col("files").isNull(), "broken_hunk").when(
+        ~F.col("_named"), "no_file").when(F.size("files") == 0, "empty_diff"))
+    return files.select(*keys(diffs, "commit_sha"), reason.alias("reason"), "files")
+
+
+def patches_of(tagged: DataFrame) -> DataFrame:
+    """The rows of :func:`parse_unified_diff` of parsed commits."""
+    key = keys(tagged, "commit_sha")
 
     def total(name: str) -> Column:
         return F.aggregate("files", F.lit(0).cast("long"), lambda acc, f: acc + f[name])
@@ -160,11 +172,29 @@ def parse_unified_diff(diffs: DataFrame) -> DataFrame:
     names = ["adds", "deletes", "added_lines", "deleted_lines"]
     totals = [total(name).alias(f"commit_{name}") for name in names]
     # The outer form keeps the optimizer from testing the list, that is from parsing twice.
-    rows = files.select(*key, *totals, F.posexplode_outer("files").alias("file_no", "file"))
+    rows = tagged.select(*key, *totals, F.posexplode_outer("files").alias("file_no", "file"))
     return (rows.filter(F.col("file").isNotNull())
             .select(*key, "file_no", "file.*", *[f"commit_{name}" for name in names]))
 
 
+def rejects_of(tagged: DataFrame, stage: str) -> DataFrame:
+    """Parsed commits without facts, with the reason."""
+    return tagged.filter(F.col("reason").isNotNull()).select(
+        *keys(tagged, "commit_sha"), "reason", F.lit(stage).alias("stage"))
+
+
+def parse_unified_diff(diffs: DataFrame) -> DataFrame:
+    """One row per commit and changed file, with the added and removed lines as lists.
+
+    Columns: source_file, target_file, path, file_no, added, removed (lists of line_no and
+    value), adds, deletes (all lines), added_lines, deleted_lines (those not blank), and the
+    commit's totals commit_adds, commit_deletes, commit_added_lines, commit_deleted_lines.
+    Commits without parent, without diff or with a broken hunk are left to
+    :func:`diff_rejects`.
+    """
+    return patches_of(tagged_diffs(diffs.filter(has_diff())))
+
+
 def diff_lines(patches: DataFrame) -> DataFrame:
     """One row per added or removed line: op, line_no (of the new or the old file), value."""
     def tagged(column: str, op: str) -> Column:
@@ -189,20 +219,7 @@ def removed_lines(patches: DataFrame) -> DataFrame:
 
 def diff_rejects(diffs: DataFrame, stage: str) -> DataFrame:
     """Commits whose diff gives no facts, with the reason."""
-    patches = F.col("patches")
-    broken = ~F.forall(patches, lambda p: p["sound"])
-    # Renames, copies, submodules and changed file types are left out before the diff is judged.
-    left_out = F.forall(patches, lambda p: p["excluded"] | F.array_contains(
-        F.col("retyped"), p["path"])) & (F.size(patches) > 0)
-    key = keys(diffs, "commit_sha")
-    missing = diffs.select(*key, F.when(F.col("n_parents") <= 0, "no_parent")
-                           .when(F.coalesce("diff_text", F.lit("")) == "", "empty_diff")
-                           .alias("reason"))
-    parsed = (_parsed(diffs.filter(has_diff())).withColumn("retyped", _retyped(patches))
-              .select(*key, F.when(broken, "broken_hunk").when(left_out, "empty_diff")
-                      .alias("reason")).filter(F.col("reason").isNotNull()))
-    return (missing.filter(F.col("reason").isNotNull()).unionByName(parsed)
-            .withColumn("stage", F.lit(stage)))
+    return rejects_of(tagged_diffs(diffs), stage)
 
 
 def not_blank_lines(lines: DataFrame) -> DataFrame:

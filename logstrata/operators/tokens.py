@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from logstrata.functions.languages import (HASH_COMMENTS, JAVA_KEYWORDS, JAVA_WORD_TYPES,
                                            NO_COMMENTS, lexer_name)
 from logstrata.functions.text import not_blank
+from logstrata.operators.intervals import overlap_join
 from logstrata.operators.numbering import with_line_number
 from logstrata.operators.skew import lookup_side, with_group_totals
 from logstrata.schemas import keys
@@ -124,10 +125,8 @@ def tokenize(blobs: DataFrame, offsets: bool = True) -> DataFrame:
             .select(*key, "lexer_name", "piece_no", "t.*"))
     extra = []
     if offsets:
-        window = (Window.partitionBy(*key).orderBy("piece_no")
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("token_start", F.coalesce(
-            F.sum(F.length("token_content").cast("long")).over(window), F.lit(0)))
+        rows = _with_offsets(rows, [*key, "lexer_name"], "piece_no",
+                             F.length("token_content").cast("long"), "token_start")
         extra = ["token_start"]
     tokens = rows.filter((F.col("piece_no") % 2 == 1) & _shown(F.col("token_content")))
     return tokens.select(
@@ -137,6 +136,49 @@ def tokenize(blobs: DataFrame, offsets: bool = True) -> DataFrame:
         .alias("token_type"))
 
 
+def text_lines(files: DataFrame) -> DataFrame:
+    """One row per line: code_line_number, line_content with its break, line_start, line_end.
+
+    ``line_end`` is the place of the last character, the break included, or ``line_start`` for
+    an empty last line; the places are those of :func:`tokenize`.
+    """
+    key = [name for name in files.columns if name != "text"]
+    cut = files.withColumn("lines", F.split(_unix_text(F.col("text")), "\n"))
+    rows = cut.select(*key, F.size("lines").alias("n_lines"), F.posexplode("lines").alias("i", "line"))
+    closed = F.col("i") < F.col("n_lines") - 1
+    rows = rows.withColumn("line", F.when(closed, F.concat("line", F.lit("\n"))).otherwise(F.col("line")))
+    size = F.length("line").cast("long")
+    return _with_offsets(rows, key, "i", size, "line_start").select(
+        *key, (F.col("i") + 1).cast("long").alias("code_line_number"),
+        F.col("line").alias("line_content"), "line_start",
+        (F.col("line_start") + F.greatest(size - 1, F.lit(0))).alias("line_end"))
+
+
+OFFSET_ROWS = 65536
+
+
+def _with_offsets(rows: DataFrame, key: list[str], index: str, size: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of the sizes of all rows before, by ``index`` (from 0) in their file.
+
+    A file is cut in blocks of rows. Sizes are summed up in each block, blocks' totals before
+    each block: no window has more than one block's rows or one file's blocks.
+    """
+    block = F.floor(F.col(index) / OFFSET_ROWS)
+    sized = rows.select("*", block.alias("_block"), size.alias("_size"))
+    totals = sized.groupBy(*key, "_block").agg(F.sum("_size").alias("_total"))
+    over = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*[F.col(k).alias(f"_of_{k}") for k in [*key, "_block"]],
+                         F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*key, "_block").orderBy(index) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    local = sized.select("*", F.coalesce(F.sum("_size").over(inside), F.lit(0)).alias("_in"))
+    same = F.lit(True)
+    for k in [*key, "_block"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return local.join(lookup_side(base), same).select(
+        *rows.columns, (F.col("_base") + F.col("_in")).alias(name))
+
+
 def line_tokens(files: DataFrame) -> DataFrame:
     """Tokens of chosen lines.
 
@@ -181,6 +223,27 @@ def line_tokens(files: DataFrame) -> DataFrame:
                    F.col("token.after")).alias("token_type"))
 
 
+def join_line_tokens(tokens: DataFrame, lines: DataFrame, on: list[str]) -> DataFrame:
+    """Each line with each token that lies in it, wholly or in part.
+
+    ``tokens`` as :func:`tokenize` gives them, ``lines`` as :func:`text_lines`; both may be
+    tables of their own, of files of any length. The rows are those of :func:`line_tokens`: a
+    token that ends with a line break belongs to the next line, too.
+    """
+    longer = F.when(F.endswith("token_content", F.lit("\n")), 0).otherwise(1)
+    placed = tokens.withColumn("token_end", F.col("token_start") + F.length("token_content") - longer)
+    met = overlap_join(placed, lines, on, ("token_start", "token_end"), ("line_start", "line_end"))
+    line = [*on, "code_line_number"]
+    counts = met.groupBy(*line).agg(F.count("*").alias("number_of_tokens"))
+    counts = counts.select(*[F.col(k).alias(f"_of_{k}") for k in line], "number_of_tokens")
+    same = F.lit(True)
+    for k in line:
+        same = same & (F.col(k) == F.col(f"_of_{k}"))
+    return met.join(lookup_side(counts), same).select(
+        *on, "lexer_name", "code_line_number", "line_content", "number_of_tokens",
+        "token_content", "token_type")
+
+
 def _side(commits: DataFrame, analyze_part: str) -> tuple[str, str, DataFrame]:
     """Line list, line count and the version of the files that holds these lines."""
     key = keys(commits, "commit_sha")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logstrata.operators import blame, changes, cohorts, diff, tokens
 from logstrata.operators.numbering import with_line_number
 from logstrata.schemas import keys
+from logstrata.session import cut_lineage
 
 
 @dataclass
@@ -95,31 +96,70 @@ class History:
         return tokens.content_tokens(self.patches(), self.blobs, self.cohort(name), analyze_part,
                                      numbered)
 
+    def _from_tagged(self, tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Patches, and the lines blame is asked for, of commits that were parsed before."""
+        patches = diff.patches_of(tagged)
+        return patches, diff.removed_lines(patches)
+
     def rejects(self, analyze_part: str = "deleted") -> DataFrame:
-        """Commits without facts: stage, commit and reason, for the stages whose tables are given.
+        """What gives no facts: stage, commit and reason, for the stages whose tables are given.
 
         A commit without parent or diff, or with a broken hunk, fails every stage that reads
-        diffs. ``analyze_part`` is the side whose file texts the Content stage looks for.
+        diffs; these are parsed once, whatever the number of stages. ``analyze_part`` is the side
+        whose file texts the Content stage looks for. A list of similar ids that the limit leaves
+        out names its ``issue_number`` in place of a commit.
         """
         found = []
+        patches, removed = None, self.lines
         if self.diffs is not None:
+            tagged = cut_lineage(diff.tagged_diffs(self.diffs))
+            patches, removed = self._from_tagged(tagged)
             stages = ["User behavior"] + ["Blame"] * (self.blame_lines is not None) \
                 + ["Content"] * (self.blobs is not None)
-            found.append(diff.diff_rejects(self.diffs, "").withColumn(
+            found.append(diff.rejects_of(tagged, "").withColumn(
                 "stage", F.explode(F.array(*[F.lit(stage) for stage in stages]))))
             if self.blobs is not None:
-                found.append(tokens.content_rejects(self.patches(), self.blobs, self.commits,
+                found.append(tokens.content_rejects(patches, self.blobs, self.commits,
                                                     analyze_part))
-        if self.blame_lines is not None:
-            found.append(blame.blame_rejects(self._blame_input("all"), self.blame_lines))
-            found.append(blame.origin_rejects(self._blame_input("all"), self.blame_lines,
-                                              self.commits))
+        if self.blame_lines is not None and removed is not None:
+            found.append(blame.blame_rejects(removed, self.blame_lines))
+            found.append(blame.origin_rejects(removed, self.blame_lines, self.commits))
         if self.issues is not None:
             ids = cohorts.issue_commit_ids(self.issues, self.similar_limit)
             missing = cohorts.unresolved_ids(ids, self.commits)
             found.append(missing.withColumn("reason", F.lit("unresolved_commit"))
                          .withColumn("stage", F.lit("Cohort")))
-        union = found[0]
-        for part in found[1:]:
+            lists = cohorts.similar_lists_left_out(self.issues, self.similar_limit)
+            found.append(lists.drop("list_size").withColumn(
+                "issue_number", F.col("issue_number").cast("string")))
+        none = F.lit(None).cast("string")
+        union = self.commits.where("false").select(
+            *keys(self.commits, "commit_sha"), none.alias("issue_number"), none.alias("reason"),
+            none.alias("stage"))
+        for part in found:
+            union = union.unionByName(part, allowMissingColumns=True)
+        return union
+
+    def outcomes(self) -> DataFrame:
+        """Every commit with a diff once in each stage that reads diffs: ``facts``, the reason of
+        its reject, or ``nothing`` for a commit that has no line the stage asks for."""
+        tagged = cut_lineage(diff.tagged_diffs(self.diffs))
+        key = keys(tagged, "commit_sha")
+        state = tagged.select(*key, F.coalesce("reason", F.lit("facts")).alias("outcome"))
+        stages = [state.withColumn("stage", F.lit("User behavior"))]
+        if self.blame_lines is not None:
+            _, removed = self._from_tagged(tagged)
+            failed = blame.blame_rejects(removed, self.blame_lines).unionByName(
+                blame.origin_rejects(removed, self.blame_lines, self.commits)) \
+                .groupBy(*key).agg(F.min("reason").alias("_failed"))
+            given = blame.deleted_lines_behavior(removed, self.blame_lines, self.commits).select(
+                *keys(removed), F.col("fix_commit_sha").alias("commit_sha"),
+                F.lit(True).alias("_given")).distinct()
+            judged = state.join(failed, key, "left").join(given, key, "left")
+            told = F.when(F.col("outcome") != "facts", F.col("outcome")).otherwise(F.coalesce(
+                "_failed", F.when(F.col("_given"), "facts"), F.lit("nothing")))
+            stages.append(judged.select(*key, told.alias("outcome"), F.lit("Blame").alias("stage")))
+        union = stages[0]
+        for part in stages[1:]:
             union = union.unionByName(part)
         return union

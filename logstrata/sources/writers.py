@@ -13,13 +13,19 @@ from logstrata.session import scratch_path
 
 
 def write_facts(df: DataFrame, path: str, output_format: str = "parquet",
-                partition_by: list[str] | None = None) -> None:
-    """gzip parquet, or CSV with a header."""
+                partition_by: list[str] | None = None, keep_others: bool = False) -> None:
+    """gzip parquet, or CSV with a header.
+
+    What is at ``path`` is replaced; with ``keep_others`` only the partitions that ``df`` has
+    rows of, so that a rerun of one repository leaves the files of all others alone.
+    """
     if output_format not in ("parquet", "csv"):
         raise ValueError("output_format must be parquet or csv")
     if partition_by:
         df = df.hint("rebalance", *[F.col(name) for name in partition_by])
     writer = df.write.mode("overwrite").partitionBy(*(partition_by or []))
+    if partition_by:
+        writer = writer.option("partitionOverwriteMode", "dynamic" if keep_others else "static")
     if output_format == "parquet":
         writer.option("compression", "gzip").parquet(path)
     else:
