@@ -241,3 +241,39 @@ def runs_of_adjacent_keys(t):
 def normalized_frequency_by_run(t):
     return _rounded(frequency.normalized_frequency(t("events"), ["props"], "event_type",
                                                    run_order="event_id"))
+
+
+@query("sparse_matrix", f"""
+       with places as (select token_content "value", row_number() over (order by token_content) - 1 place
+                       from (select distinct token_content from fx_tokens))
+       select hex_hash, string_agg(cast(place as varchar), ',' order by place) places,
+              string_agg(cast(n as varchar), ',' order by place) amounts
+       from (select hex_hash, token_content "value", count(*) n from fx_tokens group by all)
+       join places using ("value") group by hex_hash""")
+def sparse_matrix(t):
+    """All values of a column, one row per group."""
+    cells = frequency.frequency_cells(t("fx_tokens"), ["token_content"], GROUP)
+    rows = frequency.sparse_matrix(cells, frequency.vocabulary(cells), GROUP)
+    shown = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+             for c in ("places", "amounts")]
+    return rows.select(GROUP, *shown)
+
+
+@query("matrix_column_blocks", f"""
+       with places as (select token_content "value", row_number() over (order by token_content) - 1 place
+                       from (select distinct token_content from fx_tokens)),
+       cells as (select hex_hash, place, place // 2000 block, n
+                 from (select hex_hash, token_content "value", count(*) n from fx_tokens group by all)
+                 join places using ("value"))
+       select hex_hash, block, cast(least(2000, (select count(*) from places) - block * 2000) as int) width,
+              cast(sum(n) as bigint) total, cast(sum(n * (place % 2000 + 1)) as bigint) weighted
+       from cells group by hex_hash, block""")
+def matrix_column_blocks(t):
+    """The dense blocks, told by their width, their sum and a sum weighted by the columns."""
+    cells = frequency.frequency_cells(t("fx_tokens"), ["token_content"], GROUP)
+    blocks = frequency.column_blocks(cells, frequency.vocabulary(cells), GROUP, width=2000)
+    zero = F.lit(0).cast("long")
+    weighted = F.transform("amounts", lambda x, i: x * (i + 1))
+    return blocks.select(GROUP, "block", F.size("amounts").alias("width"),
+                         F.aggregate("amounts", zero, lambda a, x: a + x).alias("total"),
+                         F.aggregate(weighted, zero, lambda a, x: a + x).alias("weighted"))

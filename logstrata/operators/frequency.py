@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logstrata.operators.filters import any_of, except_rows, keep_rows
 from logstrata.operators.numbering import with_line_number, with_runs
-from logstrata.operators.skew import with_group_totals
+from logstrata.operators.skew import lookup_side, with_group_totals
 
 VARIANTS = ["binary_count", "binary_count_normalized", "aggregate_count_normalized"]
 MATRIX_VARIANTS = ["count", *VARIANTS]
@@ -190,3 +190,54 @@ def matrix_of_cells(cells: DataFrame, group: str, values: Iterable,
     wide = cells.groupBy(group).pivot("value", values).agg(F.sum(variant)).toDF("__group", *places)
     return wide.select("__group", *[F.coalesce(F.col(v), F.lit(0)) for v in places]).toDF(
         group, *values)
+
+
+def vocabulary(cells: DataFrame) -> DataFrame:
+    """(value, place): the distinct values of one column's cells in order, numbered from 0.
+
+    NULL and the empty text are one value. The values are sorted and numbered by Spark, so a
+    vocabulary of any size passes nothing but one offset a partition through the driver.
+    """
+    values = cells.select(F.coalesce("value", F.lit("")).alias("value")).distinct()
+    return with_line_number(values, ["value"], "place", 0)
+
+
+def sparse_matrix(cells: DataFrame, words: DataFrame, group: str, variant: str = "count") -> DataFrame:
+    """The matrix over a whole vocabulary: one row per group with ``places`` and ``amounts``.
+
+    ``cells`` as :func:`frequency_cells` gives them of one column, ``words`` its
+    :func:`vocabulary`. ``places`` ascend; a place that is not among them is zero. A row holds
+    what occurs in its group, not the vocabulary.
+    """
+    return _placed(cells, words, group, variant).groupBy(group).agg(
+        F.array_sort(F.collect_list(F.struct("place", "amount"))).alias("c")).select(
+            group, F.col("c.place").alias("places"), F.col("c.amount").alias("amounts"))
+
+
+def _placed(cells: DataFrame, words: DataFrame, group: str, variant: str) -> DataFrame:
+    """(group, place, amount), the cells of NULL and the empty text added up."""
+    if variant not in MATRIX_VARIANTS:
+        raise ValueError(f"variant must be one of {MATRIX_VARIANTS}")
+    named = words.select(F.col("value").alias("_word"), "place")
+    asked = cells.select(group, F.coalesce("value", F.lit("")).alias("value"), F.col(variant).alias("amount"))
+    # A frequent value is a hot key of the cells: the vocabulary is the side with one row for each.
+    met = asked.join(lookup_side(named), F.col("value") == F.col("_word"))
+    return met.groupBy(group, "place").agg(F.sum("amount").alias("amount"))
+
+
+def column_blocks(cells: DataFrame, words: DataFrame, group: str, variant: str = "count",
+                  width: int = 1000) -> DataFrame:
+    """The matrix in blocks of ``width`` columns: group, block, ``amounts`` with its zeros.
+
+    A block without any value of a group has no row.
+    """
+    block = F.floor(F.col("place") / width)
+    entry = F.struct((F.col("place") - block * width).cast("int").alias("at"), "amount")
+    held = _placed(cells, words, group, variant).select(group, block.alias("block"), entry.alias("e")) \
+        .groupBy(group, "block").agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    n = words.count()
+    size = F.least(F.lit(width).cast("long"), F.lit(n) - F.col("block") * width).cast("int")
+    zero = F.lit(0).cast(held.schema["m"].dataType.valueType)
+    return held.select(group, "block", F.transform(
+        F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at("m", i), zero))
+        .alias("amounts"))

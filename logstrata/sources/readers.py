@@ -39,13 +39,21 @@ def _scan(spark: SparkSession, path: str, schema: T.StructType, required: list[s
     A filter on ``repo`` reads the folders of those repositories alone.
     """
     if fmt == "json":
+        # Parsed as a whole whatever columns are asked for: a reader of records would parse only
+        # these, and not see the others' errors.
+        lines = spark.read.text(path)
+        in_folders = "repo" in lines.columns
+        if in_folders:
+            lines = spark.read.schema("value string, repo string").text(path)
         given = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-        table = (spark.read.schema(given).option("mode", "PERMISSIVE")
-                 .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-        broken = F.col(CORRUPT).isNotNull()
-        record = F.coalesce(CORRUPT, F.to_json(F.struct(*schema.fieldNames())))
+        parsed = lines.where("value <> ''").select("*", _file(), F.from_json(
+            "value", given, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+        table = parsed.select(
+            *[F.col("repo") if in_folders and name == "repo" else F.col(f"r.{name}")
+              for name in schema.fieldNames()], "file", "value", F.col(f"r.{CORRUPT}").alias(CORRUPT))
+        broken, record = F.col(CORRUPT).isNotNull(), F.col("value")
     elif fmt == "parquet":
-        table, broken = spark.read.schema(schema).parquet(path), F.lit(False)
+        table, broken = spark.read.schema(schema).parquet(path).select("*", _file()), F.lit(False)
         record = F.to_json(F.struct(*schema.fieldNames()))
     else:
         raise ValueError("a table is json or parquet")
@@ -53,7 +61,7 @@ def _scan(spark: SparkSession, path: str, schema: T.StructType, required: list[s
     for name in required:
         keyless = keyless | F.col(name).isNull()
     rows = table.where(~broken & ~keyless).select(*schema.fieldNames())
-    rejects = table.select("repo", _file(), record.alias("record"), F.when(
+    rejects = table.select("repo", "file", record.alias("record"), F.when(
         broken, "malformed_record").when(keyless, "missing_key").alias("reason")) \
         .where(F.col("reason").isNotNull()).withColumn("stage", F.lit("Scan"))
     return Scan(rows, rejects)
