@@ -8,7 +8,7 @@ from checks.change_queries import (CHANGES, COHORTS, BEHAVIOR, COUNTS, PER_COMMI
                                    WITH_BLAME, WITH_COUNTS)
 from checks.cohort_queries import ALL_IDS, history
 from checks.registry import query
-from logstrata.operators import diff
+from logstrata.operators import diff, diff_chunks
 
 # Commits without a parent have no diff to look at.
 PARENTED = "commit_sha in (select commit_sha from fx_commits where n_parents > 0)"
@@ -24,6 +24,17 @@ def diff_lines_from_text(t):
     return diff.diff_lines(diff.parse_unified_diff(t("sp_diffs")))
 
 
+@query("diff_lines_from_chunks", f"""select commit_sha, path, op, line_no, value
+       from fx_diff_lines where op <> ' ' and {PARENTED}""")
+def diff_lines_from_chunks(t):
+    """The same texts in chunks that end in the middle of lines and heads."""
+    start = F.explode(F.sequence(F.lit(0), F.floor(F.length("diff_text") / 97)))
+    chunks = t("sp_diffs").select("commit_sha", "n_parents", "diff_text", start.alias("chunk_no"))
+    text = F.substr("diff_text", (F.col("chunk_no") * 97 + 1).cast("int"), F.lit(97))
+    return diff_chunks.chunked_diff_lines(chunks.select("commit_sha", "n_parents", "chunk_no",
+                                                        text.alias("text")))
+
+
 @query("patches_from_text", f"""
        select commit_sha, path, 'a/' || path source_file, 'b/' || path target_file,
               adds, deletes, added_lines, deleted_lines,

@@ -58,4 +58,5 @@ def filter_issues(issues: DataFrame, attribute: str, value: Column | str, keep:
 
 
 def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda left, right: left | right, conditions)
+    """Some condition holds; of none, none does."""
+    return reduce(lambda left, right: left | right, conditions) if conditions else F.lit(False)

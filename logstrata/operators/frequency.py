@@ -39,6 +39,9 @@ def _long(df: DataFrame, columns: Columns, ids: list[str]) -> DataFrame:
     names = list(columns)
     if any(name in ids for name in names):
         raise ValueError("a counted column cannot be the group column")
+    if not names:
+        none = F.lit(None).cast("string")
+        return df.where("false").select(*ids, none.alias("column_name"), none.alias("value"))
     cells = [F.struct(F.lit(name).alias("column_name"), F.col(name).cast("string").alias("value"))
              for name in names]
     return df.select(*ids, F.explode(F.array(*cells)).alias("cell")).select(*ids, "cell.*")

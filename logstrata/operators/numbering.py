@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logstrata.operators.skew import lookup_side
 from logstrata.session import cut_lineage
 
 # monotonically_increasing_id keeps the row index of a partition in its low 33 bits.
@@ -34,6 +35,32 @@ def with_line_number(df: DataFrame, order: list, name: str = "line_number",
             .select(name, *df.columns))
 
 
+def running_before(df: DataFrame, key: list[str], index: str, sums: dict[str, str],
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with sums over all rows before, by ``index`` (consecutive from 0) within a key.
+
+    ``sums`` tells the new columns' names by the summed ones. A key's rows are cut in blocks:
+    one window runs over the rows of a block, one over the totals of a key's blocks, so no task
+    holds all rows of a large key.
+    """
+    block = F.floor(F.col(index) / block_rows)
+    rows = df.select("*", block.alias("_block"))
+    totals = rows.groupBy(*key, "_block").agg(*[F.sum(c).alias(f"_total_{c}") for c in sums])
+    over = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*[F.col(k).alias(f"_of_{k}") for k in [*key, "_block"]], *[
+        F.coalesce(F.sum(f"_total_{c}").over(over), F.lit(0)).alias(f"_base_{c}") for c in sums])
+    inside = (Window.partitionBy(*key, "_block").orderBy(index)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    local = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}")
+                               for c in sums])
+    same = F.lit(True)
+    for k in [*key, "_block"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return local.join(lookup_side(base), same).select(
+        *df.columns, *[(F.col(f"_base_{c}") + F.col(f"_in_{c}")).alias(name)
+                       for c, name in sums.items()])
+
+
 def _last_before(df: DataFrame, order: str, value: str, out: str, block_rows: int,
                  levels: int) -> DataFrame:
     """The last ``value`` that is not NULL strictly before each row, across blocks."""

@@ -17,7 +17,7 @@ from logstrata.functions.languages import (HASH_COMMENTS, JAVA_KEYWORDS, JAVA_WO
                                            NO_COMMENTS, lexer_name)
 from logstrata.functions.text import not_blank
 from logstrata.operators.intervals import overlap_join
-from logstrata.operators.numbering import with_line_number
+from logstrata.operators.numbering import running_before, with_line_number
 from logstrata.operators.skew import lookup_side, with_group_totals
 from logstrata.schemas import keys
 
@@ -109,8 +109,8 @@ def _token(pieces: Column, i: Column) -> Column:
 def tokenize(blobs: DataFrame, offsets: bool = True) -> DataFrame:
     """One row per token of each file: token_no, token_content, token_type.
 
-    ``offsets`` adds the character offset, a running sum over the pieces of the file; without
-    it nothing is shuffled.
+    ``offsets`` adds the character offset, a running sum over the pieces of the file, which is
+    cut in blocks for it; without it nothing is shuffled.
     """
     key = keys(blobs, "sha", "path")
     lexer = F.col("lexer_name")
@@ -125,8 +125,8 @@ def tokenize(blobs: DataFrame, offsets: bool = True) -> DataFrame:
             .select(*key, "lexer_name", "piece_no", "t.*"))
     extra = []
     if offsets:
-        rows = _with_offsets(rows, [*key, "lexer_name"], "piece_no",
-                             F.length("token_content").cast("long"), "token_start")
+        rows = running_before(rows.withColumn("size", F.length("token_content").cast("long")),
+                              [*key, "lexer_name"], "piece_no", {"size": "token_start"})
         extra = ["token_start"]
     tokens = rows.filter((F.col("piece_no") % 2 == 1) & _shown(F.col("token_content")))
     return tokens.select(
@@ -148,37 +148,13 @@ def text_lines(files: DataFrame) -> DataFrame:
     closed = F.col("i") < F.col("n_lines") - 1
     rows = rows.withColumn("line", F.when(closed, F.concat("line", F.lit("\n"))).otherwise(F.col("line")))
     size = F.length("line").cast("long")
-    return _with_offsets(rows, key, "i", size, "line_start").select(
+    rows = running_before(rows.withColumn("size", size), key, "i", {"size": "line_start"})
+    return rows.select(
         *key, (F.col("i") + 1).cast("long").alias("code_line_number"),
         F.col("line").alias("line_content"), "line_start",
         (F.col("line_start") + F.greatest(size - 1, F.lit(0))).alias("line_end"))
 
 
-OFFSET_ROWS = 65536
-
-
-def _with_offsets(rows: DataFrame, key: list[str], index: str, size: Column, name: str) -> DataFrame:
-    """``rows`` with the sum of the sizes of all rows before, by ``index`` (from 0) in their file.
-
-    A file is cut in blocks of rows. Sizes are summed up in each block, blocks' totals before
-    each block: no window has more than one block's rows or one file's blocks.
-    """
-    block = F.floor(F.col(index) / OFFSET_ROWS)
-    sized = rows.select("*", block.alias("_block"), size.alias("_size"))
-    totals = sized.groupBy(*key, "_block").agg(F.sum("_size").alias("_total"))
-    over = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*[F.col(k).alias(f"_of_{k}") for k in [*key, "_block"]],
-                         F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*key, "_block").orderBy(index) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    local = sized.select("*", F.coalesce(F.sum("_size").over(inside), F.lit(0)).alias("_in"))
-    same = F.lit(True)
-    for k in [*key, "_block"]:
-        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    return local.join(lookup_side(base), same).select(
-        *rows.columns, (F.col("_base") + F.col("_in")).alias(name))
-
-
 def line_tokens(files: DataFrame) -> DataFrame:
     """Tokens of chosen lines.
 

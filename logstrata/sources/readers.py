@@ -166,7 +166,7 @@ def read_issue_files(spark: SparkSession, config: DataFrame) -> Scan:
     One scan reads all files of the configuration's issue folder; the file a line comes from,
     or the folder directly below where an export has several parts, is joined to the
     ``issue_file_name`` of the repository. Files that no repository names are not parsed. A
-    configured file that is absent is a reject (``issue_file_missing``), with its name as
+    configured file that is absent or empty is a reject (``issue_file_missing``), with its name as
     ``file``; lines that are no issue records are rejects, too.
     """
     base = config.select("issue_base_address").first()

@@ -25,10 +25,15 @@ def test_issues_json(spark, tmp_path):
     assert rows["1"].issue_commit_id == ["a"] and rows["3"].issue_closed_commit_id == []
 
 
-def test_broken_json_is_an_error(spark, tmp_path):
-    path = _write(tmp_path, "i.json", "header\n{broken\n")
-    with pytest.raises(Exception):
-        readers.read_issues(spark, path).collect()
+def test_broken_json_is_a_reject(spark, tmp_path):
+    path = _write(tmp_path, "issues.json",
+                  'header\n{"issue_number": "1"}\n{"issue_number": "2"\nnot json\n{"issue_labels": "x"}\n')
+    scan = readers.scan_issues(spark, path)
+    assert [r.issue_number for r in scan.rows.collect()] == ["1"]
+    assert {(r.record, r.reason) for r in scan.rejects.collect()} == {
+        (line, "malformed_record")
+        for line in ('{"issue_number": "2"', "not json", '{"issue_labels": "x"}')}
+    assert scan.rows.select("issue_number").count() == 1
 
 
 def test_issues_csv(spark, tmp_path):
