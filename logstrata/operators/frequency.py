@@ -237,10 +237,11 @@ def column_blocks(cells: DataFrame, words: DataFrame, group: str, variant: str =
     block = F.floor(F.col("place") / width)
     entry = F.struct((F.col("place") - block * width).cast("int").alias("at"), "amount")
     held = _placed(cells, words, group, variant).select(group, block.alias("block"), entry.alias("e")) \
-        .groupBy(group, "block").agg(F.map_from_entries(F.collect_list("e")).alias("m"))
-    n = words.count()
-    size = F.least(F.lit(width).cast("long"), F.lit(n) - F.col("block") * width).cast("int")
-    zero = F.lit(0).cast(held.schema["m"].dataType.valueType)
-    return held.select(group, "block", F.transform(
-        F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at("m", i), zero))
-        .alias("amounts"))
+        .groupBy(group, "block").agg(F.array_sort(F.collect_list("e")).alias("c"))
+    size = F.least(F.lit(width).cast("long"), F.lit(words.count()) - F.col("block") * width).cast("int")
+    zero = F.lit(0).cast(held.schema["c"].dataType.elementType["amount"].dataType)
+    # Each amount after the zeros before it, then the zeros behind the last one.
+    filled = F.transform("c", lambda e, i: F.concat(F.array_repeat(
+        zero, e["at"] - F.coalesce(F.get("c", i - 1)["at"] + 1, F.lit(0))), F.array(e["amount"])))
+    rest = F.array_repeat(zero, size - F.element_at("c", -1)["at"] - 1)
+    return held.select(group, "block", F.concat(F.flatten(filled), rest).alias("amounts"))
