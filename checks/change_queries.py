@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.cohort_queries import ALL_IDS, FIX_WHERE, HEADER, IDS, NON_FIX_WHERE, history
@@ -217,6 +218,22 @@ def blame_details(t):
                          F.array_join(cells, ";").alias("lines"))
 
 
+@query("blame_pages", """
+       select commit_sha, blame_commit_sha, path, line_no, content, true in_order from blamed""",
+       joined=JOINED, blamed=BLAMED)
+def blame_pages(t):
+    """Pages of a few lines, taken apart again: every line once, pages in the order of the lines."""
+    pages = blame.blame_pages(lines_of(t), t("fx_blame_lines"), page_bytes=40)
+    rows = pages.select("commit_sha", "blame_commit_sha", "page_no",
+                        F.explode("file_path__line_number_content").alias("path", "lines"))
+    rows = rows.select("commit_sha", "blame_commit_sha", "page_no", "path", F.explode("lines").alias("l"))
+    rows = rows.select("commit_sha", "blame_commit_sha", "path", "l.line_no", "l.content", "page_no")
+    last = F.lag("page_no").over(Window.partitionBy("commit_sha", "blame_commit_sha")
+                                 .orderBy("path", "line_no"))
+    step = F.col("page_no") - F.coalesce(last, F.lit(0))
+    return rows.select("*", step.isin(0, 1).alias("in_order")).drop("page_no")
+
+
 @query("history_rejects", """
        select commit_sha, null::varchar issue_number, 'no_parent' reason, stage
        from fx_commits, (values ('User behavior'), ('Blame')) stages(stage)

@@ -6,7 +6,7 @@ that has no blame line is rejected as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logstrata.operators.changes import commit_header
@@ -121,7 +121,7 @@ def blame_details(lines: DataFrame, blame_lines: DataFrame) -> DataFrame:
     """The nested form: per commit and origin a map from path to its lines.
 
     Each map holds lines of one commit's diff, which was one text cell before; for lines in
-    bulk use the flat forms above.
+    bulk use the flat forms above or :func:`blame_pages`.
     """
     key = keys(lines, "commit_sha")
     rejected = blame_rejects(lines, blame_lines)
@@ -132,3 +132,38 @@ def blame_details(lines: DataFrame, blame_lines: DataFrame) -> DataFrame:
     return per_path.groupBy(*key, "blame_commit_sha").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "lines"))))
         .alias("file_path__line_number_content"))
+
+
+PAGE_BYTES, PAGE_LINES = 1 << 20, 65536
+
+
+def blame_pages(lines: DataFrame, blame_lines: DataFrame, page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """:func:`blame_details` in pages: ``page_no`` (from 0) and a map of one path to its lines.
+
+    A page ends where the bytes of its lines reach ``page_bytes``, and where the next block of
+    ``PAGE_LINES`` line numbers begins, so a commit with very many lines is many bounded rows.
+    Pages of a commit and origin are numbered by path and line; one after another they hold the
+    lines of the nested form. Only the pages' names are numbered together, not what they hold.
+    """
+    key = keys(lines, "commit_sha")
+    rejected = blame_rejects(lines, blame_lines)
+    rows = (blamed_lines(lines, blame_lines).join(lookup_side(rejected), key, "left_anti")
+            .select(*key, "blame_commit_sha", "path", "line_no", "content",
+                    F.floor(F.col("line_no") / PAGE_LINES).alias("_block")))
+    place = [*key, "blame_commit_sha", "path", "_block"]
+    before = (Window.partitionBy(*place).orderBy("line_no", "content")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    held = F.coalesce(F.sum(F.octet_length("content") + 16).over(before), F.lit(0))
+    rows = rows.withColumn("_part", F.floor(held / page_bytes))
+    pages = rows.groupBy(*place, "_part").agg(
+        F.sort_array(F.collect_list(F.struct("line_no", "content"))).alias("lines"))
+    origin = Window.partitionBy(*key, "blame_commit_sha").orderBy("path", "_block", "_part")
+    names = rows.groupBy(*place, "_part").agg(F.count("*").alias("_n")).select(
+        *[F.col(c).alias(f"_of_{c}") for c in [*place, "_part"]],
+        (F.row_number().over(origin) - 1).cast("long").alias("page_no"))
+    same = F.lit(True)
+    for c in [*place, "_part"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return pages.join(lookup_side(names), same).select(
+        *key, "blame_commit_sha", "page_no",
+        F.create_map("path", "lines").alias("file_path__line_number_content"))
