@@ -16,16 +16,21 @@ MAX_REPEAT_PERCENT = 20
 RUN = 5                  # words of a window that may be repeated
 MIN_GROUP = 200          # fewer rows of a language and source join the rest of the language
 KEPT_SHARE = 0.75        # share of a group that the estimate is made from
-STEPS = 4                # concentration steps
+TRIAL_STEPS = 2          # concentration steps of every start
+STEPS = 20               # most concentration steps of the best start
+TOLERANCE = 1e-3         # it ends where no log determinant moves by more
 MAX_GROUPS = 50_000      # above it the estimates are joined by a shuffle
-TAIL = 1e-6              # share of a normal group beyond the limit
-# Shrinks the statistics of short texts towards the middle: so many words with usual values.
-PRIOR_WORDS = 50
+TAIL = 1e-6              # false rejections: share of the rows of a normal group beyond the limit
+# Added to the sizes of texts, so that short ones have statistics of about the same spread.
+PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 50, 250, 5
+LENGTH_WORDS = 1000
 FEATURES = ("x_length", "x_symbols", "x_lines", "x_repeats")
-# Least standard deviation of each feature. Most texts have no symbols and no repeats at all,
-# and a spread of 0 would reject the first one that has some.
-FLOORS = (0.25, 0.05, 0.10, 0.10)
+# Logarithms of the numbers of units that a text's statistics are shares of. Half of the root of
+# one unit is the sampling error of such a root, which is the least spread a group may have:
+# where three quarters have no symbols at all, the estimate would be 0 and one symbol an outlier.
+SIZES = ("z_length", "z_symbols", "z_lines", "z_repeats")
 BINS_PER_UNIT = 200
+QUARTILES = (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))
 
 
 def chi2_cdf(x: float, even: int) -> float:
@@ -91,13 +96,20 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _features(stats: DataFrame) -> DataFrame:
+    """``stats`` with the features but ``x_length``, which needs a median, and the sizes."""
+    chars, lines = F.col("word_chars") + PRIOR_CHARS, F.col("__n_lines") + PRIOR_LINES
     words = F.col("n_words") + PRIOR_WORDS
-    usual = 5.0  # characters of a word
-    values = (F.log((F.col("word_chars") + usual * PRIOR_WORDS) / words),
-              F.sqrt(F.col("n_symbols") / (F.col("word_chars") + usual * PRIOR_WORDS)),
-              F.sqrt(F.col("n_dup_lines") / (F.col("__n_lines") + 5.0)),
-              F.sqrt(F.col("n_repeat_words") / words))
-    return stats.select("*", *[v.alias(x) for v, x in zip(values, FEATURES)])
+    values = {"__length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) /
+                                F.greatest(F.col("n_words"), F.lit(1))),
+              "x_symbols": F.sqrt(F.col("n_symbols") / chars),
+              "x_lines": F.sqrt(F.col("n_dup_lines") / lines),
+              "x_repeats": F.sqrt(F.col("n_repeat_words") / words),
+              # Words vary by about half of their length, so four words are one unit.
+              "z_length": F.log(4.0 * (F.col("n_words") + LENGTH_WORDS)),
+              "z_symbols": F.log(chars), "z_lines": F.log(lines),
+              # The least repeat is two windows.
+              "z_repeats": F.log(words / (2.0 * RUN))}
+    return stats.select("*", *[v.alias(x) for x, v in values.items()])
 
 
 def _grouped(rows: DataFrame, lang: str, source: str, min_group: int) -> DataFrame:
@@ -141,79 +153,183 @@ def _bin_quantile(rows: DataFrame, value: Column, key: list[str], share: float,
             .groupBy(*key).agg(F.min("__bin").alias(name)))
 
 
-def _inverse_root(cov: list[list[Column]]) -> list[list[Column]]:
-    """Cholesky factor of a covariance given as columns, row by row."""
-    p = len(cov)
-    low: list[list[Column]] = [[F.lit(0.0)] * p for _ in range(p)]
-    for i in range(p):
-        for j in range(i + 1):
-            rest = cov[i][j]
-            for k in range(j):
-                rest = rest - low[i][k] * low[j][k]
-            low[i][j] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / low[j][j]
-    return low
-
-
-def _squared_distance() -> Column:
-    """Mahalanobis distance from the columns ``m_i`` and the factor ``l_i_j``."""
-    solved: list[Column] = []
+def _decorrelated(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``y_i``, the features from the centre ``m_i`` divided by the factor ``l_i_j``.
+    One column after the other: nested, they would repeat one another."""
     for i, x in enumerate(FEATURES):
         rest = F.col(x) - F.col(f"m_{i}")
         for j in range(i):
-            rest = rest - F.col(f"l_{i}_{j}") * solved[j]
-        solved.append(rest / F.col(f"l_{i}_{i}"))
-    total = solved[0] * solved[0]
-    for s in solved[1:]:
-        total = total + s * s
-    return total
+            rest = rest - F.col(f"l_{i}_{j}") * F.col(f"y_{j}")
+        rows = rows.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
+    return rows
 
 
-def _factor(cov: dict[tuple[int, int], Column], means: list[Column]) -> list[Column]:
-    p = len(FEATURES)
-    full = [[cov[max(i, j), min(i, j)] for j in range(p)] for i in range(p)]
-    low = _inverse_root(full)
-    return [*[m.alias(f"m_{i}") for i, m in enumerate(means)],
-            *[low[i][j].alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)]]
+def _with_distance(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__far``, the squared Mahalanobis distance by the estimate beside them."""
+    ys = [f"y_{i}" for i in range(len(FEATURES))]
+    far = sum((F.col(y) * F.col(y) for y in ys), F.lit(0.0))
+    return _decorrelated(rows).withColumn("__far", far).drop(*ys)
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """First estimate of each group: medians and half the middle range, feature by feature."""
+def _factored(groups: DataFrame) -> DataFrame:
+    """``groups`` with the Cholesky factor ``l_i_j`` of the covariance ``v_i_j`` in its place, and
+    ``__spread``, half the log determinant.
+
+    What a feature spreads beyond the ones before it is at least ``f_i``; this alone is where the
+    floors come in, so a spread above them is the estimate's own.
+    """
     p = len(FEATURES)
-    long = rows.select("__g", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("f"), F.col(x).alias("v")) for i, x in enumerate(FEATURES)
-    ])).alias("e")).select("__g", "e.f", "e.v")
+    for i in range(p):
+        for j in range(i + 1):
+            rest = F.col(f"v_{i}_{j}")
+            for k in range(j):
+                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+            value = F.sqrt(F.greatest(rest, F.col(f"f_{i}") * F.col(f"f_{i}"))) if i == j \
+                else rest / F.col(f"l_{j}_{j}")
+            groups = groups.withColumn(f"l_{i}_{j}", value)
+    spread = sum((F.log(f"l_{i}_{i}") for i in range(p)), F.lit(0.0))
+    return groups.withColumn("__spread", spread) \
+        .drop(*[f"v_{i}_{j}" for i in range(p) for j in range(i + 1)])
+
+
+def _medians(rows: DataFrame, columns: tuple[str, ...],
+             shares: tuple[tuple[str, float], ...] = (("q2", 0.5),),
+             key: tuple[str, ...] = ("__g",)) -> DataFrame:
+    """One row for each group: the quantiles of the columns, to half a bin."""
+    long = rows.select(*key, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("f"), F.col(x).alias("v")) for i, x in enumerate(columns)
+    ])).alias("e")).select(*key, "e.f", "e.v")
     found = None
-    for name, share in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)):
-        part = _bin_quantile(long, F.col("v"), ["__g", "f"], share, name)
-        part = part.select("__g", "f", F.lit(name).alias("q"), F.col(name).alias("b"))
+    for name, share in shares:
+        part = _bin_quantile(long, F.col("v"), [*key, "f"], share, name)
+        part = part.select(*key, "f", F.lit(name).alias("q"), F.col(name).alias("b"))
         found = part if found is None else found.union(part)
-    wide = found.groupBy("__g").agg(*[
+    return found.groupBy(*key).agg(*[
         F.max(F.when((F.col("f") == i) & (F.col("q") == q), (F.col("b") + 0.5) / BINS_PER_UNIT))
-        .alias(f"{q}_{i}") for i in range(p) for q in ("q1", "q2", "q3")])
-    cov = {(i, j): F.pow(F.greatest((F.col(f"q3_{i}") - F.col(f"q1_{i}")) / 1.349,
-                                    F.lit(FLOORS[i])), 2) if i == j else F.lit(0.0)
-           for i in range(p) for j in range(i + 1)}
-    return wide.select("__g", *_factor(cov, [F.col(f"q2_{i}") for i in range(p)]))
+        .alias(f"{q}_{x}") for i, x in enumerate(columns) for q, _ in shares])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three first estimates of each group (``__s``).
+
+    Around the medians, the spreads are the middle ranges of the features; the correlations are
+    none, those of the directions from the median, and those told by the middle ranges of sums
+    and differences of two features (Gnanadesikan and Kettenring).
+    Centre and spread are then taken again as medians and middle ranges of the features so
+    decorrelated, as outliers between correlated features are within the range of each.
+    """
+    p = len(FEATURES)
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    middle = _medians(rows, FEATURES, QUARTILES)
+    sizes = _medians(rows, SIZES).withColumnRenamed("__g", "__h")
+    middle = middle.join(sizes, F.col("__g").eqNullSafe(F.col("__h"))).drop("__h")
+    floors = [(0.5 * F.exp(-0.5 * F.col(f"q2_{z}"))).alias(f"f_{i}") for i, z in enumerate(SIZES)]
+    middle = middle.select("__g", *floors, *[
+        F.col(f"q2_{x}").alias(f"c_{i}") for i, x in enumerate(FEATURES)], *[
+        ((F.col(f"q3_{x}") - F.col(f"q1_{x}")) / 1.349).alias(f"r_{i}")
+        for i, x in enumerate(FEATURES)])
+    middle = cut_lineage(middle.select("*", *[
+        F.greatest(f"r_{i}", f"f_{i}").alias(f"s_{i}") for i in range(p)]))
+    n_groups = middle.count()
+    scaled = _attach(rows, middle, n_groups).select("__g", *[
+        ((F.col(x) - F.col(f"c_{i}")) / F.col(f"s_{i}")).alias(f"u_{i}")
+        for i, x in enumerate(FEATURES)])
+    norm = F.greatest(sum((F.col(f"u_{i}") * F.col(f"u_{i}") for i in range(1, p)),
+                          F.col("u_0") * F.col("u_0")), F.lit(1e-12))
+    moments = scaled.groupBy("__g").agg(
+        *[F.avg(F.col(f"u_{i}") * F.col(f"u_{j}") / norm).alias(f"a_{i}_{j}") for i, j in pairs])
+    crossed = [(i, j) for i, j in pairs if i != j]
+    far = [(f"{sign}_{i}_{j}", F.col(f"u_{i}") + F.lit(k) * F.col(f"u_{j}"))
+           for i, j in crossed for sign, k in (("plus", 1.0), ("minus", -1.0))]
+    ranges = _medians(scaled.select("__g", *[
+        F.least(F.greatest(v, F.lit(-1e4)), F.lit(1e4)).alias(c) for c, v in far]),
+        tuple(c for c, _ in far), (QUARTILES[0], QUARTILES[2])).withColumnRenamed("__g", "__h")
+    known = _attach(moments, middle, n_groups)
+    known = known.join(ranges, known["__g"].eqNullSafe(ranges["__h"])).drop("__h")
+    found = None
+    for s in range(3):
+        def covariance(i: int, j: int) -> Column:
+            spread = F.col(f"s_{i}") * F.col(f"s_{j}")
+            if i == j or s == 0:
+                return spread if i == j else F.lit(0.0)
+            if s == 1:
+                part, whole = F.col(f"a_{i}_{j}"), F.sqrt(F.col(f"a_{i}_{i}") * F.col(f"a_{j}_{j}"))
+            else:
+                a, b = (F.pow(F.col(f"q3_{c}_{i}_{j}") - F.col(f"q1_{c}_{i}_{j}"), 2)
+                        for c in ("plus", "minus"))
+                part, whole = a - b, a + b
+            return F.when(whole > 0, part / whole).otherwise(0.0) * spread
+        part = known.select(
+            "__g", F.lit(s).alias("__s"), *[f"f_{i}" for i in range(p)],
+            *[F.col(f"c_{i}").alias(f"m_{i}") for i in range(p)],
+            *[covariance(i, j).alias(f"v_{i}_{j}") for i, j in pairs])
+        found = part if found is None else found.union(part)
+    first = cut_lineage(_factored(found))
+    ys = tuple(f"y_{i}" for i in range(p))
+    again = _medians(_decorrelated(_attach(rows, first, n_groups)).select("__g", "__s", *[
+        F.least(F.greatest(y, F.lit(-1e4)), F.lit(1e4)).alias(y) for y in ys]), ys, QUARTILES,
+        ("__g", "__s")).withColumnsRenamed({"__g": "__h", "__s": "__t"})
+    both = first.join(again, first["__g"].eqNullSafe(again["__h"]) & (F.col("__s") == F.col("__t")))
+    ranges = [(F.col(f"q3_{y}") - F.col(f"q1_{y}")) / 1.349 for y in ys]
+    factor = {(i, j): F.greatest(F.col(f"l_{i}_{j}") * ranges[j], F.col(f"f_{i}")) if i == j
+              else F.col(f"l_{i}_{j}") * ranges[j] for i in range(p) for j in range(i + 1)}
+    centre = [F.col(f"m_{i}") + sum((F.col(f"l_{i}_{j}") * F.col(f"q2_{ys[j]}")
+                                     for j in range(i + 1)), F.lit(0.0)) for i in range(p)]
+    return both.select("__g", "__s", *[f"f_{i}" for i in range(p)],
+                       *[centre[i].alias(f"m_{i}") for i in range(p)],
+                       *[c.alias(f"l_{i}_{j}") for (i, j), c in factor.items()], "__spread")
 
 
 def _concentrate(rows: DataFrame, estimate: DataFrame, n_groups: int, kept_share: float) -> DataFrame:
-    """One concentration step: mean and covariance of the nearest rows of each group."""
+    """One concentration step: mean and covariance of the nearest rows for each estimate.
+
+    Bins are of the distance's logarithm, so there are a few thousand of them at most.
+    """
     p = len(FEATURES)
-    far = _attach(rows, estimate, n_groups).select(
-        "__g", *FEATURES, F.least(_squared_distance(), F.lit(1e6)).alias("__d"))
-    limit = _bin_quantile(far, F.col("__d"), ["__g"], kept_share, "__limit") \
-        .withColumnRenamed("__g", "__h")
-    near = _with_groups(far, limit, far["__g"].eqNullSafe(limit["__h"]), n_groups) \
+    far = _with_distance(_attach(rows, estimate, n_groups)).select(
+        "__g", "__s", *FEATURES, *[f"f_{i}" for i in range(p)], "__spread",
+        F.log1p(F.least(F.col("__far"), F.lit(1e9))).alias("__d"))
+    limit = _bin_quantile(far, F.col("__d"), ["__g", "__s"], kept_share, "__limit") \
+        .select(F.col("__g").alias("__h"), F.col("__s").alias("__t"), "__limit")
+    near = _with_groups(far, limit, far["__g"].eqNullSafe(limit["__h"])
+                        & (far["__s"] == limit["__t"]), n_groups) \
         .where(F.floor(F.col("__d") * BINS_PER_UNIT) <= F.col("__limit"))
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    sums = near.groupBy("__g").agg(
-        F.count("*").alias("n"), *[F.avg(x).alias(f"a_{i}") for i, x in enumerate(FEATURES)],
+    sums = near.groupBy("__g", "__s").agg(
+        *[F.max(f"f_{i}").alias(f"f_{i}") for i in range(p)], F.max("__spread").alias("__before"),
+        *[F.avg(x).alias(f"a_{i}") for i, x in enumerate(FEATURES)],
         *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"c_{i}_{j}") for i, j in pairs])
     # The nearest rows of a normal group spread less than the group; this undoes it.
     scale = kept_share / chi2_cdf(chi2_quantile(kept_share, p), p + 2)
-    cov = {(i, j): (F.col(f"c_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * scale
-           + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in pairs}
-    return sums.select("__g", *_factor(cov, [F.col(f"a_{i}") for i in range(p)]))
+    return _factored(sums.select(
+        "__g", "__s", "__before", *[f"f_{i}" for i in range(p)],
+        *[F.col(f"a_{i}").alias(f"m_{i}") for i in range(p)],
+        *[((F.col(f"c_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * scale).alias(f"v_{i}_{j}")
+          for i, j in pairs]))
+
+
+def minimum_covariance(rows: DataFrame, kept_share: float = KEPT_SHARE,
+                       steps: int = STEPS) -> tuple[DataFrame, int]:
+    """The estimate of each group ``__g`` of rows with the features and sizes, and their number.
+
+    Every start takes ``TRIAL_STEPS`` concentration steps; the one of least determinant in its
+    group goes on until no determinant moves, or for ``steps`` steps. One number a step comes to
+    the driver.
+    """
+    estimate = cut_lineage(_starts(rows))
+    n_groups = estimate.count()
+    for _ in range(TRIAL_STEPS):
+        estimate = cut_lineage(_concentrate(rows, estimate, n_groups, kept_share))
+    best = Window.partitionBy("__g").orderBy("__spread", "__s")
+    estimate = cut_lineage(estimate.select("*", F.row_number().over(best).alias("__i"))
+                           .where("__i = 1").drop("__i"))
+    n_groups = estimate.count()
+    for _ in range(steps):
+        estimate = cut_lineage(_concentrate(rows, estimate, n_groups, kept_share))
+        moved = estimate.agg(F.max(F.abs(F.col("__spread") - F.col("__before")))).first()[0]
+        if moved is None or 2 * moved <= TOLERANCE:
+            break
+    return estimate.drop("__s", "__before", "__spread"), n_groups
 
 
 def _attach(rows: DataFrame, estimate: DataFrame, n_groups: int) -> DataFrame:
@@ -229,13 +345,15 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines
     with a word that equal an earlier one) and ``n_repeat_words`` (words in windows of five that
     occur twice or more) are counted on whole texts. ``base_failed`` holds for fewer than ten
-    words or more than 20 % repeated words. All other rows are judged by a vector of four
-    transformed statistics, each shrunk for short texts: log mean word length and the roots of
-    the shares of symbols, repeated lines and repeated words. For each language and source,
-    location and covariance are estimated by minimum covariance determinant: from medians,
-    concentration steps take the nearest ``kept_share`` of the rows and estimate anew. Rows
-    whose Mahalanobis distance is beyond the chi-square limit of ``tail`` are not kept. Small
-    groups are judged together (see ``min_group``).
+    ten words or more than 20 % repeated words. All other rows are judged by a vector of four
+    transformed statistics: log mean word length from the group's median, weighted by the root of
+    ``n / (n + 1000)``, and the roots of the shares of symbols, repeated lines and repeated words.
+    For each language and source, location and covariance are estimated by minimum covariance
+    determinant (``minimum_covariance``): concentration steps from three starts take the nearest
+    ``kept_share`` of the rows and estimate anew. Rows whose Mahalanobis distance is beyond the
+    chi-square limit of ``tail``, the share of falsely rejected rows in a normal group, are not
+    kept. A feature spreads by its sampling error at least (see ``SIZES``). Small groups are
+    judged together (see ``min_group``).
 
     A null or empty text has no words and fails the base rules; null languages and sources form
     groups of their own; repeated rows are judged alike; an empty table gives no rows; columns
@@ -252,18 +370,21 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = cut_lineage(_features(stats).select("*", failed.alias("base_failed")))
     asked = _grouped(rows, lang_col, source_col, min_group)
-    asked = cut_lineage(asked)
-    sound = asked.where(~F.col("base_failed")).select("__g", *FEATURES)
-    estimate = cut_lineage(_start(sound))
-    n_groups = estimate.count()
-    for _ in range(steps):
-        estimate = cut_lineage(_concentrate(sound, estimate, n_groups, kept_share))
+    usual = _medians(asked.where(~F.col("base_failed")), ("__length",)).withColumnRenamed("__g", "__h")
+    weight = F.sqrt(F.col("n_words") / (F.col("n_words") + float(LENGTH_WORDS)))
+    asked = cut_lineage(
+        asked.join(lookup_side(usual), asked["__g"].eqNullSafe(usual["__h"]), "left")
+        .withColumn("x_length", (F.col("__length") - F.col("q2___length")) * weight)
+        .drop("__h", "__length", "q2___length"))
+    sound = asked.where(~F.col("base_failed")).select("__g", *FEATURES, *SIZES)
+    estimate, n_groups = minimum_covariance(sound, kept_share, steps)
     limit = chi2_quantile(1 - tail, len(FEATURES))
     named = estimate.withColumnRenamed("__g", "__h")
     on = asked["__g"].eqNullSafe(named["__h"])
     judged = asked.join(F.broadcast(named) if n_groups <= MAX_GROUPS else lookup_side(named),
                         on, "left")
-    distance = F.when(~F.col("base_failed"), F.sqrt(_squared_distance()))
+    judged = _with_distance(judged)
+    distance = F.when(~F.col("base_failed"), F.sqrt("__far"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= math.sqrt(limit))
     return judged.select("*", distance.alias("distance")).select(
         *together([c for c in given.columns if c != text_col], used), *names[:6], "base_failed",
