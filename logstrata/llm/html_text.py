@@ -14,7 +14,7 @@ from logstrata.llm.common import append_columns
 
 SIGMA = 1.0     # width of the Gaussian, in lines
 SHARE = 0.5     # a line is content from this share of the threshold on
-MOST = 0.5      # an element with more than this share of the page's text is no furniture
+NAMED = 0.25    # weight of a line's text for each element around it that is named like furniture
 
 # Names of HTML elements and of the usual page furniture.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
@@ -47,28 +47,37 @@ NEVER = {"head", "script", "style", "noscript", "template", "button", "select",
 
 
 def _furniture(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> str:
-    """"never" for what is no text, not shown or comments in an article, "named" for furniture by
-    its name, else ""."""
+    """What an element's name says: "never" for what is no text, not shown or a comment, "named"
+    for furniture, "doubtful" for a name with other words in it within an article, else ""."""
     if tag in NEVER:
         return "never"
-    named = tag in LEFT_OUT and not (tag == "header" and in_main)
-    if tag in ("html", "body", *MAIN):
+    if tag in ("html", "body", "main"):
         return ""
+    found = "named" if tag in LEFT_OUT and not (tag == "header" and in_main) else ""
     for name, value in attrs:
         value = value or ""
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             return "never"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return "never"
-        if name in ("class", "id"):
-            found = {t.lower() for t in _TOKEN.findall(value)} & FURNITURE
-            if in_main and found & COMMENTS:
+        for word in value.split() if name in ("class", "id") else ():
+            tokens = [t.lower() for t in _TOKEN.findall(word)]
+            if tag == "article":
+                # Comments are often articles of their own: "comment", "comment-body".
+                if tokens[:1] == ["comment"]:
+                    return "never"
+                continue
+            if in_main and COMMENTS & set(tokens):
                 return "never"
             # The header of an article is its title, as the element of that name is.
-            named = named or bool(found - {"header"} if in_main else found)
-        if name == "role" and value.strip().lower() in ROLES:
-            named = True
-    return "named" if named else ""
+            names = [t in FURNITURE and not (in_main and t == "header") for t in tokens]
+            if any(names) and (all(names) or not in_main):
+                found = "named"
+            elif any(names):
+                found = found or "doubtful"
+        if name == "role" and value.strip().lower() in ROLES and tag != "article":
+            found = "named"
+    return found
 
 
 class LineReader(HTMLParser):
@@ -80,6 +89,7 @@ class LineReader(HTMLParser):
         self.open: list[tuple[str, int]] = []      # (tag, number of the element)
         self.out_at: list[int] = []                # places in ``open`` of what is never text
         self.named: set[int] = set()               # elements that are furniture by name
+        self.doubtful: set[int] = set()            # elements with a part of such a name
         self.holders: set[int] = set()             # elements that hold an article or main element
         self.free = False                          # whether one is in no element named so
         self.main = 0
@@ -111,6 +121,8 @@ class LineReader(HTMLParser):
             self.out_at.append(len(self.open))
         elif kind == "named":
             self.named.add(self.elements)
+        elif kind == "doubtful":
+            self.doubtful.add(self.elements)
         if tag in MAIN and not self.out_at:
             self.holders.update(n for _, n in self.open)
             self.free |= not any(n in self.named for _, n in self.open)
@@ -144,45 +156,25 @@ class LineReader(HTMLParser):
             self.text.append(data)
 
 
-def read_lines(html: str) -> list[tuple[str, int, tuple[tuple[str, int], ...]]]:
-    """The lines outside furniture.
+def read_lines(html: str) -> LineReader:
+    """The lines of a page, and which elements are named like furniture.
 
-    An element named like furniture stays if it holds more than ``MOST`` of the page's text, less
-    that in other furniture within it, or an article or main element of a page that has none
-    elsewhere. Comments within an article or main element never stay.
+    Where all articles are within such elements, those around them are not furniture.
     """
     reader = LineReader()
     reader.feed(html)
     reader.close()
     reader.end_line()
-    lines, named = reader.lines, reader.named
-    if not named:
-        return lines
     if not reader.free:
-        named = named - reader.holders
-    everything = sum(len(text) for text, _, _ in lines)
-    while True:  # once for each level of furniture that stays
-        inside: dict[int, int] = {}
-        for text, _, path in lines:
-            innermost = next((n for _, n in reversed(path) if n in named), None)
-            if innermost is not None:
-                inside[innermost] = inside.get(innermost, 0) + len(text)
-        stays = {n for n, size in inside.items() if size > MOST * everything}
-        if not stays:
-            break
-        named = named - stays
-    out, tags = [], 0
-    for text, count, path in lines:
-        tags += count
-        if not any(n in named for _, n in path):
-            out.append((text, tags, path))
-            tags = 0
-    return out
+        reader.named -= reader.holders
+    return reader
 
 
 def content_lines(sizes: np.ndarray, tags: np.ndarray, sigma: float = SIGMA,
-                  share: float = SHARE) -> np.ndarray:
-    """Whether a line is content: its smoothed text-to-tag ratio against a two-means threshold."""
+                  share: float = SHARE) -> tuple[np.ndarray, float]:
+    """Whether a line is content: its smoothed text-to-tag ratio against a two-means threshold.
+
+    The second result is the least ratio of content."""
     ratio = sizes / np.maximum(1, tags)
     reach = max(1, int(np.ceil(3 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -198,51 +190,71 @@ def content_lines(sizes: np.ndarray, tags: np.ndarray, sigma: float = SIGMA,
         if new == (low, high):
             break
         low, high = new
-    return smooth >= share * (low + high) / 2
+    cut = share * (low + high) / 2
+    return smooth >= cut, cut
 
 
 def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
     """The lines of the content region, in page order, joined by line breaks."""
-    lines = read_lines(html) if html else []
-    if not lines:
+    reader = read_lines(html) if html else None
+    if reader is None or not reader.lines:
         return ""
+    lines, named = reader.lines, reader.named
     sizes = np.array([len(t) for t, _, _ in lines], np.float64)
-    content = content_lines(sizes, np.array([n for _, n, _ in lines], np.float64), sigma, share)
-    weight = np.where(content, sizes, 0.0)
+    tags = np.maximum(1, np.array([n for _, n, _ in lines], np.float64))
+    # Names weigh lines down by what they lie in beyond the rest of the page.
+    depth = np.array([sum(n in named for _, n in path) for _, _, path in lines])
+    weighed = sizes * NAMED ** (depth - depth.min())
+    content, cut = content_lines(weighed, tags, sigma, share)
+    weight = np.where(content, weighed, 0.0)
     mass: dict[tuple[str, int], float] = {}
     for (_, _, path), w in zip(lines, weight.tolist()):
         for element in path:
             mass[element] = mass.get(element, 0.0) + w
-    marked = [e for e in mass if e[0] in MAIN]
+    free = [e for _, _, path in lines for k, e in enumerate(path)
+            if e[0] in MAIN and not any(n in named for _, n in path[:k])]
+    marked = [e for e in free if e[0] == "article"] or free
     if marked:
-        # Articles within main are closer to the text; of several the one with most content.
-        articles = [e for e in marked if e[0] == "article"] or marked
-        region = max(articles, key=lambda e: (mass[e], -e[1]))
-        return "\n".join(t for t, _, path in lines if region in path)
-    # No such element: the innermost block with nearly all of the content.
+        # Articles within main are closer to the text; those with content lines are the text.
+        region = {n for e, n in marked if mass[e, n] > 0} or {n for _, n in marked}
+        amount: dict[int, np.ndarray] = {}
+        for (_, _, path), size, count in zip(lines, sizes.tolist(), tags.tolist()):
+            for _, n in path:
+                if n in reader.doubtful:
+                    amount[n] = amount.get(n, np.zeros(2)) + (size, count)
+        thin = {n for n, (size, count) in amount.items() if size < cut * count}
+        out = []
+        for text, _, path in lines:
+            start = next((k for k, (_, n) in enumerate(path) if n in region), None)
+            if start is not None and not any(n in named or n in thin for _, n in path[start:]):
+                out.append(text)
+        return "\n".join(out)
+    # No such element: the innermost block with nearly all of the content. Lines in furniture
+    # stay only where their own ratio, weighed down, is that of content.
+    stays = (depth == depth.min()) | (content & (weighed >= cut * tags))
     whole = float(weight.sum())
     inside = [e for e in mass if e[0] not in INLINE and e[0] != "p" and mass[e] >= 0.9 * whole]
+    kept = [(t, c, path) for (t, _, path), c, s in zip(lines, content, stays) if s]
     if inside:
         region = max(inside, key=lambda e: e[1])
-        lines = [(t, c) for (t, _, path), c in zip(lines, content) if region in path]
+        kept = [line for line in kept if region in line[2]]
         if region[0] not in ("html", "body"):
-            return "\n".join(t for t, _ in lines)
-    else:
-        lines = [(t, c) for (t, _, _), c in zip(lines, content)]
+            return "\n".join(t for t, _, _ in kept)
     # The page itself: from the first to the last line of content.
-    at = [i for i, (_, c) in enumerate(lines) if c] or [0, len(lines) - 1]
-    return "\n".join(t for t, _ in lines[at[0]:at[-1] + 1])
+    at = [i for i, (_, c, _) in enumerate(kept) if c] or [0, len(kept) - 1]
+    return "\n".join(t for t, _, _ in kept[at[0]:at[-1] + 1])
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text of each page and ``n_chars``, its code points.
 
-    The parser's events give one line for each block. Furniture (menus, headers outside the
-    article, footers, sidebars, notices, adverts, forms, comments, scripts, hidden parts) is left
-    out by element, role, class and id, but what only has the name of it stays (see
-    ``read_lines``). On the rest, text-to-tag ratios are smoothed and split
-    in two clusters; the region is the article (or main element) with most content, else the
-    innermost block with nearly all of it, and is kept whole. White space inside a block becomes
+    The parser's events give one line for each block. Text-to-tag ratios of the lines are smoothed
+    and split in two clusters; names of furniture (menus, headers outside the article, footers,
+    sidebars, notices, adverts, forms, comments) in elements, roles, classes and ids weigh a
+    line's text down first. The region is every article (or main element) with lines of content,
+    else the innermost block with nearly all of it. Within an article, furniture and comments go,
+    and what only has a part of such a name goes if its ratio is below that of content; the rest
+    is kept whole. Scripts and hidden parts are no text. White space inside a block becomes
     one space, blocks are joined by one line break. Null, empty and textless pages give an empty
     text, broken markup is read as far as it makes sense, repeated rows give the same, columns
     named like a result are replaced.
