@@ -138,8 +138,9 @@ def _with_groups(rows: DataFrame, groups: DataFrame, on: Column, count: int | No
     return rows.join(lookup_side(groups), on)
 
 
-def _bin_quantile(rows: DataFrame, value: Column, key: list[str], share: float, name: str) -> DataFrame:
-    """The least bin up to which a group has at least ``share`` of its rows.
+def _bin_quantiles(rows: DataFrame, value: Column, key: list[str],
+                   shares: tuple[tuple[str, float], ...]) -> DataFrame:
+    """The least bins up to which a group has at least each share of its rows, by name.
 
     Exact on bins, so the same at any partitioning, and rows are counted before the shuffle.
     """
@@ -149,8 +150,9 @@ def _bin_quantile(rows: DataFrame, value: Column, key: list[str], share: float,
     run = F.sum("__c").over(group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum("__c").over(group)
     return (bins.select(*key, "__bin", run.alias("__r"), whole.alias("__t"))
-            .where(F.col("__r") >= F.ceil(F.col("__t") * share))
-            .groupBy(*key).agg(F.min("__bin").alias(name)))
+            .groupBy(*key).agg(*[
+                F.min(F.when(F.col("__r") >= F.ceil(F.col("__t") * share), F.col("__bin")))
+                .alias(name) for name, share in shares]))
 
 
 def _decorrelated(rows: DataFrame) -> DataFrame:
@@ -199,14 +201,10 @@ def _medians(rows: DataFrame, columns: tuple[str, ...],
     long = rows.select(*key, F.explode(F.array(*[
         F.struct(F.lit(i).alias("f"), F.col(x).alias("v")) for i, x in enumerate(columns)
     ])).alias("e")).select(*key, "e.f", "e.v")
-    found = None
-    for name, share in shares:
-        part = _bin_quantile(long, F.col("v"), [*key, "f"], share, name)
-        part = part.select(*key, "f", F.lit(name).alias("q"), F.col(name).alias("b"))
-        found = part if found is None else found.union(part)
+    found = _bin_quantiles(long, F.col("v"), [*key, "f"], shares)
     return found.groupBy(*key).agg(*[
-        F.max(F.when((F.col("f") == i) & (F.col("q") == q), (F.col("b") + 0.5) / BINS_PER_UNIT))
-        .alias(f"{q}_{x}") for i, x in enumerate(columns) for q, _ in shares])
+        F.max(F.when(F.col("f") == i, (F.col(q) + 0.5) / BINS_PER_UNIT)).alias(f"{q}_{x}")
+        for i, x in enumerate(columns) for q, _ in shares])
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -289,7 +287,7 @@ def _concentrate(rows: DataFrame, estimate: DataFrame, n_groups: int, kept_share
     far = _with_distance(_attach(rows, estimate, n_groups)).select(
         "__g", "__s", *FEATURES, *[f"f_{i}" for i in range(p)], "__spread",
         F.log1p(F.least(F.col("__far"), F.lit(1e9))).alias("__d"))
-    limit = _bin_quantile(far, F.col("__d"), ["__g", "__s"], kept_share, "__limit") \
+    limit = _bin_quantiles(far, F.col("__d"), ["__g", "__s"], (("__limit", kept_share),)) \
         .select(F.col("__g").alias("__h"), F.col("__s").alias("__t"), "__limit")
     near = _with_groups(far, limit, far["__g"].eqNullSafe(limit["__h"])
                         & (far["__s"] == limit["__t"]), n_groups) \
