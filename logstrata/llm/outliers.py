@@ -17,8 +17,8 @@ RUN = 5                  # words of a window that may be repeated
 MIN_GROUP = 200          # fewer rows of a language and source join the rest of the language
 KEPT_SHARE = 0.75        # share of a group that the estimate is made from
 TRIAL_STEPS = 2          # concentration steps of every start
-STEPS = 20               # most concentration steps of the best start
-TOLERANCE = 1e-3         # it ends where no log determinant moves by more
+STEPS = 6                # most concentration steps of the best start
+TOLERANCE = 1e-2         # it ends where no log determinant moves by more
 MAX_GROUPS = 50_000      # above it the estimates are joined by a shuffle
 TAIL = 1e-6              # false rejections: share of the rows of a normal group beyond the limit
 # Added to the sizes of texts, so that short ones have statistics of about the same spread.
