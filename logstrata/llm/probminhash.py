@@ -24,7 +24,7 @@ SLOTS = BANDS * ROWS
 # fewer than 78 with probability 2e-5.
 AGREE = 78
 HUBS = 2                     # hubs of a mixed bucket in one round
-TRIALS = 2                   # rounds of hubs before the rest is joined by its rare shingles
+TRIALS = 1                   # rounds of hubs before the rest is joined by its rare shingles
 
 
 # ---------------------------------------------------------------- signatures
