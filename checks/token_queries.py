@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.cohort_queries import ISSUE_IDS, LABEL
 from checks.registry import query
 from logstrata.functions.languages import (JAVA_KEYWORDS, JAVA_WORD_TYPES, is_keyword,
-                                           java_keywords, lexer_name)
+                                           java_keywords, lexer_name, lexer_of_file)
 from logstrata.operators import diff, tokens
 from logstrata.plans.history import History
 
@@ -80,6 +80,63 @@ def lexer_names(t):
     return t("fx_files").select("path", lexer_name(F.col("path")).alias("lexer_name"))
 
 
+UNNAMED = """
+    select source || '/d' || cast(doc_id as {{TEXT}})
+           || case when doc_id % 11 = 9 then '.java' else '' end path,
+           case doc_id % 11
+                when 0 then '#!/usr/bin/env python3' when 1 then '#!/bin/sh'
+                when 2 then '<?xml version="1.0"?>' when 3 then '# -*- mode: ruby -*-'
+                when 4 then '/* vim: set ft=c: */'
+                when 5 then concat('package a.b;', {{LF}}, 'import java.util.List;')
+                when 6 then concat('import os', {{LF}}, 'def f(x):')
+                when 7 then '#include <stdio.h>' when 8 then concat('def f', {{LF}}, 'end')
+                else '' end || {{LF}} || coalesce(text, '') text
+    from documents"""
+# A table of its own: typical lines with weights; place decides between equal sums.
+LINE_RULES = r"""
+    select * from (values
+        ('Python', 1, '^[ \t]*def [A-Za-z0-9_]+\(.*:[ \t]*$', 2),
+        ('Python', 1, '^[ \t]*class [A-Za-z0-9_]+.*:[ \t]*$', 1),
+        ('Python', 1, '^import [A-Za-z0-9_.]+$', 1),
+        ('Python', 1, '^from [A-Za-z0-9_.]+ import .*$', 1),
+        ('Bash', 6, '; (then|do)$', 2), ('Bash', 6, '^[ \t]*(fi|done|esac)$', 1),
+        ('Ruby', 4, '^require [''"]', 2), ('Ruby', 4, '^[ \t]*def [A-Za-z0-9_]+(\(.*\))?$', 2),
+        ('Ruby', 4, '^[ \t]*end$', 1),
+        ('JavaScript', 5, '^[ \t]*(const|let|var) [A-Za-z0-9_]+ = ', 1),
+        ('JavaScript', 5, '^(export )?function [A-Za-z0-9_]+\(', 2),
+        ('Java', 0, '^package [A-Za-z0-9_.]+;', 3),
+        ('Java', 0, '^import (static )?[A-Za-z0-9_.]+(\.\*)?;', 2),
+        ('Java', 0, '^[ \t]*(public|private|protected) [^;{=]*[;{=]', 1),
+        ('C', 2, '^#include [<"]', 3), ('C', 2, '^#(define|ifdef|ifndef|endif)\b', 2),
+        ('Go', 3, '^package [A-Za-z0-9_]+$', 3), ('Go', 3, '^func [(A-Za-z0-9_]', 2),
+        ('Makefile', 7, '^[A-Za-z0-9_.-]+:[^=\n]*\n\t', 3),
+        ('SQL', 8, '^(SELECT|CREATE TABLE|INSERT INTO|UPDATE|DELETE FROM) ', 2))
+        rules(language, place, mark, weight)"""
+
+
+@query("lexer_names_by_content", """
+       select path, case when path like '%.java' then 'Java'
+           when starts_with(text, '#!/usr/bin/env python3') then 'Python'
+           when starts_with(text, '#!/bin/sh') then 'Bash'
+           when starts_with(text, '<?xml ') then 'XML'
+           when starts_with(text, '# -*- mode: ruby') then 'Ruby'
+           when starts_with(text, '/* vim: set ft=c') then 'C'
+           else coalesce(language, 'Text only') end lexer_name
+       from unnamed left join (
+           select path p, language from (
+               select path, language, place, sum(weight * len(regexp_extract_all(
+                          text, '(?m)' || mark))) score
+               from unnamed, line_rules group by all)
+           where score >= 3
+           qualify row_number() over (partition by path order by score desc, place) = 1)
+       on path = p""", unnamed=UNNAMED.replace("{{TEXT}}", "varchar").replace("{{LF}}", "chr(10)"),
+       line_rules=LINE_RULES)
+def lexer_names_by_content(t):
+    """Files without an extension, with every kind of evidence, and named ones among them."""
+    files = t.sql(UNNAMED.replace("{{TEXT}}", "string").replace("{{LF}}", "char(10)"))
+    return files.select("path", lexer_of_file(F.col("path"), F.col("text")).alias("lexer_name"))
+
+
 @query("tokenize", """select commit_sha sha, path, lexer_name, token_no, token_content,
                              token_type from typed""", **NAMED)
 def tokenize(t):

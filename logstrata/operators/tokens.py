@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logstrata.functions.languages import (HASH_COMMENTS, JAVA_KEYWORDS, JAVA_WORD_TYPES,
-                                           NO_COMMENTS, lexer_name)
+                                           NO_COMMENTS, lexer_of_file)
 from logstrata.functions.text import not_blank
 from logstrata.operators.intervals import overlap_join
 from logstrata.operators.numbering import running_before, with_line_number
@@ -114,7 +114,7 @@ def tokenize(blobs: DataFrame, offsets: bool = True) -> DataFrame:
     """
     key = keys(blobs, "sha", "path")
     lexer = F.col("lexer_name")
-    cut = (blobs.select(*key, lexer_name(F.col("path")).alias("lexer_name"), "text")
+    cut = (blobs.select(*key, lexer_of_file(F.col("path"), F.col("text")).alias("lexer_name"), "text")
            .withColumn("pieces", _pieces(_unix_text(F.col("text")), lexer))
            .select(*key, "lexer_name", "pieces"))
     indexed = F.transform("pieces", lambda piece, i: F.struct(
@@ -163,7 +163,7 @@ def line_tokens(files: DataFrame) -> DataFrame:
     """
     kept = [name for name in files.columns if name not in ("text", "line_numbers")]
     lexer = F.col("lexer_name")
-    cut = (files.withColumn("lexer_name", lexer_name(F.col("path")))
+    cut = (files.withColumn("lexer_name", lexer_of_file(F.col("path"), F.col("text")))
            .withColumn("text", _unix_text(F.col("text"))))
     cut = cut.select(*kept, "lexer_name", "line_numbers", F.split("text", "\n").alias("lines"),
                      _pieces(F.col("text"), lexer).alias("pieces"))

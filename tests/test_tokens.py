@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from logstrata.functions.languages import JAVA_KEYWORDS, java_keywords, lexer_name
+from logstrata.functions.languages import JAVA_KEYWORDS, java_keywords, lexer_name, lexer_of_file
 from logstrata.operators import tokens
 
 CODE = """import java.util.List; // first
@@ -136,3 +136,33 @@ def test_content_tokens_take_the_version_of_the_side(spark):
         (6, 1, 2)}
     lost = tokens.content_rejects(patches, blobs.filter("sha = 'c1'"), commits, "deleted")
     assert [r.reason for r in lost.collect()] == ["content_missing"]
+
+
+def test_languages_by_content_where_the_name_tells_nothing(spark):
+    cases = [
+        ("run", "#!/usr/bin/env python3\nx", "Python"), ("run", "#!/bin/bash -e\nx", "Bash"),
+        ("run", "#!/usr/bin/pythonic\nx", "Text only"), ("run", "x\n#!/bin/sh\n", "Text only"),
+        ("run", "#!/usr/bin/perl", "Perl"), ("doc", " \n<?xml version='1.0'?><a/>", "XML"),
+        ("doc", "<!DOCTYPE html><p>", "HTML"), ("doc", "<?php echo 1;", "PHP"),
+        ("a", "// -*- C++ -*-\nint x;", "C++"), ("a", "\n# vim: set ft=python :\n", "Python"),
+        ("a", "\n\n# vim: set ft=python :\n", "Text only"),
+        # An interpreter line outweighs a mode line, and both outweigh typical lines.
+        ("a", "#!/bin/sh\nimport os\ndef f():\ndef g():\n", "Bash"),
+        ("a", "#!/bin/sh\n# -*- mode: python -*-\n", "Bash"),
+        ("a", "package a.b;\nclass A {}", "Java"), ("a", "package main\nfunc main() {", "Go"),
+        ("a", "import os\n", "Text only"), ("a", "import os\ndef f():\n  pass", "Python"),
+        ("a", "all: x\n\techo", "Makefile"), ("a", "def f\nend", "Ruby"),
+        # Equal sums: three for each.
+        ("a", "import os\ndef f():\npackage a.b;", "Java"),
+        ("a", "Plain words, end of story.\nNo code here.", "Text only"),
+        ("a", None, "Text only"), ("a", "", "Text only"), (None, "#!/bin/sh", "Bash"),
+        ("a.txt", "#!/bin/sh\n", "Text only"), ("a.java", "#include <x>\n", "Java"),
+        ("a.unknown", "#include <x>\n", "C"), ("Makefile", "x = 1", "Text only"),
+        ("long", "word " * 400_000 + "\n#include <x>\n", "C"),
+    ]
+    rows = spark.createDataFrame([(i, p, x) for i, (p, x, _) in enumerate(cases)],
+                                 "i int, path string, text string")
+    found = {r.i: r.l for r in rows.select(
+        "i", lexer_of_file(F.col("path"), F.col("text")).alias("l")).collect()}
+    assert [(c[0], (c[1] or "")[:40], found[i]) for i, c in enumerate(cases)] == \
+        [(p, (x or "")[:40], want) for p, x, want in cases]
