@@ -134,3 +134,24 @@ def test_history_rejects(tables):
         ("r1", "c1", "User behavior", "no_parent"), ("r2", "c1", "User behavior", "no_parent"),
         ("r1", "c1", "Blame", "no_parent"), ("r2", "c1", "Blame", "no_parent"),
         ("r2", "c2", "Blame", "blame_line_missing")}
+
+
+def test_totals_count_lines_of_the_diff_where_a_line_number_repeats(spark):
+    rows = [("c2", "f", "-", 1), ("c2", "f", "-", 1), ("c2", "f", "+", 1), ("c2", "g", "-", 5),
+            ("c2", "g", " ", 6), ("c2", "h", "+", 2)]
+    lines = spark.createDataFrame([(*row, "x") for row in rows], "commit_sha string, path string,"
+                                  " op string, line_no long, value string")
+    known = spark.createDataFrame([("c2", "f", 1, "c0", "x"), ("c2", "f", 1, "c1", "x"),
+                                   ("c2", "g", 5, "c0", "x")],
+                                  "commit_sha string, path string, line_no long,"
+                                  " blame_commit_sha string, content string")
+    commits = spark.createDataFrame([("c0", "A", None, 0, 0), ("c1", "B", None, 1, 0)],
+                                    "commit_sha string, author_name string, author_email string,"
+                                    " authored_epoch long, author_tz_offset long")
+    got = blame.deleted_lines_behavior(lines, known, commits).collect()
+    assert sorted((r.blame_commit_sha, r.file_paths, r.number_of_related_deleted_lines,
+                   r.total_deleted_lines, r.total_added_lines) for r in got) == [
+        ("c0", "f", 2, 3, 2), ("c0", "g", 1, 3, 2), ("c1", "f", 2, 3, 2)]
+    per_commit = blame.time_deleted_lines(lines, known, commits).collect()
+    assert sorted((r.blame_commit_sha, r.number_of_related_deleted_lines, r.total_deleted_lines,
+                   r.total_added_lines) for r in per_commit) == [("c0", 3, 3, 2), ("c1", 2, 3, 2)]
