@@ -155,3 +155,23 @@ def test_totals_count_lines_of_the_diff_where_a_line_number_repeats(spark):
     per_commit = blame.time_deleted_lines(lines, known, commits).collect()
     assert sorted((r.blame_commit_sha, r.number_of_related_deleted_lines, r.total_deleted_lines,
                    r.total_added_lines) for r in per_commit) == [("c0", 3, 3, 2), ("c1", 2, 3, 2)]
+
+
+def test_batch_counts_each_deleted_line_once(spark, tmp_path):
+    """Parts 100,000 apart meet in one line number of a commit's file."""
+    from checks.batch_queries import batch_deleted_lines
+    from checks.views import Tables
+
+    tables = {
+        "region": "select 0 r_regionkey",
+        "nation": "select 0 n_nationkey, 'PERU' n_name, 1 n_regionkey",
+        "customer": "select 1L c_custkey, 'C#1' c_name, 0 c_nationkey, 'X' c_mktsegment",
+        "orders": "select id o_orderkey, 1L o_custkey, timestamp'1996-01-02' o_orderdate"
+                  " from range(8, 10)",
+        "part": "select 7L p_partkey, 0 p_size",
+        "lineitem": "select 9L l_orderkey, 100007L - 100000L * id l_partkey, 3L l_suppkey,"
+                    " cast(id + 1 as int) l_linenumber, 'R' l_returnflag from range(2)"}
+    for name, text in tables.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = batch_deleted_lines(Tables(spark, str(tmp_path))).collect()
+    assert [(r.number_of_related_deleted_lines, r.total_deleted_lines) for r in rows] == [(2, 2)]
