@@ -63,11 +63,11 @@ def together(columns: list[str], used: list[str]) -> list[Column]:
 
 def append_columns(df: DataFrame, fields: list[T.StructField],
                    compute: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
-                   needs: list[str]) -> DataFrame:
+                   needs: list[str], limit: int = SLICE_BYTES) -> DataFrame:
     """``df`` with columns computed per Arrow batch; a column of the same name is replaced.
 
     ``compute`` is called once in each task and gives the function for the batches, which sees
-    the columns ``needs`` only, in that order.
+    the columns ``needs`` only, in that order, with about ``limit`` bytes of the first at once.
     """
     new = [f.name for f in fields]
     lent = [F.col(f"`{c}`").alias(f"__need_{i}") for i, c in enumerate(needs)]
@@ -79,7 +79,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = compute()
         for batch in batches:
-            for part in sliced(batch, kept):
+            for part in sliced(batch, kept, limit):
                 given = pa.RecordBatch.from_arrays(part.columns[kept:], list(needs))
                 yield pa.RecordBatch.from_arrays([*part.columns[:kept], *work(given)],
                                                  schema.names)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +19,14 @@ from logstrata.llm.common import append_columns
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
+NO_PIECE = float("-inf")
 # Bytes, about, that a Python worker remembers words with; when full, the memory starts anew.
-REMEMBERED = 96 << 20
+REMEMBERED = 64 << 20
+PARTS = 8                    # their parts take one of so many parts of it besides
+# Bytes of text that are unpacked and looked up at once.
+TEXT_BYTES = 1 << 20
+# Longest segment whose pairs are kept in place, where the best is found by looking at all.
+SHORT = 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -38,6 +48,7 @@ class MergeCodec:
                                               or lib.is_byte(i) or lib.is_unused(i))]
         self.id_of = {self.piece[i]: i for i in usable}
         self.score = {self.piece[i]: lib.get_score(i) for i in usable}
+        self.written = [str(i) for i in range(n)]
         self.unknown = lib.unk_id()
         self.byte = {int(self.piece[i][3:5], 16): i for i in range(n) if lib.is_byte(i)}
         self.byte_value = {i: b for b, i in self.byte.items()}
@@ -52,6 +63,7 @@ class MergeCodec:
                and bool(_LETTER.match(pair[0])) != bool(_LETTER.match(pair[1]))
                for c in pair if _LETTER.match(c)}
         alone = "".join(re.escape(c) for c in "\n\t" if not any(c in p for p in longer))
+        self.letters_whole = self.words_apart and len(odd) < 50 and not any(map(str.isalpha, odd))
         letter, odd = r"(?:(?![S_\dO])\w)".replace("O", re.escape("".join(sorted(odd)))), len(odd) < 50
         self.parts = re.compile((f"[{alone}]|" if alone else "") + (
             f"S*(?:{letter})+|S*(?:(?!{letter})[^S{alone}])+|S+" if odd
@@ -63,9 +75,12 @@ class MergeCodec:
 
     def merge(self, segment: str) -> tuple[int, ...]:
         """Ids of one segment: an agenda of adjacent symbol pairs, best score first, leftmost
-        of equal ones first; a pair whose symbols have changed meanwhile is skipped."""
+        of equal ones first. That of a short segment lies in the order of its symbols, that of a
+        long one is a heap, where a pair whose symbols have changed meanwhile is skipped."""
         symbols: list[str] = list(segment)
         n = len(symbols)
+        if n <= SHORT:
+            return self._ids(self._merge_short(symbols))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         score, agenda = self.score, []
         for i in range(n - 1):
@@ -90,6 +105,25 @@ class MergeCodec:
                 left = symbols[h] + pair
                 if left in score:
                     heapq.heappush(agenda, (-score[left], h, left))
+        return self._ids(symbols)
+
+    def _merge_short(self, symbols: list[str]) -> list[str]:
+        score = self.score.get
+        agenda = [score(a + b, NO_PIECE) for a, b in pairwise(symbols)]
+        while agenda:
+            best = max(agenda)
+            if best == NO_PIECE:
+                break
+            i = agenda.index(best)
+            pair = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(pair + symbols[i + 1], NO_PIECE)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + pair, NO_PIECE)
+        return symbols
+
+    def _ids(self, symbols: list[str]) -> tuple[int, ...]:
         ids: list[int] = []
         for symbol in symbols:
             if symbol:
@@ -102,6 +136,11 @@ class MergeCodec:
                     ids.append(self.unknown)
         return tuple(ids)
 
+    def _parts_of(self, word: str) -> list[str]:
+        if not self.words_apart or self.letters_whole and word.isalpha():
+            return [SPACE + word]
+        return self.parts.findall(SPACE + word)
+
     def words(self, text: str) -> list[str]:
         """The words of a text, each without the space mark it begins with."""
         if not text:
@@ -115,22 +154,22 @@ class MergeCodec:
 
     def learn(self, words: set[str]) -> None:
         """Encode words not met before and check them against the library, all at once."""
-        known, fresh = self.known, sorted(words)
+        known, written, fresh, found = self.known, self.written, list(words), []
         for word in fresh:
             ids: list[int] = []
-            for part in self.parts.findall(SPACE + word) if self.words_apart else [SPACE + word]:
+            for part in self._parts_of(word):
                 got = known.get(part)
                 if got is None:
-                    if self.known_bytes > REMEMBERED // 2:
+                    if self.known_bytes > REMEMBERED // PARTS:
                         known.clear()
                         self.known_bytes = 0
                     got = known[part] = self.merge(part)
                     self.known_bytes += 250 + len(part) + 40 * len(got)
                 ids += got
-            self.facts[word] = (",".join(map(str, ids)), len(ids), self.spell(ids))
-            self.facts_bytes += _held(word)
-        for word, ids in zip(fresh, self.library.encode(fresh, num_threads=1)):
-            if word and ",".join(map(str, ids)) != self.facts[word][0]:
+            self.facts[word] = (",".join([written[i] for i in ids]), len(ids), self.spell(ids))
+            found.append(ids)
+        for word, mine, ids in zip(fresh, found, self.library.encode(fresh, num_threads=1)):
+            if word and ids != mine:
                 raise ValueError(f"not the library's ids for {word!r}: {self.facts[word][0]}")
 
     def look_up(self, texts: list[str]) -> list[list[tuple[str, int, str]]]:
@@ -140,17 +179,23 @@ class MergeCodec:
         words found there are taken over, so frequent words stay. New words of all texts are
         encoded, and given to the library, together.
         """
-        words = [self.words(t) for t in texts]
+        with _without_collection():
+            return self._look_up([self.words(t) for t in texts])
+
+    def _look_up(self, words: list[list[str]]) -> list[list[tuple[str, int, str]]]:
         missing = set().union(*words).difference(self.facts)
-        if self.facts_bytes + sum(map(_held, missing)) > REMEMBERED:
+        more = sum(map(_held, missing))
+        if self.facts_bytes + more > REMEMBERED:
             self.old, self.facts, self.facts_bytes = self.facts, {}, 0
             missing = set().union(*words)
-        kept = {w: self.old[w] for w in missing.intersection(self.old)}
+            more = sum(map(_held, missing))
+        self.facts_bytes += more
+        old = self.old
+        kept = {w: old[w] for w in missing if w in old}
         self.facts.update(kept)
-        self.facts_bytes += sum(map(_held, kept))
         self.learn(missing.difference(kept))
-        known = self.facts
-        return [[known[w] for w in one] for one in words]
+        fact = self.facts.__getitem__
+        return [list(map(fact, one)) for one in words]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0]
@@ -202,6 +247,18 @@ class MergeCodec:
         return text[1:] if first in self.plain and text[:1] == " " else text
 
 
+@contextmanager
+def _without_collection() -> Iterator[None]:
+    """Words and their facts form no cycles; looking for some costs more than the agenda."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _held(word: str) -> int:
     """Bytes, about, that a word's facts take: the word, its ids in writing, its spelling."""
     return 350 + 8 * len(word)
@@ -250,7 +307,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text",
         return work
 
     field = T.StructField(ids_col, T.ArrayType(T.IntegerType()))
-    return append_columns(docs, [field], compute, [text_col])
+    return append_columns(docs, [field], compute, [text_col], TEXT_BYTES)
 
 
 def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids",
@@ -276,7 +333,7 @@ def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", ids_col
 
     fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType())),
               T.StructField(count_col, T.LongType()), T.StructField(same_col, T.BooleanType())]
-    return append_columns(docs, fields, compute, [text_col])
+    return append_columns(docs, fields, compute, [text_col], TEXT_BYTES)
 
 
 def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "ids",
@@ -312,4 +369,4 @@ def piece_digests(docs: DataFrame, model_path: str, text_col: str = "text") -> D
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]
-    return append_columns(docs, fields, compute, [text_col])
+    return append_columns(docs, fields, compute, [text_col], TEXT_BYTES)
