@@ -3,7 +3,8 @@
 A chunk may end anywhere, in a line or in a head. Lines are put together again at the seams,
 numbered through the commit, and told apart by how many file starts, hunk heads and lines of
 either side come before them; these counts are running sums over blocks of lines. So a commit of
-any size is many tasks. The rows are those of :mod:`logstrata.operators.diff`.
+any size is many tasks. The rows are those of :mod:`logstrata.operators.diff`, which also parses
+the commits whose chunks make one cell: their lines need not be moved one by one.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.operators.diff import (FILE_START, HUNK_START, NEW_NAME, NO_FILE, OLD_NAME,
-                                      RENAMED_OR_COPIED, SUBMODULE, _path, _range)
+                                      RENAMED_OR_COPIED, SUBMODULE, _path, _range, diff_lines,
+                                      parse_unified_diff)
 from logstrata.operators.numbering import running_before
 from logstrata.operators.skew import lookup_side
 from logstrata.schemas import keys
+from logstrata.session import scratch_path
 
+# The most chunks, and bytes of each of them, of a commit that is put together as one cell.
+CELL_CHUNKS, CHUNK_BYTES = 256, 4096
 FILE_LINE, HUNK_LINE = FILE_START[1:], HUNK_START[1:]
 
 
@@ -60,14 +65,41 @@ def _hunks(lines: DataFrame, key: list[str]) -> DataFrame:
                    & (F.get(head, F.lit(2)) == "@@"), F.lit(False)).alias("_headed"))
 
 
-def chunked_diff_lines(chunks: DataFrame) -> DataFrame:
+def chunked_diff_lines(chunks: DataFrame, cell_chunks: int = CELL_CHUNKS) -> DataFrame:
     """The rows of ``diff_lines(parse_unified_diff(diffs))`` for diffs that come in chunks.
 
     ``chunks``: commit_sha, n_parents, chunk_no (consecutive from 0) and text. Commits without
     parent, with a broken hunk or without text give no rows; renames, copies, submodules and
     files of changed type are left out, as in the form with one cell for each commit.
+
+    The chunks are brought together in groups of ``cell_chunks`` and stored once. A commit of one
+    group is a cell; the lines of all others are numbered and joined. A chunk above
+    ``CHUNK_BYTES`` is a group of its own, so no group is larger than the two bounds allow.
     """
-    chunks = chunks.where("n_parents > 0")
+    key = keys(chunks, "commit_sha")
+    number = F.col("chunk_no")
+    large = F.coalesce(F.octet_length("text") > CHUNK_BYTES, F.lit(False))
+    group = F.when(large, -1 - number).otherwise(F.floor(number / cell_chunks))
+    path = scratch_path(chunks.sparkSession, "chunks")
+    (chunks.where("n_parents > 0").groupBy(*key, group.alias("_group"))
+     .agg(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))).alias("_chunks"))
+     .write.parquet(path))
+    groups = chunks.sparkSession.read.schema(
+        chunks.select(*key, F.lit(0).cast("long").alias("_group"), F.array(
+            F.struct("chunk_no", "text")).alias("_chunks")).schema).parquet(path)
+    many = groups.where("_group <> 0").select(*key).distinct()
+    cells = groups.where("_group = 0").join(many, key, "left_anti").where(
+        reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
+    diffs = cells.select(*key, F.lit(1).alias("n_parents"),
+                         F.array_join("_chunks.text", "").alias("diff_text"))
+    rest = groups.join(many, key, "left_semi").select(*key, F.explode("_chunks").alias("c")) \
+        .select(*key, "c.*")
+    return diff_lines(parse_unified_diff(diffs)).select(
+        *key, "path", "op", "line_no", "value").unionByName(_joined_diff_lines(rest))
+
+
+def _joined_diff_lines(chunks: DataFrame) -> DataFrame:
+    """The rows of commits of any size."""
     key = keys(chunks, "commit_sha")
     text, first = F.col("line"), F.col("n") > 0
     is_file = first & F.startswith(text, F.lit(FILE_LINE))

@@ -51,6 +51,40 @@ def test_chunks_give_the_rows_of_cells(spark, block_rows, monkeypatch):
     assert sorted(map(tuple, found)) == sorted(map(tuple, expected))
 
 
+@pytest.mark.parametrize("cell_chunks, chunk_bytes", [(1, 4096), (3, 4096), (256, 4096), (256, 20)])
+def test_chunks_of_small_and_large_commits(spark, cell_chunks, chunk_bytes, monkeypatch):
+    monkeypatch.setattr(diff_chunks, "CHUNK_BYTES", chunk_bytes)
+    monkeypatch.setattr(diff_chunks, "running_before", lambda *a: numbering.running_before(
+        *a, block_rows=3))
+    rng = random.Random(cell_chunks)
+    cells = [("r", name, 1, text) for name, text in TEXTS.items()] + [("s", "two files", 2, TEXTS["bare"])]
+    chunks = []
+    for repo, name, parents, text in cells:
+        at, no = 0, 0
+        while at < len(text) or no == 0:
+            size = rng.choice([1, 5, 17, 60])
+            chunks.append((repo, name, parents, no, text[at:at + size]))
+            at, no = at + size, no + 1
+    rng.shuffle(chunks)
+    one = spark.createDataFrame(cells, "repo string, commit_sha string, n_parents int, diff_text string")
+    many = spark.createDataFrame(chunks, "repo string, commit_sha string, n_parents int, "
+                                         "chunk_no long, text string")
+    expected = diff.diff_lines(diff.parse_unified_diff(one)).select(
+        "repo", "commit_sha", "path", "op", "line_no", "value").collect()
+    found = diff_chunks.chunked_diff_lines(many, cell_chunks)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected))
+
+
+def test_small_commits_are_not_joined_line_by_line(spark, monkeypatch):
+    asked = []
+    whole = diff_chunks._joined_diff_lines
+    monkeypatch.setattr(diff_chunks, "_joined_diff_lines",
+                        lambda rest: asked.append(rest.count()) or whole(rest))
+    chunks = spark.createDataFrame([("c", 1, 0, TEXTS["bare"][:9]), ("c", 1, 1, TEXTS["bare"][9:])],
+                                   "commit_sha string, n_parents int, chunk_no long, text string")
+    assert diff_chunks.chunked_diff_lines(chunks).count() == 2 and asked == [0]
+
+
 def test_commits_without_a_countable_file(spark):
     rows = [(name, 1, text) for name, text in TEXTS.items()]
     diffs = spark.createDataFrame(rows, "commit_sha string, n_parents int, diff_text string")
