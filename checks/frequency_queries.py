@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from logstrata.operators import filters, frequency
+from logstrata.session import scratch_path
 
 COLUMNS = ["token_content", "token_type"]
 GROUP = "hex_hash"
@@ -184,10 +185,12 @@ def _mixed_cells(variant):
        from terms where column_name = 'token_content' group by hex_hash"""
        for v in MATRIX_TERMS), **NAMED)
 def frequency_matrix_mixed_case(t):
-    """Values that differ in case only, or are no plain names; all variants."""
-    found = None
+    """Values that differ in case only, or are no plain names; all variants of cells made once."""
+    path = scratch_path(t.spark, "cells")
+    frequency.frequency_cells(t("fx_tokens"), ["token_content"], GROUP).write.parquet(path)
+    cells, found = t.spark.read.parquet(path), None
     for variant in MATRIX_TERMS:
-        wide = frequency.frequency_matrix(t("fx_tokens"), "token_content", GROUP, MIXED, variant)
+        wide = frequency.matrix_of_cells(cells, GROUP, MIXED, variant)
         names = [f"c{i}" for i in range(len(MIXED))]
         part = wide.toDF(GROUP, *names).select(
             F.lit(variant).alias("variant"), GROUP,
@@ -243,6 +246,12 @@ def normalized_frequency_by_run(t):
                                                    run_order="event_id"))
 
 
+def _counts_and_words(t):
+    tokens = t("fx_tokens").select(GROUP, "token_content")
+    words = frequency.vocabulary(tokens.select(F.col("token_content").alias("value")))
+    return frequency.count_cells(tokens, ["token_content"], GROUP), words
+
+
 @query("sparse_matrix", f"""
        with places as (select token_content "value", row_number() over (order by token_content) - 1 place
                        from (select distinct token_content from fx_tokens))
@@ -252,8 +261,7 @@ def normalized_frequency_by_run(t):
        join places using ("value") group by hex_hash""")
 def sparse_matrix(t):
     """All values of a column, one row per group."""
-    cells = frequency.frequency_cells(t("fx_tokens"), ["token_content"], GROUP)
-    rows = frequency.sparse_matrix(cells, frequency.vocabulary(cells), GROUP)
+    rows = frequency.sparse_matrix(*_counts_and_words(t), GROUP)
     shown = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
              for c in ("places", "amounts")]
     return rows.select(GROUP, *shown)
@@ -270,10 +278,8 @@ def sparse_matrix(t):
        from cells group by hex_hash, block""")
 def matrix_column_blocks(t):
     """The dense blocks, told by their width, their sum and a sum weighted by the columns."""
-    cells = frequency.frequency_cells(t("fx_tokens"), ["token_content"], GROUP)
-    blocks = frequency.column_blocks(cells, frequency.vocabulary(cells), GROUP, width=2000)
-    zero = F.lit(0).cast("long")
-    weighted = F.transform("amounts", lambda x, i: x * (i + 1))
-    return blocks.select(GROUP, "block", F.size("amounts").alias("width"),
-                         F.aggregate("amounts", zero, lambda a, x: a + x).alias("total"),
-                         F.aggregate(weighted, zero, lambda a, x: a + x).alias("weighted"))
+    blocks = frequency.column_blocks(*_counts_and_words(t), GROUP, width=2000)
+    amounts = blocks.select(GROUP, "block", F.size("amounts").alias("width"),
+                            F.posexplode("amounts").alias("i", "x")).where("x <> 0")
+    return amounts.groupBy(GROUP, "block", "width").agg(
+        F.sum("x").alias("total"), F.sum(F.col("x") * (F.col("i") + 1)).alias("weighted"))

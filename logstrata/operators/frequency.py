@@ -162,6 +162,11 @@ def frequency_cells(df: DataFrame, columns: Columns, group: str, keep: Mapping |
     return terms if allowed is None else terms.filter(allowed)
 
 
+def count_cells(df: DataFrame, columns: Columns, group: str, keep: Mapping | None = None) -> DataFrame:
+    """The counts of :func:`frequency_cells` alone, which need no totals of the groups."""
+    return grouped_counter(df, columns, group, keep).withColumnRenamed("n", "count")
+
+
 def frequency_matrix(df: DataFrame, column: str, group: str, values: Iterable,
                      variant: str = "count", keep: Mapping | None = None) -> DataFrame:
     """One row per group, one column per value, zero where the value does not occur.
@@ -196,7 +201,7 @@ def matrix_of_cells(cells: DataFrame, group: str, values: Iterable,
 
 
 def vocabulary(cells: DataFrame) -> DataFrame:
-    """(value, place): the distinct values of one column's cells in order, numbered from 0.
+    """(value, place): the distinct values of a column ``value`` in order, numbered from 0.
 
     NULL and the empty text are one value. The values are sorted and numbered by Spark, so a
     vocabulary of any size passes nothing but one offset a partition through the driver.
@@ -208,8 +213,8 @@ def vocabulary(cells: DataFrame) -> DataFrame:
 def sparse_matrix(cells: DataFrame, words: DataFrame, group: str, variant: str = "count") -> DataFrame:
     """The matrix over a whole vocabulary: one row per group with ``places`` and ``amounts``.
 
-    ``cells`` as :func:`frequency_cells` gives them of one column, ``words`` its
-    :func:`vocabulary`. ``places`` ascend; a place that is not among them is zero. A row holds
+    ``cells`` as :func:`frequency_cells` gives them of one column (for the variant count,
+    :func:`count_cells` will do), ``words`` its :func:`vocabulary`. ``places`` ascend; a place that is not among them is zero. A row holds
     what occurs in its group, not the vocabulary.
     """
     return _placed(cells, words, group, variant).groupBy(group).agg(
@@ -217,15 +222,23 @@ def sparse_matrix(cells: DataFrame, words: DataFrame, group: str, variant: str =
             group, F.col("c.place").alias("places"), F.col("c.amount").alias("amounts"))
 
 
-def _placed(cells: DataFrame, words: DataFrame, group: str, variant: str) -> DataFrame:
-    """(group, place, amount), the cells of NULL and the empty text added up."""
+def _placed(cells: DataFrame, words: DataFrame, group: str, variant: str,
+            *parts: Column) -> DataFrame:
+    """(group, parts, place, amount), the cells of NULL and the empty text added up.
+
+    The cells are brought together by group and ``parts``, which serves the sum and what the
+    caller collects. A task holds its share of the vocabulary, one row for each value, so the
+    cells need no sorting.
+    """
     if variant not in MATRIX_VARIANTS:
         raise ValueError(f"variant must be one of {MATRIX_VARIANTS}")
     named = words.select(F.col("value").alias("_word"), "place")
     asked = cells.select(group, F.coalesce("value", F.lit("")).alias("value"), F.col(variant).alias("amount"))
     # A frequent value is a hot key of the cells: the vocabulary is the side with one row for each.
-    met = asked.join(lookup_side(named), F.col("value") == F.col("_word"))
-    return met.groupBy(group, "place").agg(F.sum("amount").alias("amount"))
+    met = asked.join(lookup_side(named).hint("shuffle_hash"), F.col("value") == F.col("_word"))
+    met = met.select(group, *parts, "place", "amount")
+    place = [c for c in met.columns if c not in ("place", "amount")]
+    return met.repartition(*place).groupBy(*place, "place").agg(F.sum("amount").alias("amount"))
 
 
 def column_blocks(cells: DataFrame, words: DataFrame, group: str, variant: str = "count",
@@ -234,10 +247,10 @@ def column_blocks(cells: DataFrame, words: DataFrame, group: str, variant: str =
 
     A block without any value of a group has no row.
     """
-    block = F.floor(F.col("place") / width)
-    entry = F.struct((F.col("place") - block * width).cast("int").alias("at"), "amount")
-    held = _placed(cells, words, group, variant).select(group, block.alias("block"), entry.alias("e")) \
-        .groupBy(group, "block").agg(F.array_sort(F.collect_list("e")).alias("c"))
+    block = F.floor(F.col("place") / width).alias("block")
+    entry = F.struct((F.col("place") - F.col("block") * width).cast("int").alias("at"), "amount")
+    held = _placed(cells, words, group, variant, block).groupBy(group, "block").agg(
+        F.array_sort(F.collect_list(entry)).alias("c"))
     size = F.least(F.lit(width).cast("long"), F.lit(words.count()) - F.col("block") * width).cast("int")
     zero = F.lit(0).cast(held.schema["c"].dataType.elementType["amount"].dataType)
     # Each amount after the zeros before it, then the zeros behind the last one.
