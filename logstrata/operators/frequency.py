@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logstrata.operators.filters import any_of, except_rows, keep_rows
@@ -175,15 +175,40 @@ def frequency_matrix(df: DataFrame, column: str, group: str, values: Iterable,
     empty text share the column of the empty text. A value named like the group column is an
     error. The matrix over a whole vocabulary is :func:`frequency_cells`, at any size.
     """
-    if variant in ("count", "binary_count"):
-        counts = grouped_counter(df, [column], group, keep)
-        cells = counts.select(group, "value", F.col("n").alias("count"),
-                              F.lit(1).cast("long").alias("binary_count"))
-    else:
-        cells = frequency_cells(df, [column], group, keep)
+    values = list(values)
+    cells = matrix_cells(df, {column: values}, group, [variant], keep)
     return matrix_of_cells(cells, group, values, variant)
 
 
+def matrix_cells(df: DataFrame, values: Mapping[str, Iterable], group: str,
+                 variants: Iterable[str] = MATRIX_VARIANTS, keep: Mapping | None = None) -> DataFrame:
+    """What the matrices of some columns show: the cells of their listed values alone.
+
+    group, column_name, value and the variants. The other values of a group are one row without
+    amounts, which keeps its group in the matrix and its share in the totals; so the totals are
+    sums over few rows a group, and no cell of another value is moved or stored. Only
+    binary_count_normalized needs each of the others once, to count them.
+    """
+    variants = list(variants)
+    if set(variants) - set(MATRIX_VARIANTS):
+        raise ValueError(f"variant must be one of {MATRIX_VARIANTS}")
+    listed = any_of([(F.col("column_name") == name) & F.coalesce("value", F.lit("")).isin(
+        [value or "" for value in of]) for name, of in values.items()])
+    place = [group, "column_name", listed.alias("_listed"), F.when(listed, F.col("value")).alias("value")]
+    if "binary_count_normalized" in variants:
+        counts = grouped_counter(df, list(values), group, keep).groupBy(*place).agg(
+            F.sum("n").alias("n"), F.count("*").alias("k"))
+    else:
+        counts = _long(keep_rows(df, keep), list(values), [group]).groupBy(*place).agg(
+            F.count("*").alias("n"), F.lit(1).cast("long").alias("k"))
+    whole = Window.partitionBy(group, "column_name")
+    terms = {"count": F.col("n"), "binary_count": F.lit(1).cast("long"),
+             "binary_count_normalized": F.lit(1.0) / F.sum("k").over(whole),
+             "aggregate_count_normalized": F.col("n") / F.sum("n").over(whole)}
+    return counts.select(group, "column_name", "value",
+                         *[F.when(F.col("_listed"), terms[v]).alias(v) for v in variants])
+
+
 def matrix_of_cells(cells: DataFrame, group: str, values: Iterable,
                     variant: str = "count") -> DataFrame:
     """The matrix of one column's :func:`frequency_cells`; see :func:`frequency_matrix`."""

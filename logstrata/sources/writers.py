@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logstrata.functions.text import capitalized
 from logstrata.operators.changes import commit_messages
-from logstrata.operators.frequency import MATRIX_VARIANTS, frequency_cells, matrix_of_cells
+from logstrata.operators.frequency import MATRIX_VARIANTS, matrix_cells, matrix_of_cells
 from logstrata.session import scratch_path
 
 
@@ -48,11 +48,13 @@ def write_matrices(df: DataFrame, columns: list[str], group: str, path: str,
                    keep: dict | None = None) -> list[str]:
     """One CSV folder per counted column and variant; the column list is the caller's.
 
-    The rows are read and counted once: the cells of all columns and variants are stored in the
-    shared folder, and each folder is a pivot of its column's part of them.
+    The rows are read and counted once: the cells of the listed values in all columns and variants
+    are stored in the shared folder, and each folder is a pivot of its column's part of them.
     """
     store = scratch_path(df.sparkSession, "cells")
-    frequency_cells(df, columns, group, keep).write.partitionBy("column_name").parquet(store)
+    values = {c: list(values[c]) for c in columns}
+    cells = matrix_cells(df, values, group, variants or MATRIX_VARIANTS, keep)
+    cells.write.partitionBy("column_name").parquet(store)
     cells = df.sparkSession.read.parquet(store)
     folders = []
     for column in columns:

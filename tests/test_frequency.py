@@ -159,3 +159,17 @@ def test_a_hot_group_is_spread_and_the_counts_are_shuffled_once(spark, facts):
     text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert "ReusedExchange" in text
     assert "_shard" in text
+
+
+def test_matrix_moves_listed_cells_only(spark):
+    """The cells of other values are one row a group, with their share in the totals."""
+    rows = [("g", f"w{i}") for i in range(50)] + [("g", "x"), ("g", "x"), ("g", None), ("g", ""),
+                                                  ("h", "other"), (None, "x")]
+    df = spark.createDataFrame(rows, "g string, v string")
+    cells = frequency.matrix_cells(df, {"v": ["x", ""]}, "g")
+    assert cells.count() == 6
+    want = {"count": (2.0, 2.0), "binary_count": (1.0, 2.0),
+            "binary_count_normalized": (1 / 53, 2 / 53), "aggregate_count_normalized": (2 / 54, 2 / 54)}
+    for variant, amounts in want.items():
+        found = {r[0]: r[1:] for r in frequency.frequency_matrix(df, "v", "g", ["x", ""], variant).collect()}
+        assert found["g"] == pytest.approx(amounts) and found["h"] == (0, 0) and found[None] == (1, 0)
