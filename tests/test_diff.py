@@ -158,3 +158,25 @@ def test_large_hunk(spark):
                     F.count_if(F.col("value") == F.concat(
                         F.lit("line "), (F.col("line_no") - 1).cast("string"))).alias("right"))
     assert tuple(row.first()) == (n, n, n)
+
+
+def test_reason_is_told_by_one_parse(spark):
+    """Neither the filter on the reason nor the joins of blame parse the text again."""
+    from logstrata.plans.history import History
+
+    text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-old\n+new\n"
+    diffs = spark.createDataFrame([("a", 1, text), ("b", 0, text), ("c", 1, "")],
+                                  "commit_sha string, n_parents int, diff_text string")
+    rejects = diff.diff_rejects(diffs, "s")
+    assert rejects._jdf.queryExecution().optimizedPlan().toString().count("@@ -") == 1
+    assert {(r.commit_sha, r.reason) for r in rejects.collect()} == {
+        ("b", "no_parent"), ("c", "empty_diff")}
+    commits = spark.createDataFrame([("a", "n", "e", 0, 0), ("o", "n", "e", 0, 0)],
+                                    "commit_sha string, author_name string, author_email string, "
+                                    "authored_epoch long, author_tz_offset long")
+    known = spark.createDataFrame([("a", "x", 1, "o", "old")], "commit_sha string, path string, "
+                                  "line_no long, blame_commit_sha string, content string")
+    facts = History(commits, diffs=diffs, blame_lines=known).time_deleted_lines("all")
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("@@ -") == 1
+    assert [(r.fix_commit_sha, r.blame_commit_sha, r.total_added_lines) for r in facts.collect()] \
+        == [("a", "o", 1)]
