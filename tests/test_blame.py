@@ -175,3 +175,21 @@ def test_batch_counts_each_deleted_line_once(spark, tmp_path):
         spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
     rows = batch_deleted_lines(Tables(spark, str(tmp_path))).collect()
     assert [(r.number_of_related_deleted_lines, r.total_deleted_lines) for r in rows] == [(2, 2)]
+
+
+def test_batch_joins_facts_once_for_all_cohorts(spark, tables):
+    """The diffs are parsed once for the cohorts together, whose ids are not worked out again."""
+    commits, diffs, blamed = tables
+    issues = spark.createDataFrame([("r1", "1", ["Bug"], ["c3"])],
+                                   "repo string, issue_number string, issue_labels array<string>,"
+                                   " issue_closed_commit_id array<string>")
+    config = spark.createDataFrame(
+        [("java", "r1", "Bug", False, True)],
+        "language_label string, repo string, bug_label string,"
+        " retrieve_other_commit_id_from_issue_tracker boolean,"
+        " consider_issues_without_labels_as_other boolean")
+    fix, behavior = run_batch(config, commits, issues, blamed, diffs=diffs)
+    for facts in (fix, behavior):
+        plan = facts._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("@@ -") == 1 and "issue_closed_commit_id" not in plan
+    assert {r.cohort for r in behavior.collect()} == {"AllCommits"}
