@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logstrata.llm.common import (GOLDEN, byte_texts, coded_words, discard, mixed, rolling, signed,
@@ -24,7 +24,9 @@ SLOTS = BANDS * ROWS
 # fewer than 78 with probability 2e-5.
 AGREE = 78
 HUBS = 2                     # hubs of a mixed bucket in one round
-TRIALS = 1                   # rounds of hubs before the rest is joined by its rare shingles
+TRIALS = 0                   # rounds of hubs before all members of a mixed bucket are compared
+# A block of a bucket: so many signatures, or so many texts and bytes of texts.
+SIGNED_BLOCK, TEXT_BLOCK, TEXT_BLOCK_BYTES = 2048, 256, 4 * 1024 * 1024
 
 
 # ---------------------------------------------------------------- signatures
@@ -279,9 +281,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a band form a bucket. In each bucket all members are compared with its hub, the member
     met most often in all buckets; signatures are compared first, then whole texts. Buckets that
     still hold several components are compared with further hubs in ``TRIALS`` rounds, drawn
-    anew in each bucket and round. These only save work: all nodes of buckets that are mixed
-    after that are joined by their rare shingles (``_rare_pairs``), which leaves out no pair of
-    two components that is alike. Pairs there grow with the number of near misses.
+    anew in each bucket and round. These only save work: in buckets that are mixed after that all
+    members are compared with all of other components, block by block inside tasks
+    (``_links_in_cells``). Only links that join two components become rows there.
     """
     return _classes(docs, id_col, text_col, similarity).select(
         F.col("id").alias(id_col), "class_id", "n_class")
@@ -319,10 +321,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         discard(before)
         if left.isEmpty():
             break
-        near = nodes.join(left.select(F.col("node").alias("__n")).distinct(),
-                          F.col("node") == F.col("__n")).select("node", "slots")
-        pairs = _rest(left, turn) if turn <= TRIALS else _rare_pairs(left, texts, similarity)
-        stars = _linked(_alike(pairs, near), texts, stars, similarity)
+        if turn <= TRIALS:
+            near = nodes.join(left.select(F.col("node").alias("__n")).distinct(),
+                              F.col("node") == F.col("__n")).select("node", "slots")
+            stars = _linked(_alike(_rest(left, turn), near), texts, stars, similarity)
+        else:
+            links = stored(_links_in_cells(left, nodes, texts, similarity), "links")
+            stars = _with_links(links, stars)
     discard(left)
     discard(texts)
     spark.sql(f"DROP TABLE {table}")
@@ -387,59 +392,158 @@ def _rest(rows: DataFrame, turn: int) -> DataFrame:
                               F.explode(F.transform(apart, lambda h: h["hub"])).alias("b")))
 
 
-def _rare_pairs(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes in different components; none that is alike is left out.
+def _cells(rows: DataFrame, blocks: Column, *carried: str) -> DataFrame:
+    """(key, lo, hi, block, node, root, slots, bands, carried), a cell's rows together and in order.
+
+    A bucket is dealt into ``blocks`` blocks; a cell (key, lo, hi) is two of them, or one with
+    itself, so a bucket of any size is many tasks and each holds two blocks.
+    """
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    dealt = rows.withColumn("blocks", blocks.cast("long")).withColumn("block", own) \
+        .withColumn("other", F.explode(others))
+    return dealt.select("key", F.least("block", "other").alias("lo"),
+                        F.greatest("block", "other").alias("hi"), "block", "node", "root", "slots",
+                        "bands", *carried) \
+        .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that end where a cell ends, with the first row of each cell and the end."""
+    def first_rows(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in (batch.column(i).to_numpy() for i in range(3))], 0)
+        return np.flatnonzero(new)
+
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        if batch.num_rows:
+            first = first_rows(batch)
+            if len(first) > 1:
+                yield batch.slice(0, int(first[-1])), first
+            held = batch.slice(int(first[-1]))
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _near_pairs(batch: pa.RecordBatch, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one cell and of two components whose signatures agree in enough slots.
+
+    A pair that meets in several buckets is told in that of its first common band only.
+    """
+    key, lo, hi, block, _, root = (batch.column(i).to_numpy() for i in range(6))
+    slots = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, SLOTS)
+    bands = batch.column(7).flatten().to_numpy().reshape(-1, BANDS)
+    cell = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    here = (bands == key[:, None]).argmax(1)
+    at, found = np.arange(len(cell)), []
+    for step in range(1, len(cell)):
+        at = at[at + step < len(cell)]
+        at = at[cell[at] == cell[at + step]]
+        if not len(at):
+            break
+        to = at + step
+        asked = at[(root[at] != root[to]) & ((lo[at] == hi[at]) | (block[at] != block[to]))]
+        asked = asked[(slots[asked] == slots[asked + step]).sum(1) >= AGREE]
+        asked = asked[(bands[asked] == bands[asked + step]).argmax(1) == here[asked]]
+        if len(asked):
+            found.append((asked, asked + step))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    one, two = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((two, one))
+    return one[order], two[order]
+
+
+def _joined(texts: list[bytes], component: np.ndarray, one: np.ndarray, two: np.ndarray,
+            similarity: float) -> list[int]:
+    """Places of those pairs (one, two) that are alike and join two components not yet joined.
 
     Let two texts share shingles that are a part p of the weight of one and q of the other. Their
     similarity is at most 1 / (1 / p + 1 / q - 1): for a shared shingle e the sum over d of
     max(x_d / x_e, y_d / y_e) is at least X / x_e + (1 - q) Y / y_e, X and Y being the whole
-    weights, and the sum over e of the inverses is concave in the shared parts. In any order of
-    the shingles that is the same for all texts, 1 - p and 1 - q are at least the weights before
-    the first shared shingle. So a pair is needed only at a shingle where these weights allow
-    the similarity; with the shingles of fewest nodes first, few places of a text are left.
+    weights, and the sum over e of the inverses is concave in the shared parts. The parts are told
+    for one text and many at once; few pairs that are not alike get beyond them.
     """
-    most = 1 + 1 / similarity + 1e-9
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in sliced(whole, 1)):
-            codes, bounds, words = coded_words([t.lower() for t in byte_texts(batch.column(1))])
-            if not len(codes):
-                continue
-            text, shingle, count = shingles(codes, bounds, word_hashes(words)[codes])
-            whole = np.bincount(text, weights=count, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(text)), pa.array(signed(shingle)),
-                 pa.array(count / whole[text])], ["node", "shingle", "part"])
-
-    asked = rows.select(F.col("node").alias("__n"), "root").distinct()
-    wanted = texts.join(lookup_side(asked.select("__n")), F.col("node") == F.col("__n"))
-    spelled = wanted.select("node", "text").mapInArrow(spell, "node long, shingle long, part double")
-    common = spelled.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1") \
-        .withColumnRenamed("shingle", "__shingle")
-    shared = spelled.join(lookup_side(common), F.col("shingle") == F.col("__shingle"))
-    # Shingles of one node come first; only their weight counts.
-    node = Window.partitionBy("node")
-    order = node.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    before = 1 - F.sum("part").over(node) + F.coalesce(F.sum("part").over(order), F.lit(0.0))
-    early = shared.select("node", "shingle", before.alias("before")) \
-        .where(F.col("before") < 1 - 1 / (most - 1))
-    early = stored(early.join(lookup_side(asked), F.col("node") == F.col("__n"))
-                   .select("shingle", "node", "root", (1 / (1 - F.col("before"))).alias("cost")), "early")
-    # Places where the cheapest other one is not enough are dropped before any pair is made.
-    least = early.groupBy("shingle").agg(
-        F.min("cost").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")) \
-        .where("lo < hi").withColumnRenamed("shingle", "__shingle")
-    kept = stored(early.join(lookup_side(least), F.col("shingle") == F.col("__shingle"))
-                  .where(F.col("cost") + F.col("least") <= most)
-                  .select("shingle", "node", "root", "cost"), "rare")
-    discard(early)
-    # Of two one is at or below the mean.
-    low = kept.where(F.col("cost") <= most / 2).toDF("__shingle", "__node", "__root", "__cost")
-    met = kept.join(lookup_side(low), (F.col("shingle") == F.col("__shingle"))
-                    & (F.col("root") != F.col("__root"))
-                    & (F.col("cost") + F.col("__cost") <= most))
-    return met.select(F.least("node", "__node").alias("a"),
-                      F.greatest("node", "__node").alias("b")).distinct()
+    codes, bounds, words = coded_words([t.lower() for t in texts])
+    text, shingle, count = shingles(codes, bounds, word_hashes(words)[codes])
+    order = np.lexsort((shingle, text))
+    text, shingle, weight = text[order], shingle[order], count[order].astype(np.float64)
+    element = np.unique(shingle, return_inverse=True)[1]
+    begin = np.searchsorted(text, np.arange(len(texts) + 1))
+    total = np.bincount(text, weight, len(texts))
+    own, component, joined = np.zeros(len(element)), component.copy(), []
+    starts = np.flatnonzero(np.append(True, one[1:] != one[:-1])).tolist()
+    for start, end in zip(starts, [*starts[1:], len(one)]):
+        i = int(one[start])
+        mine = slice(begin[i], begin[i + 1])
+        places = start + np.flatnonzero(component[two[start:end]] != component[i])
+        if not len(places):
+            continue
+        others = two[places]
+        n = begin[others + 1] - begin[others]
+        pair = np.repeat(np.arange(len(others)), n)
+        rows = np.arange(len(pair)) + (begin[others] - np.cumsum(n) + n)[pair]
+        own[element[mine]] = weight[mine]
+        met = own[element[rows]]
+        own[element[mine]] = 0
+        p = np.bincount(pair, met, len(others)) / total[i]
+        q = np.bincount(pair, weight[rows] * (met > 0), len(others)) / total[others]
+        with np.errstate(divide="ignore"):
+            near = 1 / p + 1 / q - 1 <= 1 / similarity + 1e-9
+        for place in places[near].tolist():
+            j = int(two[place])
+            if component[i] != component[j]:
+                its = slice(begin[j], begin[j + 1])
+                if probability_jaccard((element[mine], weight[mine]),
+                                       (element[its], weight[its])) >= similarity - 1e-9:
+                    component[component == component[j]] = component[i]
+                    joined.append(place)
+    return joined
+
+
+def _links_in_cells(rows: DataFrame, nodes: DataFrame, texts: DataFrame,
+                    similarity: float) -> DataFrame:
+    """Links (a, b) that join all components with alike members in a bucket.
+
+    Signatures are compared first; only members with a pair that agrees are sent with their
+    texts. Neither kind of pair becomes a row: a cell gives its members, then links between
+    components it has not joined yet, which are fewer than its members.
+    """
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in _whole_cells(batches):
+            found = np.unique(np.concatenate(_near_pairs(batch, bounds)))
+            yield batch.take(pa.array(found)).select(["key", "node", "root", "slots", "bands"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in _whole_cells(batches):
+            one, two = _near_pairs(batch, bounds)
+            node, root = (batch.column(i).to_numpy() for i in (4, 5))
+            cell, links = np.searchsorted(bounds, one, "right"), []
+            for c in np.unique(cell).tolist():
+                a, b = one[cell == c], two[cell == c]
+                asked, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+                kept = _joined(byte_texts(batch.column(8).take(pa.array(asked))), root[asked],
+                               place[:len(a)], place[len(a):], similarity)
+                links += [(node[a[k]], node[b[k]]) for k in kept]
+            ends = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    shape = nodes.select("node", "slots", "bands").withColumnRenamed("node", "__node")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "__key")
+    members = rows.join(shape, F.col("node") == F.col("__node")).join(
+        lookup_side(sizes), F.col("key") == F.col("__key"))
+    met = _cells(members, F.ceil(F.col("n") / SIGNED_BLOCK)).mapInArrow(
+        near, "key long, node long, root long, slots binary, bands array<long>")
+    met = stored(met.dropDuplicates(["key", "node"]), "met")
+    read = met.join(texts.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
+    sizes = read.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).withColumnRenamed("key", "__key")
+    placed = read.join(lookup_side(sizes), F.col("key") == F.col("__key"))
+    blocks = F.greatest(F.ceil(F.col("n") / TEXT_BLOCK), F.ceil(F.col("bytes") / TEXT_BLOCK_BYTES))
+    return _cells(placed, blocks, "text").mapInArrow(link, "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

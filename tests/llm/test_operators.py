@@ -209,6 +209,29 @@ def test_near_duplicates_within_a_template_family(spark):
     assert found == {i: i - (i - 500) % 2 if i >= 500 else i for i in range(540)}
 
 
+def test_near_misses_make_no_rows_of_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    template = prose(rng, 350, 10 ** 9)
+    # Each is 0.777 alike with each other, the last two are 0.803 alike.
+    rows = [f"{template} {prose(rng, 50, 10 ** 9)}" for _ in range(150)]
+    both = prose(rng, 7, 10 ** 9)
+    rows += [f"{template} {both} {prose(rng, 43, 10 ** 9)}" for _ in range(2)]
+    monkeypatch.setattr(probminhash, "SIGNED_BLOCK", 40, raising=False)
+    monkeypatch.setattr(probminhash, "TEXT_BLOCK", 15, raising=False)
+    written, keep = {}, probminhash.stored
+
+    def stored(df, name):
+        kept = keep(df, name)
+        written[name] = max(written.get(name, 0), kept.count())
+        return kept
+
+    monkeypatch.setattr(probminhash, "stored", stored)
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in probminhash.near_duplicates(table).collect()}
+    assert found == {i: min(i, 150) for i in range(152)}
+    assert max(written.values()) <= probminhash.BANDS * len(rows)
+
+
 def test_a_component_meets_hubs_without_a_link(spark):
     rows = [(1, 10, 10), (1, 11, 10), (1, 12, 12)]
     members = spark.createDataFrame(rows, "key long, node long, root long") \
