@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logstrata.operators import changes, frequency
+from logstrata.operators.skew import with_group_totals
 
 SMALL = {"spark.sql.autoBroadcastJoinThreshold": "-1",
          "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -76,3 +77,11 @@ def test_normalised_terms_of_a_hot_group(spark, hot):
     assert sum(r.n for r in got) == N
     for r in got:
         assert r.s == pytest.approx(1) and r.b == pytest.approx(1 / r.n)
+
+
+def test_rows_meet_their_totals_unsorted(spark):
+    rows = spark.range(50_000).selectExpr("id % 900 g", "id % 7 v", "1L n")
+    found = with_group_totals(rows, ["g"], ["v"], {"total": F.col("n")})
+    assert found.where("total not in (55, 56)").isEmpty() and found.count() == 50_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
