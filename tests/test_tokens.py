@@ -78,6 +78,29 @@ def test_slices_equal_the_interval_rule(spark):
     assert _plain(_lines(spark, text, list(range(1, n + 1)))) == _overlapping(rows, text)
 
 
+def test_odd_characters_and_neighbours_across_lines(spark):
+    text = ("class\n\n  B {\n int \xa0 go\n // c \x02\n\n( \x02\x03 x\xa0. y\n"
+            "/* a\x02\n b */ import\n z; // end")
+    files = spark.createDataFrame([("A.java", text, list(range(1, 11)))],
+                                  "path string, text string, line_numbers array<int>")
+    # The block comment turns the whole text to the slower cut; without it the rest is the same.
+    plain = files.withColumn("text", F.regexp_replace("text", r"(?s)/\*(.*?)\*/", ""))
+    for given in (files, plain):
+        rows = {(r.code_line_number, r.token_position): r for r in tokens.line_tokens(given).collect()}
+        types = {place: (r.token_content, r.token_type) for place, r in rows.items()}
+        assert types[3, 0] == ("B", "Token.Name.Class")
+        assert types[4, 0] == ("int", "Token.Keyword.Type")
+        # The blank token is no row and no token of the line, but it is a neighbour.
+        assert types[4, 1] == ("go", "Token.Name") and rows[4, 1].number_of_tokens == 2
+        comment = ("// c \x02\n", "Token.Comment.Single")
+        assert types[5, 0] == types[6, 0] == comment and rows[6, 0].line_content == "\n"
+        assert [types[7, i][0] for i in range(6)] == ["(", "\x02", "\x03", "x", ".", "y"]
+        assert types[7, 3][1] == "Token.Name" and types[7, 5][1] == "Token.Name.Attribute"
+        last = max(n for n, _ in types)
+        assert types[last, 0] == ("z", "Token.Name.Namespace")
+        assert types[last, 2] == ("// end", "Token.Comment.Single")
+
+
 def test_windows_line_ends_and_lines_beyond_the_text(spark):
     assert _plain(_lines(spark, "a\r\nb\r\n", [1, 2, 3, 9])) == {1: ["a"], 2: ["b"]}
 
@@ -138,6 +161,27 @@ def test_content_tokens_take_the_version_of_the_side(spark):
     assert [r.reason for r in lost.collect()] == ["content_missing"]
 
 
+def test_a_diff_is_parsed_once_for_counts_and_tokens(spark):
+    from logstrata.plans.history import History
+
+    text = ("diff --git a/A.java b/A.java\n--- a/A.java\n+++ b/A.java\n@@ -1,2 +1,5 @@\n"
+            " int a;\n-int b;\n+int c;\n+ \xa0\n+\n+\xe9 d;\n")
+    commits = spark.createDataFrame([("c1", ["p1"]), ("c2", ["c1"])],
+                                    "commit_sha string, parent_shas array<string>")
+    diffs = spark.createDataFrame([("c1", 1, text), ("c2", 1, text)],
+                                  "commit_sha string, n_parents int, diff_text string")
+    blobs = spark.createDataFrame([("c1", "A.java", "int a;\nint c;\n \xa0\n\n\xe9 d;"),
+                                   ("p1", "A.java", "int a;\nint b;")],
+                                  "sha string, path string, text string")
+    history = History(commits, diffs=diffs, blobs=blobs)
+    for part, want in (("added", {2, 5}), ("deleted", {2})):
+        found = history.content_tokens("all", part)
+        assert "diff_text" not in found._jdf.queryExecution().optimizedPlan().toString()
+        rows = [r for r in found.collect() if r.hex_hash == "c1"]
+        lines = {r.code_line_number for r in rows}
+        assert lines == want and {r.number_of_changes for r in rows} == {len(want)}
+
+
 def test_languages_by_content_where_the_name_tells_nothing(spark):
     cases = [
         ("run", "#!/usr/bin/env python3\nx", "Python"), ("run", "#!/bin/bash -e\nx", "Bash"),
