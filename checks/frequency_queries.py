@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from logstrata.operators import filters, frequency
-from logstrata.session import scratch_path
+from logstrata.session import stored
 
 COLUMNS = ["token_content", "token_type"]
 GROUP = "hex_hash"
@@ -186,9 +186,8 @@ def _mixed_cells(variant):
        for v in MATRIX_TERMS), **NAMED)
 def frequency_matrix_mixed_case(t):
     """Values that differ in case only, or are no plain names; all variants of cells made once."""
-    path = scratch_path(t.spark, "cells")
-    frequency.frequency_cells(t("fx_tokens"), ["token_content"], GROUP).write.parquet(path)
-    cells, found = t.spark.read.parquet(path), None
+    cells = stored(frequency.frequency_cells(t("fx_tokens"), ["token_content"], GROUP), "cells")
+    found = None
     for variant in MATRIX_TERMS:
         wide = frequency.matrix_of_cells(cells, GROUP, MIXED, variant)
         names = [f"c{i}" for i in range(len(MIXED))]
@@ -248,8 +247,9 @@ def normalized_frequency_by_run(t):
 
 def _counts_and_words(t):
     tokens = t("fx_tokens").select(GROUP, "token_content")
-    words = frequency.vocabulary(tokens.select(F.col("token_content").alias("value")))
-    return frequency.count_cells(tokens, ["token_content"], GROUP), words
+    # The texts are taken apart once: the cells are stored, and hold every value.
+    cells = stored(frequency.count_cells(tokens, ["token_content"], GROUP), "cells")
+    return cells, frequency.vocabulary(cells)
 
 
 @query("sparse_matrix", f"""
@@ -267,6 +267,10 @@ def sparse_matrix(t):
     return rows.select(GROUP, *shown)
 
 
+# About the root of a block's width.
+RUN = 40
+
+
 @query("matrix_column_blocks", f"""
        with places as (select token_content "value", row_number() over (order by token_content) - 1 place
                        from (select distinct token_content from fx_tokens)),
@@ -279,7 +283,16 @@ def sparse_matrix(t):
 def matrix_column_blocks(t):
     """The dense blocks, told by their width, their sum and a sum weighted by the columns."""
     blocks = frequency.column_blocks(*_counts_and_words(t), GROUP, width=2000)
-    amounts = blocks.select(GROUP, "block", F.size("amounts").alias("width"),
-                            F.posexplode("amounts").alias("i", "x")).where("x <> 0")
+    # A block is mostly zeros. It is cut into runs of cells, and runs of nothing but zeros are left
+    # before their cells become rows.
+    zero, size = F.lit(0).cast("long"), F.size("amounts")
+    runs = F.explode(F.sequence(F.lit(0), size - 1, F.lit(RUN))).alias("start")
+    runs = blocks.select(GROUP, "block", size.alias("width"), "amounts", runs)
+    runs = runs.select(GROUP, "block", "width", "start", F.slice(
+        "amounts", F.col("start") + 1, F.lit(RUN)).alias("cells"))
+    runs = runs.where(F.size(F.array_remove("cells", 0)) > 0)
+    amounts = runs.select(GROUP, "block", "width", "start",
+                          F.posexplode("cells").alias("at", "x")).where(F.col("x") != zero)
+    amounts = amounts.withColumn("i", F.col("start") + F.col("at"))
     return amounts.groupBy(GROUP, "block", "width").agg(
         F.sum("x").alias("total"), F.sum(F.col("x") * (F.col("i") + 1)).alias("weighted"))

@@ -217,7 +217,11 @@ def matrix_of_cells(cells: DataFrame, group: str, values: Iterable,
     values = list(dict.fromkeys(value or "" for value in values))
     if group in values:
         raise ValueError(f"a value is named like the group column: {group}")
-    cells = cells.select(group, F.coalesce("value", F.lit("")).alias("value"), variant)
+    # The others only keep their group in the matrix: one row a group, combined before any move.
+    value = F.coalesce("value", F.lit(""))
+    listed = value.isin(values)
+    cells = cells.select(group, F.when(listed, value).alias("value"),
+                         F.when(listed, F.col(variant)).alias(variant))
     # Columns go by place until the end: names of values may clash or need quoting.
     places = [f"__v{i}" for i in range(len(values))]
     wide = cells.groupBy(group).pivot("value", values).agg(F.sum(variant)).toDF("__group", *places)
