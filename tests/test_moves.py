@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks import frequency_queries, views
+from checks import cohort_queries, frequency_queries, token_queries, views  # noqa: F401
 from checks.registry import QUERIES
 from logstrata.operators import blame, frequency
 
@@ -96,8 +96,7 @@ def test_dense_blocks_are_told_without_a_row_for_each_zero(spark, tmp_path):
         "*", "'en' lang", "'s' source").write.parquet(f"{tmp_path}/documents.parquet")
     t = views.Tables(spark, str(tmp_path))
     found = QUERIES["matrix_column_blocks"](spark, str(tmp_path))
-    plan = _plan(found)
-    assert "slice(" in plan
+    assert "slice(" in _plan(found)
     held = t("fx_tokens").groupBy("hex_hash", "token_content").count()
     places = {r.value: r.place for r in frequency.vocabulary(
         held.select(F.col("token_content").alias("value"))).collect()}
@@ -107,4 +106,15 @@ def test_dense_blocks_are_told_without_a_row_for_each_zero(spark, tmp_path):
         expected[r.hex_hash] = (total + r["count"], weighted + r["count"] * (places[r.token_content] + 1))
     assert {r.hex_hash: (r.total, r.weighted) for r in found.collect()} == expected
     assert {r.width for r in found.collect()} == {len(places)}
-    assert len(places) > 2 * frequency_queries.RUN
+    assert len(places) > 100
+
+
+def test_tokens_at_offsets_are_read_from_parts_of_the_text(spark, tmp_path):
+    texts = ["\U0001f600 word " * 400 + '"' + "long " * 600 + '" end', "a\n\nb", "", None]
+    spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "doc_id bigint, text string") \
+        .selectExpr("*", "'en' lang", "'s' source").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["token_offsets"](spark, str(tmp_path))
+    assert "substring(text" not in _plan(found)
+    made = QUERIES["tokenize"](spark, str(tmp_path)).select(found.columns)
+    assert made.count() > 800 and made.agg(F.max(F.length("token_content"))).first()[0] > 3000
+    assert found.exceptAll(made).isEmpty() and made.exceptAll(found).isEmpty()

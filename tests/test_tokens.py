@@ -210,3 +210,30 @@ def test_languages_by_content_where_the_name_tells_nothing(spark):
         "i", lexer_of_file(F.col("path"), F.col("text")).alias("l")).collect()}
     assert [(c[0], (c[1] or "")[:40], found[i]) for i, c in enumerate(cases)] == \
         [(p, (x or "")[:40], want) for p, x, want in cases]
+
+
+def test_numbered_content_tokens_of_lines_that_come_twice(spark):
+    """Equal files of a commit take turns, token by token, and only lines are stored."""
+    from pyspark.sql import functions as F
+
+    from logstrata.operators import tokens
+
+    texts = ["a b c\n// x\n\nd", "a b c\n// x\n\nd", "e\nf g"]
+    rows = [(seq, no, f"p{no}.java", texts[k]) for seq, no, k in
+            [(2, 0, 0), (2, 0, 1), (1, 1, 2), (1, 0, 0), (None, 0, 2)]]
+    files = spark.createDataFrame(rows, "commit_seq long, file_no int, path string, text string") \
+        .withColumn("line_numbers", F.sequence(F.lit(1), F.lit(4)))
+    lines = tokens._with_first_number(tokens._lines_in(files), ["commit_seq", "file_no"])
+    assert "token_content" not in lines.columns and lines.count() == 16
+    patches = files.select(F.col("commit_seq").cast("string").alias("commit_sha"), "path", "file_no",
+                           F.sequence(F.lit(1), F.lit(4)).alias("added_numbers")).distinct()
+    blobs = files.select(F.col("commit_seq").cast("string").alias("sha"), "path", "text")
+    commits = files.select(F.col("commit_seq").cast("string").alias("commit_sha"), "commit_seq").distinct()
+    found = tokens.content_tokens(patches, blobs, commits, "added", numbered=True)
+    plain = tokens.content_tokens(patches, blobs, commits, "added")
+    assert found.drop("line_number").exceptAll(plain).isEmpty()
+    got = found.orderBy("line_number").collect()
+    assert [r.line_number for r in got] == list(range(1, plain.count() + 1))
+    place = [(int(r.hex_hash), r.file_name, r.code_line_number) for r in got]
+    assert place == sorted(place)
+    assert [r.token_content for r in got if r.hex_hash == "2"][:6] == ["a", "a", "b", "b", "c", "c"]
